@@ -4,23 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marklake.functions.numeric import round_even
 from marklake.operators import dashboards as D
 from marklake.plans import views as V
+from marklake.plans.common import Catalog
 from marklake.plans.views import r, with_views
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return register
+query = Catalog()
 
 
 def _both(spark, d):

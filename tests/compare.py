@@ -111,7 +111,7 @@ def main() -> int:
         except Exception as exc:  # noqa: BLE001 - report and go on
             ok, note, seconds = False, f"{type(exc).__name__}: {str(exc)[:900]}", 0.0
         bad += ok is False
-        print(f"{'rows' if ok is None else 'ok  ' if ok else 'BAD '} {name:<36} {seconds:6.2f}s {note}", flush=True)
+        print(f"\n{'rows' if ok is None else 'ok  ' if ok else 'BAD '} {name:<36} {seconds:6.2f}s {note}", flush=True)
     print("failures:", bad)
     return bad
 
