@@ -2,39 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPLIT = 134217729.0  # 2**27 + 1, splits a double into two 26-bit halves
 
 
-def _round_scaled(x: Column, scale: Column) -> Column:
-    product = x * scale
-    below = F.floor(product).cast("double")
-    frac = product - below
-    big = x * F.lit(_SPLIT)
-    high = big - (big - x)
-    error = (high * scale - product) + (x - high) * scale
-    odd = F.pmod(below, F.lit(2.0)) == 1.0
-    up = (frac > 0.5) | ((frac == 0.5) & ((error > 0) | ((error == 0) & odd)))
-    return (below + F.when(up, 1.0).otherwise(0.0)) / scale
-
-
 def round_even(x: Column, places: int = 0) -> Column:
-    """Round half-even on the exact binary value.
+    """Round half-even on the exact binary value; NULL stays NULL.
 
     ``F.round`` is half-up and ``F.bround`` looks at the printed decimal, so both
-    differ from a float round on values such as 2.675. The product x * 10**n is
-    formed with its rounding error, which settles the cases that look like ties.
-    NULL stays NULL.
+    differ from a float round on values such as 2.675. ``rint`` of x * 10**n is
+    right unless that product looks like a tie; then the rounding error of the
+    product (split-and-multiply, exact) tells on which side x lies.
     """
     x = x.cast("double")
     if places == 0:
-        below = F.floor(x).cast("double")
-        frac = x - below
-        up = (frac > 0.5) | ((frac == 0.5) & (F.pmod(below, F.lit(2.0)) == 1.0))
-        return below + F.when(up, 1.0).otherwise(0.0)
-    return _round_scaled(x, F.lit(float(10**places)))
+        return F.rint(x)
+    scale = F.lit(float(10**places))
+    product = x * scale
+    whole = F.rint(product)
+    off = product - whole
+    big = x * F.lit(_SPLIT)
+    high = big - (big - x)
+    error = (high * scale - product) + (x - high) * scale
+    return (whole + F.when((F.abs(off) == 0.5) & (off * error > 0), 2.0 * off).otherwise(0.0)) / scale
+
+
+def rounded(df: DataFrame, **places: int) -> DataFrame:
+    """Round columns in a step of their own, so a long expression is computed once."""
+    return df.withColumns({name: round_even(F.col(name), n) for name, n in places.items()})
 
 
 def clamp(x: Column, low: float | Column = 0.0, high: float | Column = 1.0) -> Column:
@@ -65,16 +62,11 @@ def as_ratio(x: Column) -> Column:
 def fmt_g(x: Column) -> Column:
     """``%g`` text of a mark: six significant digits, no trailing zeros.
 
-    Marks lie in [1e-4, 1e6), where ``%g`` never turns to exponents.
+    Marks lie in [1e-4, 1e6) and carry at most four decimals. Only a mark whose
+    seventh significant digit is a lone 5 is rounded on its printed form.
     """
-    x = x.cast("double")
-    mag = F.abs(x)
-    scale = F.lit(1e9)
-    for limit, value in ((1e-3, 1e8), (1e-2, 1e7), (1e-1, 1e6), (1e0, 1e5), (1e1, 1e4), (1e2, 1e3), (1e3, 1e2), (1e4, 1e1), (1e5, 1e0)):
-        scale = F.when(mag >= limit, value).otherwise(scale)
-    text = F.format_string("%.6g", _round_scaled(x, scale))
-    trimmed = F.regexp_replace(text, r"\.?0+$", "")
-    return F.when(x == 0, F.lit("0")).when(F.contains(text, F.lit(".")), trimmed).when(x.isNotNull(), text)
+    text = F.regexp_replace(F.format_string("%.6g", x.cast("double")), r"\.0+$|(\.\d*[1-9])0+$", "$1")
+    return F.when(x.isNotNull(), text)
 
 
 def fmt_fixed(x: Column, places: int) -> Column:

@@ -45,20 +45,27 @@ def before(
     return joined.select(*out)
 
 
-def following(df: DataFrame, keys: list[str], chunk: str, order: list, name: str, expr: Column) -> DataFrame:
-    """Add the value of ``expr`` on the next row of the key (lead), chunk by chunk."""
+def _neighbour(df: DataFrame, keys: list[str], chunk: str, order: list, name: str, expr: Column, ahead: bool) -> DataFrame:
     staged = df.withColumn("_v", expr)
-    ordered = Window.partitionBy(*keys, chunk).orderBy(*order)
-    first = (
-        staged.withColumn("_rn", F.row_number().over(ordered))
-        .filter("_rn = 1")
-        .select(*keys, chunk, F.col("_v").alias("_first"))
-    )
+    inner = Window.partitionBy(*keys, chunk).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(chunk)
-    nxt = first.select(*keys, chunk, F.lead("_first").over(across).alias("_next"))
-    last_here = F.lead(F.lit(True)).over(ordered).isNull()
-    value = F.when(last_here, F.col("_next")).otherwise(F.lead("_v").over(ordered))
-    return staged.join(nxt, [*keys, chunk]).withColumn(name, value).drop("_v", "_next")
+    step = F.lead if ahead else F.lag
+    pick = F.min_by if ahead else F.max_by
+    edge = staged.groupBy(*keys, chunk).agg(pick("_v", F.struct(*order)).alias("_edge"))
+    edges = edge.select(*keys, chunk, step("_edge").over(across).alias("_other"))
+    at_edge = step(F.lit(True)).over(inner).isNull()
+    value = F.when(at_edge, F.col("_other")).otherwise(step("_v").over(inner))
+    return staged.join(edges, [*keys, chunk]).withColumn(name, value).select(*df.columns, name)
+
+
+def following(df: DataFrame, keys: list[str], chunk: str, order: list, name: str, expr: Column) -> DataFrame:
+    """Add the value of ``expr`` on the next row of the key (lead), chunk by chunk."""
+    return _neighbour(df, keys, chunk, order, name, expr, True)
+
+
+def previous(df: DataFrame, keys: list[str], chunk: str, order: list, name: str, expr: Column) -> DataFrame:
+    """Add the value of ``expr`` on the row before (lag), chunk by chunk."""
+    return _neighbour(df, keys, chunk, order, name, expr, False)
 
 
 _BUCKETS = 1024

@@ -1,8 +1,9 @@
 """Learning analytics (D10-D13, H32): topic mastery, knowledge gaps, advice.
 
 Every operator takes grouping keys, so the same plan serves one submission or the
-pooled history of a student. ``order`` names the columns that give the order in
-which questions were answered; topics keep their first-seen order.
+pooled history of a student. ``order`` is the column that gives the order in which
+questions were answered (a number keeps the aggregation hash-based); topics keep
+their first-seen order.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marklake.functions.numeric import clamp, ratio, round_even
+from marklake.functions.numeric import clamp, ratio, rounded
 
 DEFAULT_TOPIC = "General Topic"
 PRAISE = (
@@ -31,24 +32,24 @@ def mastery_status(score: Column) -> Column:
     ).otherwise("CRITICAL")
 
 
-def topic_mastery(questions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def topic_mastery(questions: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key and topic."""
-    score = round_even(clamp(ratio(F.col("_awarded"), F.col("_max"), 0.0)), 4)
-    return (
+    totals = (
         questions.withColumn("topic", topic_name(F.col("topic_context")))
         .groupBy(*keys, "topic")
         .agg(
             F.sum("score_awarded").alias("_awarded"),
             F.sum("max_marks").alias("_max"),
             F.avg("confidence").alias("_conf"),
-            F.min(F.struct(*order)).alias("first_seen"),
+            F.min(order).alias("first_seen"),
         )
-        .select(*keys, "topic", score.alias("mastery_score"), round_even(F.col("_conf"), 4).alias("confidence"), "first_seen")
-        .withColumn("status", mastery_status(F.col("mastery_score")))
     )
+    score = clamp(ratio(F.col("_awarded"), F.col("_max"), 0.0))
+    scored = totals.select(*keys, "topic", score.alias("mastery_score"), F.col("_conf").alias("confidence"), "first_seen")
+    return rounded(scored, mastery_score=4, confidence=4).withColumn("status", mastery_status(F.col("mastery_score")))
 
 
-def _concept_rows(questions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def _concept_rows(questions: DataFrame, keys: list[str], order: str) -> DataFrame:
     """(keys, topic, concept, missing): the semantic result where present, else keywords."""
     matched = F.when(F.col("has_semantic"), F.col("matched_semantic")).otherwise(F.col("matched_keywords"))
     missing = F.when(F.col("has_semantic"), F.col("missing_semantic")).otherwise(F.col("missing_concepts"))
@@ -57,11 +58,11 @@ def _concept_rows(questions: DataFrame, keys: list[str], order: list[str]) -> Da
         F.transform(F.coalesce(missing, F.array()), lambda c: F.struct(c.alias("concept"), F.lit(True).alias("missing"))),
     )
     return questions.select(
-        *keys, topic_name(F.col("topic_context")).alias("topic"), F.struct(*order).alias("_seen"), F.explode(tagged).alias("_c")
+        *keys, topic_name(F.col("topic_context")).alias("topic"), F.col(order).alias("_seen"), F.explode(tagged).alias("_c")
     ).select(*keys, "topic", "_seen", "_c.concept", "_c.missing")
 
 
-def knowledge_gaps(questions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def knowledge_gaps(questions: DataFrame, keys: list[str], order: str) -> DataFrame:
     """A concept missing once stays missing, even if matched elsewhere.
 
     Concepts are reduced to one row each before they are gathered, so the gathered
@@ -77,7 +78,7 @@ def knowledge_gaps(questions: DataFrame, keys: list[str], order: list[str]) -> D
         .agg(
             F.count_if("missing").alias("missing_count"),
             F.count(F.lit(1)).alias("expected_count"),
-            F.array_sort(F.collect_list(F.when(F.col("missing"), F.col("concept")))).alias("missing_concepts"),
+            F.sort_array(F.collect_list(F.when(F.col("missing"), F.col("concept")))).alias("missing_concepts"),
             F.min("_seen").alias("first_seen"),
         )
         .filter("missing_count > 0")
@@ -88,15 +89,18 @@ def knowledge_gaps(questions: DataFrame, keys: list[str], order: list[str]) -> D
 def recommendations(mastery: DataFrame, gaps: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, position, recommendation), five at most per key."""
     topic = F.col("topic")
-    kinds = (
-        F.when(F.col("status") == "CRITICAL", F.lit(1)).when(F.col("status") == "WEAK", F.lit(2)).when(F.col("status") == "DEVELOPING", F.lit(3))
-    )
+    status = F.col("status")
+    kinds = F.when(status == "CRITICAL", 1).when(status == "WEAK", 2).otherwise(3)
     text = (
-        F.when(kinds == 1, F.concat(F.lit("Prioritize re-learning the core components of '"), topic, F.lit("' as performance is critical.")))
-        .when(kinds == 2, F.concat(F.lit("Review and practice questions under the topic '"), topic, F.lit("' to build foundation.")))
-        .when(kinds == 3, F.concat(F.lit("Reinforce your understanding of '"), topic, F.lit("' with target exercises to achieve full mastery.")))
+        F.when(status == "CRITICAL", F.concat(F.lit("Prioritize re-learning the core components of '"), topic, F.lit("' as performance is critical.")))
+        .when(status == "WEAK", F.concat(F.lit("Review and practice questions under the topic '"), topic, F.lit("' to build foundation.")))
+        .when(status == "DEVELOPING", F.concat(F.lit("Reinforce your understanding of '"), topic, F.lit("' with target exercises to achieve full mastery.")))
     )
-    from_topics = mastery.select(*keys, kinds.alias("kind"), "first_seen", text.alias("recommendation")).filter("kind is not null")
+    # Unneeded rows leave through explode: a filter would be pushed into, and repeat, the rounding.
+    item = F.struct(kinds.alias("kind"), F.col("first_seen"), text.alias("recommendation"))
+    from_topics = mastery.select(
+        *keys, F.explode(F.when(status != "MASTERED", F.array(item)).otherwise(F.array_repeat(item, 0))).alias("_r")
+    ).select(*keys, "_r.*")
 
     def listed(n: int) -> Column:
         return F.array_join(F.slice("missing_concepts", 1, n), ", ")
@@ -112,30 +116,31 @@ def recommendations(mastery: DataFrame, gaps: DataFrame, keys: list[str]) -> Dat
     return top.unionByName(praised.select(*keys, F.lit(1).alias("position"), F.lit(PRAISE).alias("recommendation")))
 
 
-def analyze(questions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def analyze(questions: DataFrame, keys: list[str], order: str) -> DataFrame:
     """D12 with keys = submission, D13 with keys = student: one row per key."""
     mastery = topic_mastery(questions, keys, order)
     gaps = knowledge_gaps(questions, keys, order)
 
     def topics(*statuses: str) -> Column:
         hit = F.when(F.col("status").isin(*statuses), F.struct("first_seen", "topic"))
-        return F.transform(F.array_sort(F.collect_list(hit)), lambda s: s["topic"])
+        return F.transform(F.sort_array(F.collect_list(hit)), lambda s: s["topic"])
 
     # Summed in first-seen order: the mean of few decimals often sits on a rounding tie.
-    scores = F.transform(F.array_sort(F.collect_list(F.struct("first_seen", "mastery_score"))), lambda s: s["mastery_score"])
+    scores = F.transform(F.sort_array(F.collect_list(F.struct("first_seen", "topic", "mastery_score"))), lambda s: s["mastery_score"])
     mean = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + x) / F.count(F.lit(1))
     summary = mastery.groupBy(*keys).agg(
-        round_even(mean, 4).alias("overall_mastery"),
+        mean.alias("_mean"),
         topics("MASTERED").alias("mastered_topics"),
         topics("WEAK", "CRITICAL").alias("weak_topics"),
     )
     advice = recommendations(mastery, gaps, keys).groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("position", "recommendation"))), lambda s: s["recommendation"]).alias("recommendations")
+        F.transform(F.sort_array(F.collect_list(F.struct("position", "recommendation"))), lambda s: s["recommendation"]).alias("recommendations")
     )
     gap_list = gaps.groupBy(*keys).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("first_seen", "topic", "missing_concepts", "severity"))),
+            F.sort_array(F.collect_list(F.struct("first_seen", "topic", "missing_concepts", "severity"))),
             lambda s: F.struct(s["topic"].alias("topic"), s["missing_concepts"].alias("missing_concepts"), s["severity"].alias("severity")),
         ).alias("knowledge_gaps")
     )
+    summary = rounded(summary.withColumnRenamed("_mean", "overall_mastery"), overall_mastery=4)
     return summary.join(advice, keys, "left").join(gap_list, keys, "left")

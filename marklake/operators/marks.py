@@ -183,7 +183,7 @@ def derivations(points: DataFrame, marks: DataFrame, answers: DataFrame) -> Data
     sections = (
         per_line.unionByName(summaries)
         .groupBy(*keys)
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_kind", "_at", "_text"))), lambda s: s["_text"]), "\n").alias("_sections"))
+        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_place", "_kind", "_at", "_text"))), lambda s: s["_text"]), "\n").alias("_sections"))
     )
     question = points.select("question_id", "question_number", "question_text").distinct()
     had = points.groupBy(*keys).agg(F.max("attempted").alias("_had"))

@@ -15,17 +15,18 @@ from marklake.plans.views import r, with_views
 
 query = Catalog()
 
-_BY_SUBMISSION, _BY_STUDENT = ["question_number"], ["submission_id", "question_number"]
+_BY_SUBMISSION, _BY_STUDENT = "question_order", "history_order"
 
 
 def _student_questions(spark, d):
     owner = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("submission_id"), F.col("o_custkey").alias("student_id"))
-    return V.question_evaluations(spark, d).join(owner, "submission_id")
+    pooled = F.col("submission_id") * 100 + F.col("question_order")
+    return V.question_evaluations(spark, d).join(owner, "submission_id").withColumn("history_order", pooled)
 
 
 def _learning_ctes(key: str) -> str:
     source = "qe" if key == "submission_id" else "(SELECT qe.*, o_custkey AS student_id FROM qe JOIN orders ON submission_id = o_orderkey)"
-    seen = "question_number" if key == "submission_id" else "lpad(submission_id::VARCHAR, 12, '0') || question_number"
+    seen = "question_order" if key == "submission_id" else "submission_id * 100 + question_order"
     status = "CASE WHEN mastery_score >= 0.8 THEN 'MASTERED' WHEN mastery_score >= 0.5 THEN 'DEVELOPING' WHEN mastery_score >= 0.3 THEN 'WEAK' ELSE 'CRITICAL' END AS status"
     return f"""m AS (SELECT *, {status} FROM (SELECT {key}, topic,
  {r("greatest(0, least(1, sum(score_awarded)/sum(max_marks)))", 4)} AS mastery_score, {r("avg(confidence)", 4)} AS confidence, min({seen}) AS first_seen
@@ -61,11 +62,11 @@ def _analysis_sql(key: str) -> str:
     return with_views(
         "qe",
         f"""SELECT s.*, a.recommendations, coalesce(k.gap_topics, '') AS gap_topics FROM (SELECT {key},
- {r("list_reduce(list_prepend(0.0::DOUBLE, list(mastery_score ORDER BY first_seen)), lambda x, y: x + y) / count(*)", 4)} AS overall_mastery,
- coalesce(string_agg(topic, ' | ' ORDER BY first_seen) FILTER (WHERE status='MASTERED'), '') AS mastered_topics,
- coalesce(string_agg(topic, ' | ' ORDER BY first_seen) FILTER (WHERE status IN ('WEAK','CRITICAL')), '') AS weak_topics FROM m GROUP BY {key}) s
+ {r("list_reduce(list_prepend(0.0::DOUBLE, list(mastery_score ORDER BY first_seen, topic)), lambda x, y: x + y) / count(*)", 4)} AS overall_mastery,
+ coalesce(string_agg(topic, ' | ' ORDER BY first_seen, topic) FILTER (WHERE status='MASTERED'), '') AS mastered_topics,
+ coalesce(string_agg(topic, ' | ' ORDER BY first_seen, topic) FILTER (WHERE status IN ('WEAK','CRITICAL')), '') AS weak_topics FROM m GROUP BY {key}) s
  JOIN (SELECT {key}, string_agg(rec, ' | ' ORDER BY position) AS recommendations FROM adv GROUP BY {key}) a USING ({key})
- LEFT JOIN (SELECT {key}, string_agg(topic || ':' || severity, ' | ' ORDER BY first_seen) AS gap_topics FROM g GROUP BY {key}) k USING ({key})""",
+ LEFT JOIN (SELECT {key}, string_agg(topic || ':' || severity, ' | ' ORDER BY first_seen, topic) AS gap_topics FROM g GROUP BY {key}) k USING ({key})""",
         _learning_ctes(key),
     )
 

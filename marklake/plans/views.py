@@ -46,6 +46,7 @@ def question_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lpad(F.col("l_partkey").cast("string"), 9, "0"),
             F.lpad(F.col("l_suppkey").cast("string"), 9, "0"),
         ).alias("question_number"),
+        F.col("l_linenumber").cast("bigint").alias("question_order"),
         F.col("l_quantity").alias("max_marks"),
         (F.floor(F.col("l_quantity") * share / 50.0) / 2.0).alias("score_awarded"),
         (1.0 - F.round(F.col("l_discount") * 100) / 32.0).alias("confidence"),
@@ -153,13 +154,14 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns carry a question header, system turns are section headers."""
     c = table(spark, sf_dir, "conversations")
     number = (F.col("conv_id") * 7 + F.col("turn") * 5) % 6 + 1
+    one_line = F.translate("text", "\n", " ")
     return c.select(
         F.col("conv_id").alias("script_id"),
         F.floor(F.col("turn") / 3.0).cast("bigint").alias("page_number"),
         F.col("turn").alias("line_idx"),
-        F.when(F.col("role") == "user", F.concat(number.cast("string"), F.lit(". "), F.col("text")))
+        F.when(F.col("role") == "user", F.concat(number.cast("string"), F.lit(". "), one_line))
         .when(F.col("role") == "system", F.lit("Part B"))
-        .otherwise(F.col("text"))
+        .otherwise(one_line)
         .alias("text"),
         F.when(F.length("text") % 5 != 0, 1.0 - (F.length("text") % 32) / 64.0).alias("confidence"),
         (F.length("text") % 11 == 0).alias("struck_through"),
@@ -202,7 +204,7 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT l_orderkey AS submission_id,
         concat_ws('-', lpad(l_linenumber::VARCHAR, 2, '0'), lpad(l_partkey::VARCHAR, 9, '0'),
                   lpad(l_suppkey::VARCHAR, 9, '0')) AS question_number,
-        l_quantity AS max_marks,
+        l_linenumber::BIGINT AS question_order, l_quantity AS max_marks,
         floor(l_quantity * ((l_partkey*31 + l_suppkey*17 + l_linenumber*7) % 101) / 50.0::DOUBLE) / 2.0::DOUBLE AS score_awarded,
         1.0::DOUBLE - round(l_discount*100) / 32.0::DOUBLE AS confidence,
         1.0::DOUBLE - (round(l_tax*100)::BIGINT % 4) / 16.0::DOUBLE AS bias_score,
@@ -255,7 +257,7 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "tlines": (
         (),
         """SELECT conv_id AS script_id, floor(turn / 3.0)::BIGINT AS page_number, turn AS line_idx,
-        CASE role WHEN 'user' THEN ((conv_id*7 + turn*5) % 6 + 1)::VARCHAR || '. ' || text WHEN 'system' THEN 'Part B' ELSE text END AS text,
+        CASE role WHEN 'user' THEN ((conv_id*7 + turn*5) % 6 + 1)::VARCHAR || '. ' || replace(text, chr(10), ' ') WHEN 'system' THEN 'Part B' ELSE replace(text, chr(10), ' ') END AS text,
         role = 'user' AS is_header, role = 'system' AS is_section,
         ((conv_id*7 + turn*5) % 6 + 1)::VARCHAR AS header_number,
         CASE WHEN length(text) % 5 <> 0 THEN 1.0::DOUBLE - (length(text) % 32) / 64.0::DOUBLE END AS confidence,
