@@ -26,7 +26,11 @@ def no_strings() -> Column:
 
 
 def let(value: Column, body) -> Column:
-    """Name a costly value once inside an expression: body(value)."""
+    """Name a costly value once inside an expression: body(value).
+
+    A column made by withColumn and read inside a lambda is no substitute: the
+    optimizer may move its expression into the lambda, to run once per element.
+    """
     return F.transform(F.array(value), body)[0]
 
 
@@ -101,18 +105,17 @@ def keywords(text: Column, limit: int = 12) -> Column:
 def infer_domain(question: Column, subject: Column) -> Column:
     """Domain named by the subject, else the domain with most hits (the first on ties)."""
     subject = F.lower(F.coalesce(subject, F.lit("")))
-    question = F.lower(F.coalesce(question, F.lit("")))
     named = F.coalesce(*[F.when(F.contains(subject, F.lit(d)), F.lit(d)) for d in X.DOMAIN_CONCEPTS])
-    hits = F.array(
-        *[
-            F.struct(
-                F.size(F.filter(strings(terms), lambda t: F.contains(question, t))).alias("n"), F.lit(-i).alias("rank"), F.lit(d).alias("domain")
-            )
+
+    def best(low: Column) -> Column:
+        hits = [
+            F.struct(F.size(F.filter(strings(terms), lambda t: F.contains(low, t))).alias("n"), F.lit(-i).alias("rank"), F.lit(d).alias("domain"))
             for i, (d, terms) in enumerate(X.DOMAIN_CONCEPTS.items())
         ]
-    )
-    best = let(hits, lambda h: F.array_max(h))
-    return F.coalesce(named, F.when(best["n"] > 0, best["domain"]), F.lit(""))
+        return F.array_max(F.array(*hits))
+
+    winner = let(F.lower(F.coalesce(question, F.lit(""))), best)
+    return let(F.struct(named.alias("named"), winner.alias("w")), lambda s: F.coalesce(s["named"], F.when(s["w"]["n"] > 0, s["w"]["domain"]), F.lit("")))
 
 
 def expected_concepts(question: Column, domain: Column, limit: int = 8) -> Column:
@@ -120,7 +123,6 @@ def expected_concepts(question: Column, domain: Column, limit: int = 8) -> Colum
 
     ``domain`` comes from ``infer_domain`` in an earlier step.
     """
-    lowered = F.lower(question)
     of_domain = reduce(
         lambda acc, d: F.when(domain == d, strings(sorted(X.DOMAIN_CONCEPTS[d]))).otherwise(acc), X.DOMAIN_CONCEPTS, no_strings()
     )
@@ -130,7 +132,7 @@ def expected_concepts(question: Column, domain: Column, limit: int = 8) -> Colum
             lambda acc, c: F.when(term == c, strings([c, *X.CONCEPT_EXPANSIONS[c]])).otherwise(acc), X.CONCEPT_EXPANSIONS, F.array(term)
         )
 
-    named = F.flatten(F.transform(F.filter(of_domain, lambda t: F.contains(lowered, t)), expand))
+    named = F.flatten(F.transform(let(F.lower(question), lambda low: F.filter(of_domain, lambda t: F.contains(low, t))), expand))
     return filter_concepts(F.concat(F.array_distinct(named), keywords(question, limit)), limit)
 
 
@@ -226,18 +228,28 @@ def marks_in_text(text: Column) -> Column:
 
 def split_evenly(n: Column, total: Column) -> Column:
     """Marks per item, two decimals; the last item takes what is left."""
-    each = round_even(total / n, 2)
-    spent = F.aggregate(F.array_repeat(each, F.greatest(n - 1, F.lit(0))), F.lit(0.0), lambda acc, x: acc + x)
-    return F.concat(F.array_repeat(each, F.greatest(n - 1, F.lit(0))), F.array(round_even(total - spent, 2)))
+
+    def shares(each: Column) -> Column:
+        others = F.array_repeat(each, F.greatest(n - 1, F.lit(0)))
+        rest = total - F.aggregate(others, F.lit(0.0), lambda acc, x: acc + x)
+        return F.concat(others, F.array(let(rest, lambda x: round_even(x, 2))))
+
+    return let(let(total / n, lambda x: round_even(x, 2)), shares)
 
 
 def rubric_descriptions(key: Column) -> Column:
     """List points when there are several, else sentences; five items at most."""
-    points = F.filter(F.transform(F.split(key, r"\n+\s*(?:-|\d+\.)\s*"), strip), lambda s: s != "")
-    sentences = F.filter(F.transform(F.split(key, r"(?<=[.!?])\s+|\n+"), strip), lambda s: s != "")
-    raw = F.when(F.size(points) > 1, points).when(F.size(sentences) > 0, sentences).otherwise(F.array(key))
-    kept = F.slice(F.filter(raw, lambda c: F.length(c) > 5), 1, 5)
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit("Fulfill the core requirements of the answer key.")))
+
+    def pieces(pattern: str) -> Column:
+        return F.filter(F.transform(F.split(key, pattern), strip), lambda s: s != "")
+
+    def choose(s: Column) -> Column:
+        raw = F.when(F.size(s["p"]) > 1, s["p"]).when(F.size(s["s"]) > 0, s["s"]).otherwise(F.array(key))
+        kept = F.slice(F.filter(raw, lambda c: F.length(c) > 5), 1, 5)
+        return let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(F.lit("Fulfill the core requirements of the answer key."))))
+
+    points, sentences = pieces(r"\n+\s*(?:-|\d+\.)\s*"), pieces(r"(?<=[.!?])\s+|\n+")
+    return let(F.struct(points.alias("p"), sentences.alias("s")), choose)
 
 
 def key_terms(description: Column, common) -> Column:
@@ -247,18 +259,19 @@ def key_terms(description: Column, common) -> Column:
 
 def keyword_ratio(description: Column, answer: Column) -> Column:
     """Share of the criterion's long words found in the answer; none to look for is 1."""
-    lowered = F.lower(answer)
     return let(
-        key_terms(description, X.RUBRIC_COMMON_WORDS),
-        lambda t: F.when(F.size(t) > 0, F.size(F.filter(t, lambda w: F.contains(lowered, w))) / F.size(t)).otherwise(1.0),
+        F.struct(key_terms(description, X.RUBRIC_COMMON_WORDS).alias("t"), F.lower(answer).alias("a")),
+        lambda s: F.when(
+            F.size(s["t"]) > 0, F.size(F.filter(s["t"], lambda w: F.contains(s["a"], w))) / F.size(s["t"])
+        ).otherwise(1.0),
     )
 
 
 def phrase_coverage(description: Column, answer: Column) -> Column:
     """0.4 x three-word chunks found + 0.6 x distinct words found; short criteria are 1."""
-    lowered = F.lower(answer)
 
-    def score(w: Column) -> Column:
+    def score(s: Column) -> Column:
+        w, lowered = s["w"], s["a"]
         n = F.floor(F.size(w) / 3).cast("int")
         chunks = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(w, (i - 1) * 3 + 1, 3), " "))
         unique = F.filter(F.array_distinct(w), lambda x: ~x.isin(*X.RUBRIC_FUNCTION_WORDS))
@@ -268,7 +281,7 @@ def phrase_coverage(description: Column, answer: Column) -> Column:
         ).otherwise(1.0)
         return F.when(F.size(w) < 3, 1.0).otherwise(chunk_part * 0.4 + word_part * 0.6)
 
-    return let(words(F.lower(description)), score)
+    return let(F.struct(words(F.lower(description)).alias("w"), F.lower(answer).alias("a")), score)
 
 
 def partial_credit(allocated: Column, met_ratio: Column) -> Column:
@@ -373,8 +386,8 @@ def bias_scan(answer: Column, feedback: Column) -> dict[str, Column]:
     """H23"""
     a, f = F.lower(F.coalesce(answer, F.lit(""))), F.lower(F.coalesce(feedback, F.lit("")))
     email = F.rlike(a, F.lit(X.BIAS_EMAIL))
-    risks = F.filter(strings(X.IDENTITY_TRIGGERS), lambda t: F.contains(a, t))
-    neat = F.filter(strings(X.NEATNESS_TRIGGERS), lambda t: F.contains(f, t))
+    risks = let(a, lambda low: F.filter(strings(X.IDENTITY_TRIGGERS), lambda t: F.contains(low, t)))
+    neat = let(f, lambda low: F.filter(strings(X.NEATNESS_TRIGGERS), lambda t: F.contains(low, t)))
     violations = F.concat(
         F.when(email, F.array(F.lit("Student email was not anonymized in transcription."))).otherwise(no_strings()),
         F.transform(risks, lambda t: F.concat(F.lit("Anonymization risk: student metadata trigger '"), t, F.lit("' detected in text."))),

@@ -44,7 +44,8 @@ def concept_coverage(prepared: DataFrame) -> DataFrame:
     Substring, token and synonym tests run in the JVM; only concepts they leave
     open, for rows that have any, reach the fuzzy test.
     """
-    lowered = F.lower("sanitized")
+    prepared = prepared.withColumn("_low", F.lower("sanitized"))
+    lowered = F.col("_low")
 
     def synonym(c: Column) -> Column:
         hits = [F.when(c == k, TX.contains_any(lowered, v)) for k, v in X.SYNONYMS.items()]
@@ -54,10 +55,10 @@ def concept_coverage(prepared: DataFrame) -> DataFrame:
     staged = prepared.withColumn("_plain", plain).withColumn("_open", F.array_except("expected", "_plain"))
     near = fuzzy_present("_open", F.when(F.size("_open") > 0, F.col("terms")).otherwise(TX.no_strings()))
     staged = staged.withColumn("_near", near)
-    found = F.filter("expected", lambda c: F.array_contains(F.col("_plain"), c) | F.array_contains(F.col("_near"), c))
+    found = TX.let(F.array_union("_plain", "_near"), lambda have: F.filter("expected", lambda c: F.array_contains(have, c)))
     staged = staged.withColumn("concepts_found", found).withColumn("concepts_missing", F.array_except("expected", "concepts_found"))
     share = F.when(F.size("expected") > 0, F.size("concepts_found") / F.size("expected") * 100.0).otherwise(0.0)
-    return rounded(staged.withColumn("coverage_percentage", share), coverage_percentage=2).drop("_plain", "_open", "_near")
+    return rounded(staged.withColumn("coverage_percentage", share), coverage_percentage=2).drop("_plain", "_open", "_near", "_low")
 
 
 def score_autonomously(answers: DataFrame) -> DataFrame:
@@ -72,8 +73,9 @@ def score_autonomously(answers: DataFrame) -> DataFrame:
     depth = TX.expected_depth(F.col("max_marks"))
     n_words = F.size(TX.words(F.col("sanitized")))
     threshold = F.coalesce(*[F.when(F.col("expected_depth") == k, F.lit(v)) for k, v in X.DEPTH_WORDS.items()])
-    lowered = F.lower("sanitized")
-    negations = F.size(F.filter(TX.strings(X.CONTRADICTION_TERMS), lambda t: F.contains(lowered, t)))
+    negations = TX.let(
+        F.lower("sanitized"), lambda low: F.size(F.filter(TX.strings(X.CONTRADICTION_TERMS), lambda t: F.contains(low, t)))
+    )
     staged = (
         covered.withColumn("expected_depth", depth)
         .withColumn("difficulty", TX.difficulty(F.col("max_marks")))
@@ -141,30 +143,30 @@ def generate_rubrics(questions: DataFrame) -> DataFrame:
     staged = questions.withColumn("max_score", F.coalesce(TX.marks_in_prompt(F.col("question_text")), F.lit(5.0))).withColumn(
         "_items", TX.rubric_descriptions(F.col("answer_key"))
     )
-    staged = staged.withColumn("_marks", TX.split_evenly(F.size("_items"), F.col("max_score")))
-    criteria = F.transform(
-        "_items",
-        lambda d, i: F.struct(
-            F.concat(F.lit("crit_"), (i + 1).cast("string")).alias("criterion_id"),
-            d.alias("description"),
-            F.get("_marks", i).alias("allocated_marks"),
-        ),
-    )
-    return staged.withColumn("criteria", criteria).drop("_items", "_marks")
+
+    def listed(s: Column) -> Column:
+        return F.transform(
+            s["items"],
+            lambda d, i: F.struct(
+                F.concat(F.lit("crit_"), (i + 1).cast("string")).alias("criterion_id"),
+                d.alias("description"),
+                F.get(s["marks"], i).alias("allocated_marks"),
+            ),
+        )
+
+    shares = TX.split_evenly(F.size("_items"), F.col("max_score"))
+    criteria = TX.let(F.struct(F.col("_items").alias("items"), shares.alias("marks")), listed)
+    return staged.withColumn("criteria", criteria).drop("_items")
 
 
 def score_with_rubric(answers: DataFrame, rubrics: DataFrame, keys: list[str]) -> DataFrame:
     """Rubric rows and the score per answer; rubrics join by question_id."""
-    text = F.col("answer_text")
-    staged = answers.join(rubrics, "question_id").withColumn(
-        "_r",
-        F.transform(
-            "criteria", lambda c: F.greatest(TX.keyword_ratio(c["description"], text), TX.phrase_coverage(c["description"], text))
-        ),
-    )
 
-    def point(c: Column, i: Column) -> Column:
-        ratio = F.get("_r", i)
+    def point(c: Column, text: Column) -> Column:
+        ratio = F.greatest(TX.keyword_ratio(c["description"], text), TX.phrase_coverage(c["description"], text))
+        return TX.let(ratio, lambda r: credited(c, r))
+
+    def credited(c: Column, ratio: Column) -> Column:
         awarded = TX.partial_credit(c["allocated_marks"], ratio)
         return F.struct(
             c["criterion_id"].alias("criterion_id"),
@@ -174,7 +176,8 @@ def score_with_rubric(answers: DataFrame, rubrics: DataFrame, keys: list[str]) -
             TX.criterion_met(c["allocated_marks"], awarded, ratio).alias("met"),
         )
 
-    staged = staged.withColumn("rubric_points", F.transform("criteria", point))
+    points = TX.let(F.lower("answer_text"), lambda low: F.transform("criteria", lambda c: point(c, low)))
+    staged = answers.join(rubrics, "question_id").withColumn("rubric_points", points)
     total = F.aggregate("rubric_points", F.lit(0.0), lambda acc, p: acc + p["marks_awarded"])
     scored = staged.withColumn("score_awarded", F.least(total, F.col("max_score")))
     return rounded(scored, score_awarded=2).select(*keys, "score_awarded", F.col("max_score").alias("max_marks"), "rubric_points")
@@ -295,16 +298,22 @@ def explain(evaluations: DataFrame) -> DataFrame:
     met = F.filter("rubric_points", lambda p: p["met"])
     terms = F.transform(met, lambda p: TX.key_terms(p["description"], X.EVIDENCE_COMMON_WORDS))
     normal = F.filter(F.transform(matched, TX.normalize_concept), lambda c: c != "")
-    described = F.filter(
-        F.transform(met, lambda p: F.lower(F.regexp_replace(TX.strip(p["description"]), r"(?i)^Coverage of expected concept:\s*", ""))),
-        lambda t: (t != "") & ~F.array_contains(F.transform(matched, lambda c: F.lower(c)), t),
+    bare = lambda p: F.lower(F.regexp_replace(TX.strip(p["description"]), r"(?i)^Coverage of expected concept:\s*", ""))
+    described = TX.let(
+        F.transform(matched, lambda c: F.lower(c)),
+        lambda known: F.filter(F.transform(met, bare), lambda t: (t != "") & ~F.array_contains(known, t)),
     )
     said = F.concat(
         F.transform(matched, lambda c: F.concat(F.lit("Student correctly identified "), c, F.lit(" as a key factor."))),
         F.transform(described, lambda t: F.concat(F.lit("Student explained "), t, F.lit(" involvement."))),
     )
-    lowered = F.transform(said, lambda t: F.lower(t))
-    reasoning = F.filter(said, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1)
+    reasoning = TX.let(
+        said,
+        lambda all_: TX.let(
+            F.transform(all_, lambda t: F.lower(t)),
+            lambda low: F.filter(all_, lambda t, i: F.array_position(low, F.lower(t)) == i + 1),
+        ),
+    )
     total = F.size(matched) + F.size(missing)
     coverage = F.when(total > 0, F.size(matched) / total * 100.0).otherwise(0.0)
     staged = (

@@ -37,13 +37,12 @@ def lifted_phrases(phrases: DataFrame, answers: DataFrame) -> DataFrame:
     p = phrases.select("phrase_id", plain(F.col("phrase_text")).alias("phrase")).withColumn("_w", F.split("phrase", " "))
     content = F.size(F.filter("_w", lambda w: F.length(w) > 1))
     p = p.filter(content >= MIN_CONTENT_WORDS)
-    inner = F.slice("_w", F.lit(2), F.size("_w") - 2)
-    size = F.least(F.lit(3), F.size("_w") - 2)
-    runs = p.select("phrase_id", "phrase", size.alias("n"), F.explode(_grams(inner, size)).alias("run"))
+    p = p.withColumn("_inner", F.slice("_w", F.lit(2), F.size("_w") - 2)).withColumn("n", F.least(F.lit(3), F.size("_w") - 2))
+    runs = p.select("phrase_id", "phrase", "n", F.explode(_grams(F.col("_inner"), F.col("n"))).alias("run"))
 
     a = answers.select("answer_id", plain(F.col("answer_text")).alias("plain_text"))
-    words = F.split("plain_text", " ")
-    per_answer = a.select(
+    words = F.col("_w")  # a column of its own: inside a lambda it would be split again per element
+    per_answer = a.withColumn("_w", F.split("plain_text", " ")).select(
         "answer_id",
         F.explode(F.concat(*[F.transform(_grams(words, F.lit(n)), lambda g: F.struct(F.lit(n).alias("n"), g.alias("run"))) for n in (1, 2, 3)])).alias("_g"),
     ).select("answer_id", "_g.*")
