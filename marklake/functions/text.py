@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marklake.functions import lexicon as X
@@ -34,6 +34,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def bind_columns(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later steps see as plain attributes.
+
+    withColumn alone lets the optimizer copy an expression into its readers, even into
+    a lambda or the arguments of a Python function. The output of a generator is not
+    copied; here it yields exactly one row per input row.
+    """
+    packed = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select("*", F.inline(packed))
+
+
 def collapse(text: Column) -> Column:
     """All whitespace runs to one space, ends trimmed."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

@@ -30,11 +30,13 @@ def prepare_answers(answers: DataFrame) -> DataFrame:
 
     ``answers``: question_text, answer_text, subject, max_marks and any ids.
     """
-    return (
-        answers.withColumn("sanitized", TX.sanitize(F.col("answer_text")))
-        .withColumn("domain", TX.infer_domain(F.col("question_text"), F.col("subject")))
-        .withColumn("expected", TX.expected_concepts(F.col("question_text"), F.col("domain")))
-        .withColumn("terms", TX.keywords(F.col("sanitized"), 200))
+    cleaned = TX.bind_columns(
+        answers, sanitized=TX.sanitize(F.col("answer_text")), domain=TX.infer_domain(F.col("question_text"), F.col("subject"))
+    )
+    return TX.bind_columns(
+        cleaned,
+        expected=TX.expected_concepts(F.col("question_text"), F.col("domain")),
+        terms=TX.keywords(F.col("sanitized"), 200),
     )
 
 
@@ -44,7 +46,7 @@ def concept_coverage(prepared: DataFrame) -> DataFrame:
     Substring, token and synonym tests run in the JVM; only concepts they leave
     open, for rows that have any, reach the fuzzy test.
     """
-    prepared = prepared.withColumn("_low", F.lower("sanitized"))
+    prepared = TX.bind_columns(prepared, _low=F.lower("sanitized"))
     lowered = F.col("_low")
 
     def synonym(c: Column) -> Column:
@@ -52,13 +54,14 @@ def concept_coverage(prepared: DataFrame) -> DataFrame:
         return F.coalesce(*hits, F.lit(False))
 
     plain = F.filter("expected", lambda c: F.contains(lowered, c) | F.array_contains(F.col("terms"), c) | synonym(c))
-    staged = prepared.withColumn("_plain", plain).withColumn("_open", F.array_except("expected", "_plain"))
-    near = fuzzy_present("_open", F.when(F.size("_open") > 0, F.col("terms")).otherwise(TX.no_strings()))
-    staged = staged.withColumn("_near", near)
-    found = TX.let(F.array_union("_plain", "_near"), lambda have: F.filter("expected", lambda c: F.array_contains(have, c)))
+    staged = TX.bind_columns(prepared, _plain=plain)
+    open_ = F.array_except("expected", "_plain")
+    staged = TX.bind_columns(staged, _open=open_, _tokens=F.when(F.size(open_) > 0, F.col("terms")))
+    staged = staged.withColumn("_near", fuzzy_present("_open", "_tokens"))
+    found = F.array_intersect("expected", F.array_union("_plain", "_near"))  # keeps the order of the expected ones
     staged = staged.withColumn("concepts_found", found).withColumn("concepts_missing", F.array_except("expected", "concepts_found"))
     share = F.when(F.size("expected") > 0, F.size("concepts_found") / F.size("expected") * 100.0).otherwise(0.0)
-    return rounded(staged.withColumn("coverage_percentage", share), coverage_percentage=2).drop("_plain", "_open", "_near", "_low")
+    return rounded(staged.withColumn("coverage_percentage", share), coverage_percentage=2).drop("_plain", "_open", "_tokens", "_near", "_low")
 
 
 def score_autonomously(answers: DataFrame) -> DataFrame:
@@ -120,13 +123,18 @@ def score_autonomously(answers: DataFrame) -> DataFrame:
 def concept_rubric(expected: Column, found: Column, max_marks: Column) -> Column:
     """An even share per concept, all or nothing; the last takes the remainder."""
     n = F.size(expected)
-    each = round_even(max_marks / n, 2)
-    spent = F.aggregate(F.array_repeat(each, n), F.lit(0.0), lambda acc, x: acc + x)
-    remainder = round_even(max_marks - spent, 2)
 
-    def point(concept: Column, i: Column) -> Column:
-        share = F.when(i == n - 1, round_even(each + remainder, 2)).otherwise(each)
-        met = F.array_contains(found, concept)
+    def last_share(each: Column) -> Column:
+        spent = F.aggregate(F.array_repeat(each, n), F.lit(0.0), lambda acc, x: acc + x)
+        rest = TX.let(max_marks - spent, lambda x: round_even(x, 2))
+        return TX.let(each + rest, lambda x: round_even(x, 2))
+
+    def points(s: Column) -> Column:
+        return F.transform(expected, lambda concept, i: point(s, concept, i))
+
+    def point(s: Column, concept: Column, i: Column) -> Column:
+        share = F.when(i == n - 1, s["last"]).otherwise(s["each"])
+        met = F.array_contains(s["found"], concept)
         return F.struct(
             F.concat(F.lit("auto_concept_"), (i + 1).cast("string")).alias("criterion_id"),
             F.concat(F.lit(AUTO_PREFIX), concept).alias("description"),
@@ -135,7 +143,9 @@ def concept_rubric(expected: Column, found: Column, max_marks: Column) -> Column
             met.alias("met"),
         )
 
-    return F.transform(expected, point)
+    each = TX.let(max_marks / n, lambda x: round_even(x, 2))
+    bound = TX.let(each, lambda e: F.struct(e.alias("each"), last_share(e).alias("last")))
+    return TX.let(F.struct(bound["each"].alias("each"), bound["last"].alias("last"), found.alias("found")), points)
 
 
 def generate_rubrics(questions: DataFrame) -> DataFrame:
@@ -316,8 +326,9 @@ def explain(evaluations: DataFrame) -> DataFrame:
     )
     total = F.size(matched) + F.size(missing)
     coverage = F.when(total > 0, F.size(matched) / total * 100.0).otherwise(0.0)
+    bound = TX.bind_columns(evaluations, _wanted=normal, _terms=terms, _base=F.col("confidence"), _said=F.col("answer_text"))
     staged = (
-        evaluations.withColumn("_evidence", evidence_snippets(F.lower(F.coalesce("answer_text", F.lit(""))), normal, terms, F.col("confidence")))
+        bound.withColumn("_evidence", evidence_snippets("_said", "_wanted", "_terms", "_base"))
         .withColumn("_reasoning", reasoning)
         .withColumn("_not", F.transform(missing, lambda c: F.concat(TX.title_words(c), F.lit(" was not discussed."))))
         .withColumn("_coverage", coverage)
@@ -330,4 +341,4 @@ def explain(evaluations: DataFrame) -> DataFrame:
             F.col("_reasoning").alias("reasoning"),
             F.col("_not").alias("missing_reasoning"),
         ),
-    ).drop("_evidence", "_reasoning", "_not", "_coverage")
+    ).drop("_wanted", "_terms", "_base", "_said", "_evidence", "_reasoning", "_not", "_coverage")
