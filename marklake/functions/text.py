@@ -81,10 +81,8 @@ def title_words(text: Column) -> Column:
 
 def normalize_concept(text: Column) -> Column:
     """H1"""
-    lowered = strip(F.lower(F.coalesce(text, F.lit(""))))
-    bare = F.regexp_replace(lowered, r"^coverage of expected concept:\s*", "")
-    spaced = F.translate(bare, "_-", "  ")
-    return F.trim(F.regexp_replace(F.regexp_replace(spaced, r"[^a-z0-9+ ]+", " "), r"\s+", " "))
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"^\s*coverage of expected concept:\s*", "")
+    return F.trim(F.regexp_replace(bare, r"[^a-z0-9+]+", " "))
 
 
 _REFUSED = sorted(

@@ -234,42 +234,38 @@ def _zero(x: Column) -> Column:
 def teacher_overview(subs: DataFrame, exams: DataFrame) -> DataFrame:
     """D1 for every teacher, plus the admin row (teacher_id NULL, all exams).
 
-    Both sides go through GROUPING SETS once; exams keep their own count because
-    an exam without submissions still counts.
+    Submissions are summed by exam and document mode before they meet the exams, so
+    no exam, however large, crosses the join as rows. Exams without submissions count.
     """
-    by_exam = (
-        exams.select("exam_id", "teacher_id", "results_published", "evaluation_mode", "answer_key_url")
-        .join(
-            subs.select("exam_id", "submission_id", "status", "obtained_marks", "evaluation_confidence", "document_mode"),
-            "exam_id",
-            "left",
-        )
-        .groupBy("exam_id", "teacher_id", "results_published")
-        .agg(
-            F.count("submission_id").alias("n"),
-            F.count_if(F.col("status") == COMPLETED).alias("done"),
-            F.sum(_done("obtained_marks")).alias("s_marks"),
-            F.count(_done("obtained_marks")).alias("n_marks"),
-            F.sum(_done("evaluation_confidence")).alias("s_conf"),
-            F.count(_done("evaluation_confidence")).alias("n_conf"),
-            *mode_counts(),
-        )
+    summed = subs.groupBy("exam_id", "document_mode").agg(
+        F.count("submission_id").alias("n"),
+        F.count_if(F.col("status") == COMPLETED).alias("done"),
+        F.sum(_done("obtained_marks")).alias("s_marks"),
+        F.count(_done("obtained_marks")).alias("n_marks"),
+        F.sum(_done("evaluation_confidence")).alias("s_conf"),
+        F.count(_done("evaluation_confidence")).alias("n_conf"),
+    )
+    cells = exams.select("exam_id", "teacher_id", "results_published", "evaluation_mode", "answer_key_url").join(summed, "exam_id", "left")
+    by_exam = cells.groupBy("exam_id", "teacher_id", "results_published").agg(
+        *[F.sum(c).alias(c) for c in ("n", "done", "s_marks", "n_marks", "s_conf", "n_conf")],
+        *[F.sum(F.when(resolved_mode() == m, F.col("done"))).alias(m) for m in MODES],
     )
     exams_n, pub = F.count(F.lit(1)), F.count_if("results_published")
     avg_marks = round_even(_zero(F.sum("s_marks") / F.nullif(F.sum("n_marks"), F.lit(0))), 2)
     avg_conf = round_even(_zero(F.sum("s_conf") / F.nullif(F.sum("n_conf"), F.lit(0))), 4)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return by_exam.groupingSets([["teacher_id"], []], "teacher_id").agg(
         exams_n.alias("total_exams"),
-        F.sum("n").alias("total_submissions"),
-        F.sum("done").alias("evaluated_submissions"),
+        total("n").alias("total_submissions"),
+        total("done").alias("evaluated_submissions"),
         avg_marks.alias("average_score"),
         avg_conf.alias("average_confidence"),
         pub.alias("published_exams_count"),
         (exams_n - pub).alias("unpublished_exams_count"),
         avg_marks.alias("average_student_score"),
         round_even(pub / exams_n * 100.0, 2).alias("result_publication_rate"),
-        F.sum("autonomous_evaluations").alias("autonomous_evaluations"),
-        F.sum("answer_key_evaluations").alias("answer_key_evaluations"),
+        total(MODES[0]).alias("autonomous_evaluations"),
+        total(MODES[1]).alias("answer_key_evaluations"),
     )
 
 
@@ -282,7 +278,7 @@ def overview_metrics(subs: DataFrame, exams: DataFrame, user_id=None, is_admin:
 
 
 def exam_aggregates() -> list[Column]:
-    """Over the submissions of an exam (left-joined, so NULL rows are no submission)."""
+    """Over the submissions of an exam."""
     total, done = F.count("submission_id"), F.count_if(F.col("status") == COMPLETED)
     return [
         total.alias("submission_count"),
@@ -294,13 +290,13 @@ def exam_aggregates() -> list[Column]:
 
 
 def exam_analytics(subs: DataFrame, exams: DataFrame, extra: list[Column] | None = None) -> DataFrame:
-    """D2 (+ any further conditional aggregates) for every exam in one pass."""
-    return (
-        exams.select("exam_id", "title")
-        .join(subs, "exam_id", "left")
-        .groupBy("exam_id", "title")
-        .agg(*exam_aggregates(), *(extra or []))
-    )
+    """D2 (+ any further conditional aggregates) for every exam in one pass.
+
+    Submissions are aggregated first; the exams then meet one row each, and an exam
+    without submissions gets zeros.
+    """
+    figures = subs.groupBy("exam_id").agg(*exam_aggregates(), *(extra or []))
+    return exams.select("exam_id", "title").join(figures, "exam_id", "left").na.fill(0)
 
 
 def class_analytics(subs: DataFrame, exams: DataFrame) -> DataFrame:

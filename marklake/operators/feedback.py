@@ -22,7 +22,7 @@ def keep_first(items: DataFrame, keys: list[str], item: str, order: str, limit:
     """
     folded = F.lower(TX.collapse(F.col(item)))
     once = (
-        items.withColumn("_fold", folded)
+        TX.bind_columns(items, _fold=folded)
         .filter("_fold <> ''")
         .groupBy(*keys, "_fold")
         .agg(F.min(F.struct(F.col(order).alias("o"), F.trim(F.col(item)).alias("t"))).alias("_first"))
@@ -45,35 +45,30 @@ def rubric_rows(questions: DataFrame, keys: list[str]) -> DataFrame:
     """One row per rubric point with a usable concept. ``questions``: keys, question_number,
     question_order, rubric_points."""
     p = F.col("p")
-    rows = questions.select(*keys, "question_number", "question_order", F.posexplode("rubric_points").alias("_i", "p")).select(
+    points = questions.select(*keys, "question_number", "question_order", F.posexplode("rubric_points").alias("_i", "p")).select(
         *keys,
         "question_number",
         (F.col("question_order") * 1000 + F.col("_i")).alias("place"),
-        TX.normalize_concept(p["description"]).alias("concept"),
+        p["description"].alias("_d"),
         p["allocated_marks"].alias("allocated_marks"),
         p["marks_awarded"].alias("marks_awarded"),
         p["met"].alias("met"),
     )
-    return rows.filter(TX.is_valid_normalized(F.col("concept")))
+    named = TX.bind_columns(points, concept=TX.normalize_concept(F.col("_d"))).drop("_d")
+    return TX.bind_columns(named.filter(TX.is_valid_normalized(F.col("concept"))), title=topic_title(F.col("concept")))
 
 
-def _listed(rows: DataFrame, keys: list[str], name: str, limit: int = 3) -> DataFrame:
-    kept = keep_first(rows, keys, "text", "place", limit)
-    item = F.struct("rank", "text")
-    return kept.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(item)), lambda s: s["text"]).alias(name))
+# Kind of feedback item -> how many are kept per submission.
+LIMITS = {"strengths": 3, "weaknesses": 3, "improvements": 3, "study_recommendations": 4}
 
 
 def _prefixed(text: Column) -> Column:
     return F.concat(F.lit("Q"), F.col("question_number"), F.lit(": "), text)
 
 
-def submission_feedback(questions: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
-    """Strengths, weaknesses, improvements, study topics and summary per submission.
-
-    ``totals``: keys, total_score, max_possible. ``questions`` may carry missing_concepts.
-    """
-    rows = rubric_rows(questions, keys)
-    title = topic_title(F.col("concept"))
+def _items(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, kind, text, place): all feedback a rubric row gives rise to, in one pass."""
+    title = F.col("title")
     strong = F.col("met") | (F.col("marks_awarded") >= F.col("allocated_marks") * 0.8)
     weak = ~F.col("met") & (F.col("marks_awarded") < F.col("allocated_marks") * 0.5)
     praise = F.concat(F.lit("Explained "), title, F.lit(" with clear connection to the question."))
@@ -81,23 +76,67 @@ def submission_feedback(questions: DataFrame, totals: DataFrame, keys: list[str]
     revise = _lookup(
         F.col("concept"), X.CONCEPT_INSTRUCTIONS, F.concat(F.lit("Revise "), title, F.lit(" and explain its role using one complete sentence."))
     )
-    strengths = _listed(rows.filter(strong).withColumn("text", _prefixed(praise)), keys, "strengths")
-    weaknesses = _listed(rows.filter(weak).withColumn("text", _prefixed(lack)), keys, "weaknesses")
-    improvements = _listed(rows.filter(~F.col("met")).withColumn("text", _prefixed(revise)), keys, "improvements")
-    topics = study_topics(questions, rows, keys)
-    out = totals.join(strengths, keys, "left").join(weaknesses, keys, "left").join(improvements, keys, "left").join(topics, keys, "left")
-
-    def default(name: str, text: str | list[str]) -> Column:
-        values = [text] if isinstance(text, str) else text
-        return F.coalesce(F.col(name), TX.strings(values))
-
-    out = (
-        out.withColumn("strengths", default("strengths", NO_STRENGTH))
-        .withColumn("weaknesses", default("weaknesses", NO_WEAKNESS))
-        .withColumn("improvements", default("improvements", NO_IMPROVEMENT))
-        .withColumn("study_recommendations", default("study_recommendations", DEFAULT_TOPICS))
+
+    def item(kind: str, holds: Column, text: Column, place: Column) -> Column:
+        return F.when(holds, F.struct(F.lit(kind).alias("kind"), text.alias("text"), place.alias("place")))
+
+    # Within a question, missing concepts come before its rubric points.
+    topic_place = F.col("place") + 500
+    made = F.array_compact(
+        F.array(
+            item("strengths", strong, _prefixed(praise), F.col("place")),
+            item("weaknesses", weak, _prefixed(lack), F.col("place")),
+            item("improvements", ~F.col("met"), _prefixed(revise), F.col("place")),
+            item("study_recommendations", ~F.col("met"), title, topic_place),
+        )
+    )
+    fixed = F.transform(
+        F.when(~F.col("met") & (F.col("concept") == "photosynthesis"), TX.strings(X.PHOTOSYNTHESIS_TOPICS)).otherwise(TX.no_strings()),
+        lambda t, i: F.struct(F.lit("study_recommendations").alias("kind"), t.alias("text"), (i - 100).cast("bigint").alias("place")),
     )
-    return out.withColumn("summary", summary_text())
+    return rows.select(*keys, F.explode(F.concat(made, fixed)).alias("_x")).select(*keys, "_x.*")
+
+
+def _missing_items(questions: DataFrame, keys: list[str]) -> DataFrame:
+    """Study topics from the missing concepts of each question."""
+    concept = TX.normalize_concept(F.col("_c"))
+    rows = questions.select(*keys, "question_order", F.posexplode("missing_concepts").alias("_i", "_c")).select(
+        *keys, concept.alias("concept"), (F.col("question_order") * 1000 + F.least(F.col("_i"), F.lit(499))).alias("place")
+    )
+    rows = rows.filter(TX.is_valid_normalized(F.col("concept")))
+    fixed = F.when(F.col("concept") == "photosynthesis", TX.strings(X.PHOTOSYNTHESIS_TOPICS)).otherwise(TX.no_strings())
+    own = F.struct(F.lit("study_recommendations").alias("kind"), topic_title(F.col("concept")).alias("text"), F.col("place").alias("place"))
+    topics = F.transform(
+        fixed, lambda t, i: F.struct(F.lit("study_recommendations").alias("kind"), t.alias("text"), (i - 100).cast("bigint").alias("place"))
+    )
+    return rows.select(*keys, F.explode(F.concat(F.array(own), topics)).alias("_x")).select(*keys, "_x.*")
+
+
+def submission_feedback(questions: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Strengths, weaknesses, improvements, study topics and summary per submission.
+
+    ``totals``: keys, total_score, max_possible. ``questions`` may carry missing_concepts.
+    All four lists come from one keep-first pass over (submission, kind).
+    """
+    items = _items(rubric_rows(questions, keys), keys)
+    if "missing_concepts" in questions.columns:
+        items = items.unionByName(_missing_items(questions, keys))
+    kept = keep_first(items, [*keys, "kind"], "text", "place", max(LIMITS.values()))
+
+    def gathered(kind: str) -> Column:
+        item = F.when((F.col("kind") == kind) & (F.col("rank") <= LIMITS[kind]), F.struct("rank", "text"))
+        return F.transform(F.sort_array(F.collect_list(item)), lambda s: s["text"]).alias(kind)
+
+    lists = kept.groupBy(*keys).agg(*[gathered(k) for k in LIMITS])
+    out = totals.join(lists, keys, "left")
+    defaults = {
+        "strengths": [NO_STRENGTH],
+        "weaknesses": [NO_WEAKNESS],
+        "improvements": [NO_IMPROVEMENT],
+        "study_recommendations": DEFAULT_TOPICS,
+    }
+    filled = {k: F.when(F.size(k) > 0, F.col(k)).otherwise(TX.strings(v)) for k, v in defaults.items()}
+    return out.withColumns(filled).withColumn("summary", summary_text())
 
 
 def summary_text() -> Column:
@@ -117,31 +156,6 @@ def summary_text() -> Column:
     return F.concat(head, strong, weak)
 
 
-def study_topics(questions: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Topics from missing concepts and unmet points, four at most."""
-    unmet = rows.filter(~F.col("met")).select(*keys, "concept", "place")
-    if "missing_concepts" in questions.columns:
-        missing = (
-            questions.select(*keys, "question_order", F.posexplode("missing_concepts").alias("_i", "_c"))
-            .select(*keys, TX.normalize_concept(F.col("_c")).alias("concept"), (F.col("question_order") * 1000 + F.col("_i") - 1000000).alias("place"))
-            .filter(TX.is_valid_normalized(F.col("concept")))
-        )
-        # Within a question, missing concepts come before its rubric points.
-        unmet = unmet.withColumn("_o", F.floor(F.col("place") / 1000) * 2 + 1).unionByName(
-            missing.withColumn("_o", F.floor((F.col("place") + 1000000) / 1000) * 2)
-        )
-        unmet = unmet.select(*keys, "concept", (F.col("_o") * 1000 + F.pmod("place", F.lit(1000))).alias("place"))
-    titles = unmet.select(*keys, topic_title(F.col("concept")).alias("text"), "place")
-    fixed = (
-        unmet.filter("concept = 'photosynthesis'")
-        .select(*keys)
-        .distinct()
-        .select(*keys, F.posexplode(TX.strings(X.PHOTOSYNTHESIS_TOPICS)).alias("_i", "text"))
-        .select(*keys, "text", (F.col("_i") - 100).cast("bigint").alias("place"))
-    )
-    return _listed(titles.unionByName(fixed), keys, "study_recommendations", 4)
-
-
 def autonomous_feedback(base: DataFrame, questions: DataFrame, keys: list[str]) -> DataFrame:
     """H27 in autonomous mode: "Covered ..." strengths follow, four at most; its own summary.
 

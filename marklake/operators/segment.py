@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,15 +118,15 @@ def order_status(regions: DataFrame) -> DataFrame:
     A region is out of order when a higher number came before it; the region in
     front of it shares the doubt. Only regions that are otherwise OK are marked.
     """
-    number = F.col("question_number").try_cast("bigint") if hasattr(Column, "try_cast") else F.col("question_number").cast("bigint")
-    first_of_number = F.min("region_no").over(Window.partitionBy("script_id", "question_number"))
+    number = F.col("question_number").try_cast("bigint")
+    first = regions.groupBy("script_id", "question_number").agg(F.min("region_no").alias("_first_no"))
     status = (
         F.when(F.col("question_number") == UNMAPPED, "UNMAPPED_REGION")
-        .when(F.col("region_no") > first_of_number, "AMBIGUOUS_MAPPING")
+        .when(F.col("region_no") > F.col("_first_no"), "AMBIGUOUS_MAPPING")
         .when(F.col("n_pages") > 1, "SPANS_PAGES")
         .otherwise("OK")
     )
-    staged = regions.withColumn("status", status).withColumn("_number", number)
+    staged = regions.join(first, ["script_id", "question_number"]).select(*regions.columns, status.alias("status"), number.alias("_number"))
     order = ["region_no"]
     highest = before(staged, ["script_id"], "first_page", order, {"_highest": ("max", F.col("_number"))})
     descending = F.coalesce(F.col("_number") < F.col("_highest"), F.lit(False))
@@ -333,15 +333,14 @@ def paper_questions(lines: DataFrame) -> DataFrame:
         F.col("_part.part_header").alias("part_header"),
         F.col("_told.instruction").alias("instruction"),
     )
-    first = Window.partitionBy("paper_id", "question_number")
-    starts = starts.withColumn("_first", F.min("_segment").over(first) == F.col("_segment"))
+    body = F.struct("_segment", "_rest", "part", "part_header", "instruction")
+    first = starts.groupBy("paper_id", "question_number").agg(F.min(body).alias("_b")).select("paper_id", "question_number", "_b.*")
     more = scanned.filter((F.col("_kind") == "text") & (strip(t) != "")).select("paper_id", "_segment", *at, strip(t).alias("_line"))
     pieces = starts.select("paper_id", "_segment", "question_number").join(more, ["paper_id", "_segment"])
     continued = pieces.groupBy("paper_id", "question_number").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_segment", "block", "line_idx", "_line"))), lambda s: s["_line"]), " ").alias("_more")
     )
     return (
-        starts.filter("_first")
-        .join(continued, ["paper_id", "question_number"], "left")
+        first.join(continued, ["paper_id", "question_number"], "left")
         .select("paper_id", "question_number", F.concat_ws(" ", "_rest", "_more").alias("question_text"), "part", "part_header", "instruction")
     )

@@ -14,6 +14,7 @@ from marklake.plans import text_queries as TQ
 from marklake.plans import views as V
 from marklake.plans.common import Catalog
 from marklake.plans.views import r, with_views
+from marklake.session import spread
 
 query = Catalog()
 
@@ -280,7 +281,7 @@ def h27_question_feedback(spark, d):
 
 
 def _rubric_questions(spark, d):
-    q = V.question_evaluations(spark, d)
+    q = V.question_evaluations(spark, d).transform(spread)
     met = F.col("score_awarded") >= F.col("max_marks") * 0.6
     point = F.struct(
         F.lit("c1").alias("criterion_id"),

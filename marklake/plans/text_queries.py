@@ -17,6 +17,7 @@ from marklake.plans import segment_queries as SQ
 from marklake.plans import views as V
 from marklake.plans.common import Catalog
 from marklake.plans.views import r, with_views
+from marklake.session import spread
 
 query = Catalog()
 
@@ -59,7 +60,7 @@ def _keywords_sql(t: str, limit: int) -> str:
 
 
 def docs(spark, d):
-    return V.table(spark, d, "documents")
+    return spread(V.table(spark, d, "documents"))
 
 
 def paired(spark, d):
@@ -68,8 +69,9 @@ def paired(spark, d):
     n = bench.agg(F.count(F.lit(1))).scalar()
     questions = bench.select("item_id", F.col("text").alias("question_text"))
     return (
-        docs(spark, d)
+        V.table(spark, d, "documents")
         .select(F.col("doc_id").alias("answer_id"), F.col("text").alias("answer_text"), (F.col("doc_id") % n).alias("item_id"))
+        .transform(spread)
         .join(questions, "item_id")
     )
 

@@ -49,4 +49,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def plan_size_bytes(df: DataFrame) -> int:
     """Catalyst's own size estimate of a frame (no job is run)."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(str(stats.sizeInBytes()))
+
+
+SPREAD_BELOW_BYTES = 64 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before work that is heavy per row.
+
+    A file of one row group is one task however many cores there are. The size estimate
+    decides: an input that already fills the cluster is left where it is, unshuffled.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if plan_size_bytes(df) < n * SPREAD_BELOW_BYTES else df
