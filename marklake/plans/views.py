@@ -45,6 +45,7 @@ def question_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lpad(F.col("l_linenumber").cast("string"), 2, "0"),
             F.lpad(F.col("l_partkey").cast("string"), 9, "0"),
             F.lpad(F.col("l_suppkey").cast("string"), 9, "0"),
+            F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"),
         ).alias("question_number"),
         F.col("l_linenumber").cast("bigint").alias("question_order"),
         F.col("l_quantity").alias("max_marks"),
@@ -139,6 +140,7 @@ def value_point_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lpad(F.col("l_linenumber").cast("string"), 2, "0"),
             F.lpad(F.col("l_partkey").cast("string"), 9, "0"),
             F.lpad(F.col("l_suppkey").cast("string"), 9, "0"),
+            F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"),
         ).alias("value_point_id"),
         F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("group_id"),
         F.when(F.col("l_returnflag") == "A", "ANY_N").when(F.col("l_returnflag") == "R", "ALL").alias("group_rule"),
@@ -203,7 +205,7 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """SELECT l_orderkey AS submission_id,
         concat_ws('-', lpad(l_linenumber::VARCHAR, 2, '0'), lpad(l_partkey::VARCHAR, 9, '0'),
-                  lpad(l_suppkey::VARCHAR, 9, '0')) AS question_number,
+                  lpad(l_suppkey::VARCHAR, 9, '0'), round(l_extendedprice*100)::BIGINT::VARCHAR) AS question_number,
         l_linenumber::BIGINT AS question_order, l_quantity AS max_marks,
         floor(l_quantity * ((l_partkey*31 + l_suppkey*17 + l_linenumber*7) % 101) / 50.0::DOUBLE) / 2.0::DOUBLE AS score_awarded,
         1.0::DOUBLE - round(l_discount*100) / 32.0::DOUBLE AS confidence,
@@ -248,7 +250,7 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """SELECT l_orderkey AS question_id,
         concat_ws('-', lpad(l_linenumber::VARCHAR, 2, '0'), lpad(l_partkey::VARCHAR, 9, '0'),
-                  lpad(l_suppkey::VARCHAR, 9, '0')) AS value_point_id,
+                  lpad(l_suppkey::VARCHAR, 9, '0'), round(l_extendedprice*100)::BIGINT::VARCHAR) AS value_point_id,
         CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS group_id,
         CASE l_returnflag WHEN 'A' THEN 'ANY_N' WHEN 'R' THEN 'ALL' END AS group_rule,
         CASE WHEN l_returnflag = 'A' THEN 2 END AS group_n, l_quantity AS marks, l_linestatus = 'F' AS matched,
