@@ -18,17 +18,15 @@ DEFAULT_TOPICS = ["Core Concepts From This Exam", "Answer Structure And Explanat
 def keep_first(items: DataFrame, keys: list[str], item: str, order: str, limit: int) -> DataFrame:
     """First of each text (case and spacing folded), the first n per key.
 
-    Repeats are reduced map-side; the rank keeps only n rows per key and task.
+    Repeats are reduced map-side by hash; only the smallest place is kept, so the
+    aggregation needs no sort. The rank then keeps n rows per key and task.
     """
-    folded = F.lower(TX.collapse(F.col(item)))
-    once = (
-        TX.bind_columns(items, _fold=folded)
-        .filter("_fold <> ''")
-        .groupBy(*keys, "_fold")
-        .agg(F.min(F.struct(F.col(order).alias("o"), F.trim(F.col(item)).alias("t"))).alias("_first"))
-    )
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_first"))
-    return once.withColumn("rank", rank).filter(F.col("rank") <= limit).select(*keys, "rank", F.col("_first.t").alias(item))
+    bound = TX.bind_columns(items, _fold=F.lower(TX.collapse(F.col(item))), _text=F.trim(item))
+    once = bound.filter("_fold <> ''").groupBy(*keys, "_fold", "_text").agg(F.min(order).alias("_at"))
+    same = F.row_number().over(Window.partitionBy(*keys, "_fold").orderBy("_at", "_text"))
+    first = once.withColumn("_same", same).filter("_same = 1")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_at", "_text"))
+    return first.withColumn("rank", rank).filter(F.col("rank") <= limit).select(*keys, "rank", F.col("_text").alias(item))
 
 
 def topic_title(concept: Column) -> Column:

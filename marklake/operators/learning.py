@@ -87,7 +87,14 @@ def knowledge_gaps(questions: DataFrame, keys: list[str], order: str) -> DataFra
 
 
 def recommendations(mastery: DataFrame, gaps: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, position, recommendation), five at most per key."""
+    """(keys, position, recommendation), five at most per key; praise where there is nothing to advise."""
+    top = ranked_advice(mastery, gaps, keys)
+    praised = mastery.select(*keys).distinct().join(top.filter("position = 1").select(*keys), keys, "left_anti")
+    return top.unionByName(praised.select(*keys, F.lit(1).alias("position"), F.lit(PRAISE).alias("recommendation")))
+
+
+def ranked_advice(mastery: DataFrame, gaps: DataFrame, keys: list[str]) -> DataFrame:
+    """The advice of each key that has any, best five. The rank drops the rest map-side."""
     topic = F.col("topic")
     status = F.col("status")
     kinds = F.when(status == "CRITICAL", 1).when(status == "WEAK", 2).otherwise(3)
@@ -111,9 +118,7 @@ def recommendations(mastery: DataFrame, gaps: DataFrame, keys: list[str]) -> Dat
     from_gaps = gaps.select(*keys, F.lit(4).alias("kind"), "first_seen", advice.alias("recommendation")).filter("recommendation is not null")
     first = from_topics.unionByName(from_gaps).groupBy(*keys, "recommendation").agg(F.min(F.struct("kind", "first_seen")).alias("_rank"))
     position = F.row_number().over(Window.partitionBy(*keys).orderBy("_rank", "recommendation"))
-    top = first.withColumn("position", position).filter(F.col("position") <= MAX_RECOMMENDATIONS).select(*keys, "position", "recommendation")
-    praised = mastery.select(*keys).distinct().join(top.select(*keys).distinct(), keys, "left_anti")
-    return top.unionByName(praised.select(*keys, F.lit(1).alias("position"), F.lit(PRAISE).alias("recommendation")))
+    return first.withColumn("position", position).filter(F.col("position") <= MAX_RECOMMENDATIONS).select(*keys, "position", "recommendation")
 
 
 def analyze(questions: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -133,7 +138,7 @@ def analyze(questions: DataFrame, keys: list[str], order: str) -> DataFrame:
         topics("MASTERED").alias("mastered_topics"),
         topics("WEAK", "CRITICAL").alias("weak_topics"),
     )
-    advice = recommendations(mastery, gaps, keys).groupBy(*keys).agg(
+    advice = ranked_advice(mastery, gaps, keys).groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("position", "recommendation"))), lambda s: s["recommendation"]).alias("recommendations")
     )
     gap_list = gaps.groupBy(*keys).agg(
@@ -143,4 +148,5 @@ def analyze(questions: DataFrame, keys: list[str], order: str) -> DataFrame:
         ).alias("knowledge_gaps")
     )
     summary = rounded(summary.withColumnRenamed("_mean", "overall_mastery"), overall_mastery=4)
-    return summary.join(advice, keys, "left").join(gap_list, keys, "left")
+    praised = F.coalesce("recommendations", F.array(F.lit(PRAISE)))
+    return summary.join(advice, keys, "left").join(gap_list, keys, "left").withColumn("recommendations", praised)
