@@ -2,7 +2,9 @@
 
 A plain window sends all rows of a key to one task. Here a key is cut into chunks
 along its order (pages of a script, months of a history): rows are scanned inside
-chunks, and only one summary row per chunk is scanned across chunks.
+chunks, and only one summary row per chunk is scanned across chunks. The summaries are
+kept in the checkpoint folder: joined back lazily, each scan would run its input twice,
+and a chain of scans would double again at every step.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marklake.session import checkpointed
+
 _FUNCS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -33,7 +37,7 @@ def before(
         *keys, chunk, *[_FUNCS[f](f"_t_{n}").over(across).alias(f"_o_{n}") for n, (f, _) in measures.items()]
     )
     within = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = staged.join(offsets, [*keys, chunk])
+    joined = staged.join(checkpointed(offsets), [*keys, chunk])
     out = [F.col(c) for c in df.columns]
     for n, (f, _) in measures.items():
         local, offset = _FUNCS[f](f"_v_{n}").over(within), F.col(f"_o_{n}")
@@ -55,7 +59,7 @@ def _neighbour(df: DataFrame, keys: list[str], chunk: str, order: list, name: st
     edges = edge.select(*keys, chunk, step("_edge").over(across).alias("_other"))
     at_edge = step(F.lit(True)).over(inner).isNull()
     value = F.when(at_edge, F.col("_other")).otherwise(step("_v").over(inner))
-    return staged.join(edges, [*keys, chunk]).withColumn(name, value).select(*df.columns, name)
+    return staged.join(checkpointed(edges), [*keys, chunk]).withColumn(name, value).select(*df.columns, name)
 
 
 def following(df: DataFrame, keys: list[str], chunk: str, order: list, name: str, expr: Column) -> DataFrame:
@@ -71,30 +75,40 @@ def previous(df: DataFrame, keys: list[str], chunk: str, order: list, name: str,
 _BUCKETS = 1024
 
 
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, _v, _c): how often each value occurs, kept once for the passes that follow."""
+    v = F.col(value)
+    return checkpointed(df.filter(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+
+
 def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Exact median per key: (keys, n, median).
+    """Exact median per key: (keys, n, median)."""
+    return median_of_counts(value_counts(df, keys, value), keys)
+
+
+def median_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact median from counted values (keys, _v, _c).
 
     Values are counted first, so ties cost nothing. Counts over at most 1024
     equal-width buckets find the bucket of the middle ranks; only the distinct
     values of that bucket are then ordered. No task holds a whole key.
     """
-    v = F.col(value)
-    counts = df.filter(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     spread = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n"))
     width = F.col("_hi") - F.col("_lo")
     place = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * _BUCKETS), F.lit(_BUCKETS - 1)))
-    located = counts.join(spread, keys).withColumn("_b", F.coalesce(place, F.lit(0)))
+    located = counts.join(checkpointed(spread), keys).withColumn("_b", F.coalesce(place, F.lit(0)))
     across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    start, stop = F.col("_before"), F.col("_before") + F.col("_bc")
     buckets = (
         located.groupBy(*keys, "_b")
         .agg(F.sum("_c").alias("_bc"), F.max("n").alias("n"))
         .withColumn("_before", F.coalesce(F.sum("_bc").over(across), F.lit(0)))
-        .filter(((F.col("_before") <= low) & (low < F.col("_before") + F.col("_bc"))) | ((F.col("_before") <= high) & (high < F.col("_before") + F.col("_bc"))))
+        .filter(((start <= low) & (low < stop)) | ((start <= high) & (high < stop)))
         .select(*keys, "_b", "_before")
     )
     within = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = located.join(buckets, [*keys, "_b"]).withColumn(
+    ranked = located.join(checkpointed(buckets), [*keys, "_b"]).withColumn(
         "_start", F.col("_before") + F.coalesce(F.sum("_c").over(within), F.lit(0))
     )
     end = F.col("_start") + F.col("_c")

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marklake.functions.numeric import round_even
-from marklake.functions.scan import before, exact_median
+from marklake.functions.scan import before, median_of_counts, value_counts
+from marklake.session import BROADCAST_LIMIT_BYTES, checkpointed
 
 MARK_STEP = 0.5
 EPS = 1e-9
+_STATISTIC_ROW_BYTES = 256  # sixteen numbers and their row overhead
 STATISTICS = ("exact_agreement", "within_one", "mae", "mae_fraction", "qwk", "directional_bias")
 
 
@@ -144,12 +146,18 @@ def breakdown(obs: DataFrame, engine: str) -> DataFrame:
 
 
 def outliers(scores: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rows beyond 3.5 modified z-scores; fewer than 3 scores or MAD 0 give none."""
-    center = exact_median(scores, keys, value)
-    centered = scores.join(center, keys).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
-    spread = exact_median(centered, keys, "_dev").select(*keys, F.col("median").alias("mad"))
-    z = 0.6745 * F.col("_dev") / F.col("mad")
-    return centered.join(spread, keys).filter((F.col("n") >= 3) & (F.col("mad") > 0)).withColumn("modified_z", z).filter(F.col("modified_z") > 3.5).drop("_dev")
+    """Rows beyond 3.5 modified z-scores; fewer than 3 scores or MAD 0 give none.
+
+    Both medians come from one count of the scores; the scores are read again only to
+    pick the outlying rows.
+    """
+    counts = value_counts(scores, keys, value)
+    center = checkpointed(median_of_counts(counts, keys))
+    deviations = counts.join(center.select(*keys, "median"), keys).groupBy(*keys, F.abs(F.col("_v") - F.col("median")).alias("_d"))
+    mad = median_of_counts(checkpointed(deviations.agg(F.sum("_c").alias("_c")).withColumnRenamed("_d", "_v")), keys)
+    limits = center.join(mad.select(*keys, F.col("median").alias("mad")), keys).filter((F.col("n") >= 3) & (F.col("mad") > 0))
+    z = 0.6745 * F.abs(F.col(value) - F.col("median")) / F.col("mad")
+    return scores.join(limits, keys).withColumn("modified_z", z).filter(F.col("modified_z") > 3.5)
 
 
 def history_consistency(history: DataFrame, keys: list[str], chunk: str, order: list, value: str) -> DataFrame:
@@ -196,8 +204,6 @@ def dense_numbers(df: DataFrame, order: str) -> DataFrame:
     Rows are range-partitioned and written once; the offset of each partition is
     read from one count per partition.
     """
-    from marklake.session import checkpointed
-
     placed = checkpointed(
         df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id())
     )
@@ -248,7 +254,10 @@ def cluster_bootstrap(
     drawn = spark.range(0, resamples * n_clusters, 1, slices).select(
         resample.alias("resample"), (F.conv(digest, 16, 10).cast("bigint") % n_clusters).alias("row_index")
     )
-    picked = drawn.join(numbered, "row_index")
+    # Draws fall evenly on the numbers, so neither way is skewed: small statistics go to
+    # every task and the draws stay where they are made, larger ones are hashed, not sorted.
+    small = n_clusters * _STATISTIC_ROW_BYTES <= BROADCAST_LIMIT_BYTES
+    picked = drawn.join(numbered.hint("broadcast" if small else "shuffle_hash"), "row_index")
     per_resample = picked.groupBy("resample").agg(*[x.alias(k) for k, x in merged.items()]).select(
         *[x.alias(k) for k, x in statistics().items()]
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marklake.functions import text as TX
 from marklake.operators.segment import PART_HEADER
+from marklake.session import checkpointed
 
 MIN_CONTENT_WORDS = 3
 OVERLAP_FLOOR = 0.5
@@ -56,7 +57,7 @@ def lifted_phrases(phrases: DataFrame, answers: DataFrame) -> DataFrame:
         .filter("_k.c > 0")  # a run that no answer holds rules the phrase out
         .select("phrase_id", "phrase", F.col("_k.run").alias("run"), F.col("_k.n").alias("n"))
     )
-    pairs = held.join(rarest, ["n", "run"]).select("phrase_id", "phrase", "answer_id")
+    pairs = held.join(checkpointed(rarest), ["n", "run"]).select("phrase_id", "phrase", "answer_id")
     return pairs.join(a, "answer_id").filter(F.contains("plain_text", F.col("phrase"))).select("phrase_id", "answer_id")
 
 

@@ -18,6 +18,7 @@ from marklake.functions.matching import Answer, numeric_evidence, phrase_evidenc
 from marklake.functions.numeric import round_even
 from marklake.operators import marks as M
 from marklake.schemas import require
+from marklake.session import checkpointed
 
 SEMANTIC_THRESHOLD = 0.68
 
@@ -254,7 +255,7 @@ def resolve_questions(answers: DataFrame, questions: DataFrame, synthetic: Colum
     """
     label = F.col("label")
     keys = F.array(label, F.replace(label, F.lit("question_"), F.lit("q")), F.replace(label, F.lit("q"), F.lit("question_")), F.lit("question_1"))
-    labels = answers.select("exam_id", "label").distinct()
+    labels = checkpointed(answers.select("exam_id", "label").distinct())
     tried = labels.select("exam_id", "label", F.posexplode(keys).alias("priority", "question_key"))
     hits = (
         tried.join(questions.select("exam_id", "question_key"), ["exam_id", "question_key"])
@@ -279,6 +280,7 @@ def exam_question_marks(questions: DataFrame, exams: DataFrame) -> DataFrame:
 
 # --- adversarial probes -----------------------------------------------------------------------
 
+# The two probe answers that do not depend on the scheme.
 _OFF_TOPIC = (
     "Newton's first law states that an object at rest remains at rest unless acted upon by an external force."
 )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from marklake.functions.numeric import clamp, fmt_g, round_even
 from marklake.schemas import require
 
+# Version, disclaimer and reasons written on every mark.
 ENGINE_VERSION = "value-point-engine/0.1.0-demo"
 DISCLAIMER = "SUGGESTED MARKS - NOT VALIDATED AGAINST HUMAN EXAMINERS"
 NO_ATTEMPT = "no match attempted for this value point"

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from marklake.functions import lexicon as X
 from marklake.functions.scan import before, following, previous
 from marklake.functions.text import collapse, is_section_header, question_header, strip
+from marklake.session import checkpointed
 
 UNMAPPED = "UNMAPPED"
 ROUTABLE = ("OK", "SPANS_PAGES")
@@ -109,14 +110,15 @@ def segment_scripts(lines: DataFrame, with_text: bool = True) -> DataFrame:
     regions = regions.withColumn("question_number", F.coalesce("_number", F.lit(UNMAPPED))).drop("_number")
     if with_text:
         regions = regions.withColumn("text", rejoin_lines("_texts")).drop("_texts")
-    return order_status(regions)
+    return order_status(checkpointed(regions))
 
 
 def order_status(regions: DataFrame) -> DataFrame:
     """E2 + E3: status of each region.
 
     A region is out of order when a higher number came before it; the region in
-    front of it shares the doubt. Only regions that are otherwise OK are marked.
+    front of it shares the doubt. Only regions that are otherwise OK are marked. The
+    regions are read several times here, so callers hand in a stored table.
     """
     number = F.col("question_number").try_cast("bigint")
     first = regions.groupBy("script_id", "question_number").agg(F.min("region_no").alias("_first_no"))
@@ -275,23 +277,25 @@ def label_answers(lines: DataFrame) -> DataFrame:
         return F.struct(now.alias("now"), F.concat(acc["all"], F.array(F.struct(x["label_no"].alias("label_no"), now.alias("question_id")))).alias("all"))
 
     start = F.struct(F.lit("header").alias("now"), F.array().cast("array<struct<label_no:bigint,question_id:string>>").alias("all"))
-    resolved = labels.select("script_id", F.explode(F.aggregate("_l", start, step)["all"]).alias("_r")).select("script_id", "_r.*")
-    labelled = counted.withColumn("label_no", F.col("label_no").cast("bigint")).join(resolved, ["script_id", "label_no"], "left")
+    resolved = checkpointed(
+        labels.select("script_id", F.explode(F.aggregate("_l", start, step)["all"]).alias("_r")).select("script_id", "_r.*")
+    )
+    has_labels = resolved.select("script_id").distinct().withColumn("_labelled", F.lit(True))
+    labelled = (
+        counted.withColumn("label_no", F.col("label_no").cast("bigint"))
+        .join(resolved, ["script_id", "label_no"], "left")
+        .join(has_labels, "script_id", "left")
+    )
+    whole = F.when(F.col("_labelled").isNull() & (F.col("text") != ""), F.lit("question_1"))
     line_texts = F.transform(F.sort_array(F.collect_list(F.struct("page_number", "line_idx", "text"))), lambda s: s["text"])
-    answers = (
-        labelled.filter("question_id is not null")
+    joined = F.array_join(line_texts, " ")
+    return (
+        labelled.withColumn("question_id", F.coalesce("question_id", whole))
+        .filter("question_id IS NOT NULL")
         .groupBy("script_id", "question_id")
-        .agg(collapse(F.array_join(line_texts, " ")).alias("answer_text"))
-    )
-    unlabelled = labelled.join(answers.select("script_id").distinct(), "script_id", "left_anti")
-    whole = (
-        unlabelled.filter("text <> ''")
-        .groupBy("script_id")
-        .agg(F.trim(F.array_join(line_texts, " ")).alias("answer_text"))
-        .filter("answer_text <> ''")
-        .select("script_id", F.lit("question_1").alias("question_id"), "answer_text")
+        .agg(joined.alias("_text"), F.max("_labelled").alias("_labelled"))
+        .select("script_id", "question_id", F.when(F.col("_labelled"), collapse(F.col("_text"))).otherwise(F.trim("_text")).alias("answer_text"))
     )
-    return answers.unionByName(whole)
 
 
 # --- question papers ---------------------------------------------------------------------------
@@ -333,6 +337,7 @@ def paper_questions(lines: DataFrame) -> DataFrame:
         F.col("_part.part_header").alias("part_header"),
         F.col("_told.instruction").alias("instruction"),
     )
+    starts = checkpointed(starts)
     body = F.struct("_segment", "_rest", "part", "part_header", "instruction")
     first = starts.groupBy("paper_id", "question_number").agg(F.min(body).alias("_b")).select("paper_id", "question_number", "_b.*")
     more = scanned.filter((F.col("_kind") == "text") & (strip(t) != "")).select("paper_id", "_segment", *at, strip(t).alias("_line"))

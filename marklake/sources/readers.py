@@ -165,6 +165,9 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
 # --- transcriptions --------------------------------------------------------------------------------
 
 
+DEFAULT_PROVIDER = "gemini_vision"  # Fixed value: the provider of records that name none.
+
+
 def parse_transcriptions(raw: DataFrame) -> DataFrame:
     """Line rows with page provenance, from one page object or a list of pages."""
     bare = F.startswith(strip(F.col("value")), F.lit("["))
@@ -175,7 +178,7 @@ def parse_transcriptions(raw: DataFrame) -> DataFrame:
         *keep,
         F.coalesce(page["page_number"], F.lit(1)).alias("page_number"),
         page["page_confidence"].alias("page_confidence"),
-        F.coalesce(page["provider"], F.lit("gemini_vision")).alias("provider"),
+        F.coalesce(page["provider"], F.lit(DEFAULT_PROVIDER)).alias("provider"),
         page["model_id"].alias("model_id"),
         page["prompt_version"].alias("prompt_version"),
         page["page_sha256"].alias("page_sha256"),

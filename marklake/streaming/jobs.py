@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from marklake.functions.scan import before
 from marklake.operators import dashboards as D
 
 GENERIC_FAILURE = "Evaluation failed. Please try again."
@@ -136,22 +137,40 @@ def _attempts(events: DataFrame) -> DataFrame:
 
 
 def _sorted_attempts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by user and time; only the running state of one user is kept."""
-    user, failures, locked_until = None, 0, 0
+    """Rows come sorted by user, run and time; only the state of the current run is kept."""
+    current, failures, locked_until = None, 0, 0
     for batch in batches:
         parts = []
-        for key, rows in batch.groupby("user_id", sort=False):
-            if key != user:
-                user, failures, locked_until = key, 0, 0
+        for key, rows in batch.groupby(["user_id", "run"], sort=False):
+            if key != current:
+                current, failures, locked_until = key, 0, 0
             outcomes, counts, failures, locked_until = _fold(rows, failures, locked_until)
-            parts.append(pd.DataFrame({"user_id": key, "event_id": rows["event_id"].to_numpy(), "outcome": outcomes, "failed_attempts": counts}))
+            parts.append(pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "outcome": outcomes, "failed_attempts": counts}))
         if parts:
             yield pd.concat(parts)
 
 
+def login_runs(events: DataFrame) -> DataFrame:
+    """Cut each user's attempts where the state is certain to start afresh.
+
+    Only a failure can lock. A success without a failure in the 15 minutes before it is
+    therefore never locked out, and clears the counter whatever came earlier. The runs
+    between such successes are independent, so one busy user is many tasks' work.
+    """
+    order = ["at", "event_id"]
+    daily = _attempts(events).withColumn("_day", F.floor(F.col("at") / (86_400 * 1_000_000_000)))
+    failed_at = F.when(~F.col("success"), F.col("at"))
+    seen = before(daily, ["user_id"], "_day", order, {"_last": ("max", failed_at)})
+    fresh = F.col("success") & (F.col("_last").isNull() | (F.col("at") - F.col("_last") >= LOCK.value))
+    marked = seen.withColumn("_fresh", F.when(fresh, 1).otherwise(0))
+    counted = before(marked, ["user_id"], "_day", order, {"_runs": ("sum", F.col("_fresh"))})
+    run = (F.coalesce("_runs", F.lit(0)) + F.col("_fresh")).cast("bigint")
+    return counted.select("user_id", run.alias("run"), "at", "event_id", "success")
+
+
 def lockout_batch(events: DataFrame) -> DataFrame:
-    """S3 over a stored log: users are spread over tasks, each user's rows stream by in order."""
-    placed = _attempts(events).repartition("user_id").sortWithinPartitions("user_id", "at", "event_id")
+    """S3 over a stored log: runs are spread over tasks, each run's rows stream by in order."""
+    placed = login_runs(events).repartition("user_id", "run").sortWithinPartitions("user_id", "run", "at", "event_id")
     return placed.mapInPandas(_sorted_attempts, LOCKOUT_SCHEMA)
 
 
