@@ -89,7 +89,7 @@ def knowledge_gaps(questions: DataFrame, keys: list[str], order: str) -> DataFra
 
 def recommendations(mastery: DataFrame, gaps: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, position, recommendation), five at most per key; praise where there is nothing to advise."""
-    top = ranked_advice(mastery, gaps, keys)
+    top = checkpointed(ranked_advice(mastery, gaps, keys))
     praised = mastery.select(*keys).distinct().join(top.filter("position = 1").select(*keys), keys, "left_anti")
     return top.unionByName(praised.select(*keys, F.lit(1).alias("position"), F.lit(PRAISE).alias("recommendation")))
 

@@ -129,7 +129,8 @@ _RULE = "-" * 66
 def derivations(points: DataFrame, marks: DataFrame, answers: DataFrame) -> DataFrame:
     """The written derivation of each mark, with evidence quotes.
 
-    ``points`` is the result of ``join_evidence``; ``answers`` also holds answer_text.
+    ``points`` is the stored result of ``join_evidence`` (it is read three times);
+    ``answers`` also holds answer_text.
     """
     keys = ["answer_id", "question_id"]
     lines = award_lines(points, keys, "position").join(answers.select(*keys, "answer_text"), keys)
@@ -186,8 +187,9 @@ def derivations(points: DataFrame, marks: DataFrame, answers: DataFrame) -> Data
         .groupBy(*keys)
         .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_place", "_kind", "_at", "_text"))), lambda s: s["_text"]), "\n").alias("_sections"))
     )
-    question = points.select("question_id", "question_number", "question_text").distinct()
-    had = points.groupBy(*keys).agg(F.max("attempted").alias("_had"))
+    facts = points.groupBy(*keys).agg(
+        F.max("attempted").alias("_had"), F.max("question_number").alias("question_number"), F.max("question_text").alias("question_text")
+    )
     empty = "  No evidence was submitted for any value point.\n  Nothing to credit - this is a zero by rule, not by failure."
     derivation = F.concat_ws(
         "\n",
@@ -210,7 +212,7 @@ def derivations(points: DataFrame, marks: DataFrame, answers: DataFrame) -> Data
         F.lit(_RULE),
     )
     return (
-        marks.join(sections, keys).join(had, keys).join(question, "question_id").select(*keys, "total", "max_marks", derivation.alias("derivation"))
+        marks.join(sections, keys).join(facts, keys).select(*keys, "total", "max_marks", derivation.alias("derivation"))
     )
 
 

@@ -14,7 +14,7 @@ from marklake.plans import text_queries as TQ
 from marklake.plans import views as V
 from marklake.plans.common import Catalog
 from marklake.plans.views import r, with_views
-from marklake.session import spread
+from marklake.session import checkpointed, spread
 
 query = Catalog()
 
@@ -77,13 +77,13 @@ def h8_h11_text_evidence(spark, d):
 @query("d17_marks_from_evidence")
 def d17_marks_from_evidence(spark, d):
     s, a = schemes(spark, d), answers(spark, d)
-    return M.score_answers(a, E.scheme_rows(s), E.text_evidence(a, s))
+    return M.score_answers(a, E.scheme_rows(s), checkpointed(E.text_evidence(a, s)))
 
 
 @query("h37_mark_derivations")
 def h37_mark_derivations(spark, d):
     s, a = schemes(spark, d), answers(spark, d)
-    points = M.join_evidence(a, E.scheme_rows(s), E.text_evidence(a, s))
+    points = checkpointed(M.join_evidence(a, E.scheme_rows(s), E.text_evidence(a, s)))
     return M.derivations(points, M.question_marks(points, ["answer_id", "question_id"]), a)
 
 
@@ -174,6 +174,7 @@ def h15_semantic_evaluation(spark, d):
         .join(bench.select("item_id", F.col("text").alias("reference_text")), "item_id")
         .select(F.col("vec_id").alias("answer_id"), "label", "answer_text", "reference_text", F.col("embedding").alias("answer_vector"), "reference_vector")
     )
+    rows = checkpointed(rows)
     concepts = rows.select("answer_id", "label").join(
         edge.select(
             "label", F.col("vec_id").cast("int").alias("position"), F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("concept"), "embedding"

@@ -12,6 +12,7 @@ from marklake.operators import marks as M
 from marklake.plans import views as V
 from marklake.plans.common import Catalog
 from marklake.plans.views import r, with_views
+from marklake.session import checkpointed
 
 query = Catalog()
 
@@ -107,7 +108,7 @@ def d13_student_history(spark, d):
 @query("h32_recommendations", _advice_sql("student_id"))
 def h32_recommendations(spark, d):
     q = _student_questions(spark, d)
-    mastery = L.topic_mastery(q, ["student_id"], _BY_STUDENT)
+    mastery = checkpointed(L.topic_mastery(q, ["student_id"], _BY_STUDENT))
     return L.recommendations(mastery, L.knowledge_gaps(q, ["student_id"], _BY_STUDENT), ["student_id"]).withColumn(
         "position", F.col("position").cast("bigint")
     )
