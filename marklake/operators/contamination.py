@@ -41,11 +41,12 @@ def lifted_phrases(phrases: DataFrame, answers: DataFrame) -> DataFrame:
     p = p.withColumn("_inner", F.slice("_w", F.lit(2), F.size("_w") - 2)).withColumn("n", F.least(F.lit(3), F.size("_w") - 2))
     runs = p.select("phrase_id", "phrase", "n", F.explode(_grams(F.col("_inner"), F.col("n"))).alias("run"))
 
+    lengths = sorted(r.n for r in runs.select("n").distinct().collect()) or [3]  # at most 1, 2 and 3
     a = answers.select("answer_id", plain(F.col("answer_text")).alias("plain_text"))
     words = F.col("_w")  # a column of its own: inside a lambda it would be split again per element
     per_answer = a.withColumn("_w", F.split("plain_text", " ")).select(
         "answer_id",
-        F.explode(F.concat(*[F.transform(_grams(words, F.lit(n)), lambda g: F.struct(F.lit(n).alias("n"), g.alias("run"))) for n in (1, 2, 3)])).alias("_g"),
+        F.explode(F.concat(*[F.transform(_grams(words, F.lit(n)), lambda g: F.struct(F.lit(n).alias("n"), g.alias("run"))) for n in lengths])).alias("_g"),
     ).select("answer_id", "_g.*")
     wanted = runs.select("n", "run").distinct()
     held = per_answer.join(wanted, ["n", "run"], "left_semi")
