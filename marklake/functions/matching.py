@@ -8,7 +8,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from bisect import bisect_left
 from difflib import SequenceMatcher
 from functools import lru_cache
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marklake.functions.numeric import round_even
 from marklake.operators import audit as A
 from marklake.operators import confidence as C
 from marklake.operators import learning as L

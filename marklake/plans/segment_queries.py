@@ -9,7 +9,7 @@ from marklake.operators import ocr_select as O
 from marklake.operators import segment as S
 from marklake.plans import views as V
 from marklake.plans.common import Catalog
-from marklake.plans.views import r, with_views
+from marklake.plans.views import with_views
 
 query = Catalog()
 

@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 from marklake.functions import lexicon as X
 from marklake.functions import text as TX
 from marklake.functions.matching import word_error_rate
-from marklake.functions.numeric import round_even
 from marklake.operators import autonomous as AU
 from marklake.operators import confidence as C
 from marklake.operators import contamination as CT
