@@ -179,9 +179,9 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[n
         at = ends[short] - counts[short]
         keep[at] = True
         for i, s in zip(at, short):
-            x = np.uint64(counts[s])
-            for w in words[i : i + counts[s]]:
-                x = mix(np.array([x * np.uint64(31) + w], np.uint64))[0]
+            x = int(counts[s])
+            for w in words[i : i + counts[s]].tolist():
+                x = int(mix(np.array([(x * 31 + w) % 2**64], np.uint64))[0])
             h[i] = x
     return h[keep], out_counts
 

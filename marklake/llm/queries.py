@@ -34,3 +34,25 @@ def op2_lpt_shards(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op9_chosen_path(spark, sf_dir):
+    from marklake.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@query
+def op3_grouped_packing(spark, sf_dir):
+    from marklake.llm.packing import packed_sequences
+
+    return packed_sequences(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_prefix_bpe(spark, sf_dir):
+    from marklake.llm.byte_pairs import byte_pair_ids
+
+    out = byte_pair_ids(table(spark, sf_dir, "documents"), digest=True)
+    return out.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
