@@ -123,9 +123,11 @@ def with_edits(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("k"), text.alias("text"))
     cut = F.floor(F.char_length("text") / 3).cast("int")
     ids = next_ids(rows.groupBy("k").agg(F.max(cut).alias("cut")))
-    here = rows.join(ids.select("k", "next"), "k")
     asked = ids.groupBy(F.col("next").alias("k")).agg(F.max("cut").alias("asked"), F.max(F.col("k")).alias("for"))
-    starts = rows.join(asked, "k").groupBy(F.col("for").alias("k")).agg(F.min(F.expr("substring(text, 1, asked)")).alias("start"))
+    here = rows.join(stored(ids.select("k", "next").join(asked, "k"), "fingerprint-links"), "k")
+    # The id is carried along only so that both readers of `here` ask for the same columns and share one shuffle of the texts.
+    start = F.struct(F.expr("substring(text, 1, asked)").alias("start"), "doc_id", "next")
+    starts = here.groupBy(F.col("for").alias("k")).agg(F.min(start)["start"].alias("start"))
     kept = F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 3) as int))")
     return here.join(starts, "k").select("doc_id", "text", "k", "next", F.concat(kept, F.substring("start", F.lit(1), cut)).alias("edited"))
 
