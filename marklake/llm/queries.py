@@ -56,3 +56,10 @@ def op5_prefix_bpe(spark, sf_dir):
 
     out = byte_pair_ids(table(spark, sf_dir, "documents"), digest=True)
     return out.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
+
+
+@query
+def op8_kneser_ney(spark, sf_dir):
+    from marklake.llm.language_model import scored_documents
+
+    return scored_documents(table(spark, sf_dir, "documents"))
