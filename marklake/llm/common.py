@@ -133,13 +133,17 @@ def pieces(starts: np.ndarray, size: int = _CHUNK) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of texts laid end to end (A-Z lowered, split at ASCII white space), and how many words each has."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, prefix: int = 0, gaps: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts laid end to end, and how many words each text has.
+
+    A-Z is lowered; words end at `gaps`, by default ASCII white space. With `prefix`, only that many first bytes of a
+    word are hashed, and longer words are told from words that end there.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(starts) - 1, np.int64)
     data = LOWER[data]
-    gap = BLANK[data]
+    gap = gaps[data]
     first = ~gap
     first[1:] &= gap[:-1]
     edges = starts[:-1][np.diff(starts) > 0]
@@ -149,9 +153,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     a, b = np.flatnonzero(first), np.flatnonzero(last)
     up, down = _Powers.upto(n)
     total = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up)
+    if prefix:
+        cut = np.minimum(b, a + prefix - 1)
+        longer = b > cut
+        b = cut
     h = total[b]
     h[a > 0] -= total[a[a > 0] - 1]
     h = mix(h * down[a] + (b - a).astype(np.uint64))
+    if prefix:
+        h = np.where(longer, mix(h + np.uint64(prefix)), h)
     bounds = np.searchsorted(a, starts)
     return h, np.diff(bounds)
 

@@ -63,3 +63,17 @@ def op8_kneser_ney(spark, sf_dir):
     from marklake.llm.language_model import scored_documents
 
     return scored_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_site_quality(spark, sf_dir):
+    from marklake.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_toxicity_chain(spark, sf_dir):
+    from marklake.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
