@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marklake.llm.tokenizing import CachedEncoder
+from marklake.llm.tokenizing import PieceValues, cached_encoder
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -125,14 +125,14 @@ class PrefixEncoding:
         return out[::-1]
 
 
-_WORKER: dict[str, tuple[Vocabulary, CachedEncoder]] = {}
+_WORKER: dict[str, tuple[Vocabulary, PieceValues]] = {}
 
 
-def encoder(name: str) -> tuple[Vocabulary, CachedEncoder]:
+def encoder(name: str) -> tuple[Vocabulary, PieceValues]:
     """This worker's vocabulary and encoder for a file of ranks."""
     if name not in _WORKER:
         vocabulary = Vocabulary(read_ranks(public_tokenizers.path(name)))
-        _WORKER[name] = vocabulary, CachedEncoder(lambda word: np.array(PrefixEncoding(vocabulary, word.encode()).ids(), "<u4").tobytes())
+        _WORKER[name] = vocabulary, cached_encoder(lambda word: np.array(PrefixEncoding(vocabulary, word.encode()).ids(), "<u4").tobytes())
     return _WORKER[name]
 
 

@@ -23,19 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marklake.llm.common import numbered, stored
-from marklake.llm.tokenizing import CachedEncoder
+from marklake.llm.tokenizing import PieceValues, cached_encoder
 
-_ENCODERS: dict[str, CachedEncoder] = {}
+_ENCODERS: dict[str, PieceValues] = {}
 
 
-def encoder(name: str) -> CachedEncoder:
+def encoder(name: str) -> PieceValues:
     """This worker's encoder for a vocabulary file of the tokenizers library; special tokens' strings are ordinary text."""
     if name not in _ENCODERS:
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(public_tokenizers.path(name))
         model.encode_special_tokens = True
-        _ENCODERS[name] = CachedEncoder(lambda w: np.array(model.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
+        _ENCODERS[name] = cached_encoder(lambda w: np.array(model.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
     return _ENCODERS[name]
 
 

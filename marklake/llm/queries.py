@@ -77,3 +77,17 @@ def op10_toxicity_chain(spark, sf_dir):
     from marklake.llm.toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_kmeans_tree(spark, sf_dir):
+    from marklake.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_trie_token_counts(spark, sf_dir):
+    from marklake.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))

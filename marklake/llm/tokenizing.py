@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from typing import Any
 
 import public_tokenizers
 import regex
@@ -19,31 +20,32 @@ _WORDS = regex.compile(public_tokenizers.PATTERN)
 
 
 class _Cache(dict):
-    """Pieces to ids; emptied when it has `most` entries, so that a worker's memory stays bounded."""
+    """Pieces to values; emptied when it has `most` entries, so that a worker's memory stays bounded."""
 
-    def __init__(self, make: Callable[[str], bytes], most: int):
+    def __init__(self, make: Callable[[str], Any], most: int):
         super().__init__()
         self.make, self.most = make, most
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key: str) -> Any:
         if len(self) >= self.most:
             self.clear()
         found = self[key] = self.make(key)
         return found
 
 
-class CachedEncoder:
-    """Whole texts to little-endian 32-bit ids. `encode_word` gives the ids (as such bytes) of one match of the pattern."""
+class PieceValues:
+    """Values of whole texts, put together from those of the pattern's matches: `make` gives a match's, `join` joins."""
 
-    def __init__(self, encode_word: Callable[[str], bytes], most: int = 400_000):
-        self.words = _Cache(encode_word, most)
+    def __init__(self, make: Callable[[str], Any], join: Callable[[list], Any], most: int = 400_000):
+        self.join = join
+        self.words = _Cache(make, most)
         self.first = _Cache(self._split, most)
         self.later = _Cache(lambda piece: self._split(" " + piece), most)
 
-    def _split(self, text: str) -> bytes:
-        return b"".join([self.words[w] for w in _WORDS.findall(text)])
+    def _split(self, text: str) -> Any:
+        return self.join([self.words[w] for w in _WORDS.findall(text)])
 
-    def __call__(self, text: str) -> bytes:
+    def __call__(self, text: str) -> Any:
         if _IRREGULAR.search(text):
             return self._split(text)
         out, later = [], self.later
@@ -53,4 +55,9 @@ class CachedEncoder:
             head, *rest = line.split(" ")
             out.append(self.first[head])
             out += [later[piece] for piece in rest]
-        return b"".join(out)
+        return self.join(out)
+
+
+def cached_encoder(encode_word: Callable[[str], bytes], most: int = 400_000) -> PieceValues:
+    """Whole texts to little-endian 32-bit ids; `encode_word` gives those of one match of the pattern."""
+    return PieceValues(encode_word, b"".join, most)
