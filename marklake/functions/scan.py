@@ -9,6 +9,8 @@ and a chain of scans would double again at every step.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,13 @@ from marklake.session import checkpointed
 _FUNCS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which a NULL meets a NULL; the keys come once, from the left."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def before(
     df: DataFrame, keys: list[str], chunk: str, order: list, measures: dict[str, tuple[str, Column]]
 ) -> DataFrame:
@@ -37,7 +46,7 @@ def before(
         *keys, chunk, *[_FUNCS[f](f"_t_{n}").over(across).alias(f"_o_{n}") for n, (f, _) in measures.items()]
     )
     within = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = staged.join(checkpointed(offsets), [*keys, chunk])
+    joined = null_safe_join(staged, checkpointed(offsets), [*keys, chunk])
     out = [F.col(c) for c in df.columns]
     for n, (f, _) in measures.items():
         local, offset = _FUNCS[f](f"_v_{n}").over(within), F.col(f"_o_{n}")
@@ -59,7 +68,7 @@ def _neighbour(df: DataFrame, keys: list[str], chunk: str, order: list, name: st
     edges = edge.select(*keys, chunk, step("_edge").over(across).alias("_other"))
     at_edge = step(F.lit(True)).over(inner).isNull()
     value = F.when(at_edge, F.col("_other")).otherwise(step("_v").over(inner))
-    return staged.join(checkpointed(edges), [*keys, chunk]).withColumn(name, value).select(*df.columns, name)
+    return null_safe_join(staged, checkpointed(edges), [*keys, chunk]).withColumn(name, value).select(*df.columns, name)
 
 
 def following(df: DataFrame, keys: list[str], chunk: str, order: list, name: str, expr: Column) -> DataFrame:
@@ -72,7 +81,7 @@ def previous(df: DataFrame, keys: list[str], chunk: str, order: list, name: str,
     return _neighbour(df, keys, chunk, order, name, expr, False)
 
 
-_BUCKETS = 1024
+_BUCKETS = 128
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -89,14 +98,14 @@ def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def median_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Exact median from counted values (keys, _v, _c).
 
-    Values are counted first, so ties cost nothing. Counts over at most 1024
-    equal-width buckets find the bucket of the middle ranks; only the distinct
-    values of that bucket are then ordered. No task holds a whole key.
+    Values are counted first, so ties cost nothing. Counts over buckets of about equally
+    many distinct values, whatever their spread, find the bucket of the middle ranks; only
+    the distinct values of that bucket are then ordered. No task holds a whole key.
     """
-    spread = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n"))
-    width = F.col("_hi") - F.col("_lo")
-    place = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * _BUCKETS), F.lit(_BUCKETS - 1)))
-    located = counts.join(checkpointed(spread), keys).withColumn("_b", F.coalesce(place, F.lit(0)))
+    bounds = F.percentile_approx("_v", [i / _BUCKETS for i in range(1, _BUCKETS)], F.lit(10 * _BUCKETS))
+    spread = counts.groupBy(*keys).agg(bounds.alias("_bounds"), F.sum("_c").alias("n"))
+    place = F.size(F.filter("_bounds", lambda b: b < F.col("_v")))
+    located = null_safe_join(counts, checkpointed(spread), keys).withColumn("_b", place)
     across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
     start, stop = F.col("_before"), F.col("_before") + F.col("_bc")
@@ -108,7 +117,7 @@ def median_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
         .select(*keys, "_b", "_before")
     )
     within = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = located.join(checkpointed(buckets), [*keys, "_b"]).withColumn(
+    ranked = null_safe_join(located, checkpointed(buckets), [*keys, "_b"]).withColumn(
         "_start", F.col("_before") + F.coalesce(F.sum("_c").over(within), F.lit(0))
     )
     end = F.col("_start") + F.col("_c")

@@ -69,7 +69,7 @@ def _quote(text: str) -> str:
 
 
 def capitalize(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substr(word, F.lit(2))))
 
 
 def title_words(text: Column) -> Column:
@@ -101,14 +101,15 @@ def filter_concepts(concepts: Column, limit: int | None = None) -> Column:
     return kept if limit is None else F.slice(kept, 1, limit)
 
 
-def keywords(text: Column, limit: int = 12) -> Column:
-    """H3"""
+def keywords(text: Column, limit: int | None = None) -> Column:
+    """H3: the first `limit` keywords, or all."""
     found = F.regexp_extract_all(
         F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)(\b[a-zA-Z][a-zA-Z0-9+\-]{2,}\b)")
     )
     kept = F.filter(found, lambda w: ~w.isin(*X.CONCEPT_STOPWORDS))
     normal = F.transform(kept, lambda w: normalize_concept(F.regexp_replace(w, r"^-+|-+$", "")))
-    return F.slice(F.array_distinct(F.filter(normal, is_valid_normalized)), 1, limit)
+    distinct = F.array_distinct(F.filter(normal, is_valid_normalized))
+    return distinct if limit is None else F.slice(distinct, 1, limit)
 
 
 def infer_domain(question: Column, subject: Column) -> Column:
@@ -127,8 +128,8 @@ def infer_domain(question: Column, subject: Column) -> Column:
     return let(F.struct(named.alias("named"), winner.alias("w")), lambda s: F.coalesce(s["named"], F.when(s["w"]["n"] > 0, s["w"]["domain"]), F.lit("")))
 
 
-def expected_concepts(question: Column, domain: Column, limit: int = 8) -> Column:
-    """H4: domain terms of the question (alphabetical) with expansions, then keywords.
+def expected_concepts(question: Column, domain: Column, limit: int | None = None) -> Column:
+    """H4: domain terms of the question (alphabetical) with expansions, then keywords; the first `limit`, or all.
 
     ``domain`` comes from ``infer_domain`` in an earlier step.
     """
@@ -146,7 +147,7 @@ def expected_concepts(question: Column, domain: Column, limit: int = 8) -> Colum
 
 
 def lexical_alignment(expected: Column, answer_terms: Column) -> Column:
-    """H6 from expected concepts and the answer's keywords (limit 200)."""
+    """H6 from expected concepts and the answer's keywords."""
     n = F.size(expected)
     overlap = F.size(F.array_intersect(expected, answer_terms)) / n
     bonus = F.when(F.size(answer_terms) >= F.greatest(F.lit(3), F.floor(n / 2)), 0.1).otherwise(0.0)
@@ -182,9 +183,9 @@ def longest_first(items: Column, limit: int | None = None) -> Column:
     return ordered if limit is None else F.slice(ordered, 1, limit)
 
 
-def capped_segments(segs: Column, cap: int = 100) -> Column:
-    """The longest 100 when there are more; otherwise as they come."""
-    return F.when(F.size(segs) > cap, longest_first(segs, cap)).otherwise(segs)
+def capped_segments(segs: Column, cap: int | None = None) -> Column:
+    """All segments as they come; with a cap, the longest ones where there are more."""
+    return segs if cap is None else F.when(F.size(segs) > cap, longest_first(segs, cap)).otherwise(segs)
 
 
 def sentence_spans(text: Column) -> Column:
@@ -246,15 +247,16 @@ def split_evenly(n: Column, total: Column) -> Column:
     return let(let(total / n, lambda x: round_even(x, 2)), shares)
 
 
-def rubric_descriptions(key: Column) -> Column:
-    """List points when there are several, else sentences; five items at most."""
+def rubric_descriptions(key: Column, limit: int | None = None, shortest: int = 1) -> Column:
+    """List points when there are several, else sentences; all of at least `shortest` characters, or the first `limit`."""
 
     def pieces(pattern: str) -> Column:
         return F.filter(F.transform(F.split(key, pattern), strip), lambda s: s != "")
 
     def choose(s: Column) -> Column:
         raw = F.when(F.size(s["p"]) > 1, s["p"]).when(F.size(s["s"]) > 0, s["s"]).otherwise(F.array(key))
-        kept = F.slice(F.filter(raw, lambda c: F.length(c) > 5), 1, 5)
+        kept = F.filter(raw, lambda c: F.length(c) >= shortest)
+        kept = kept if limit is None else F.slice(kept, 1, limit)
         return let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(F.lit("Fulfill the core requirements of the answer key."))))
 
     points, sentences = pieces(r"\n+\s*(?:-|\d+\.)\s*"), pieces(r"(?<=[.!?])\s+|\n+")
@@ -352,7 +354,7 @@ def has_or_structure(text: Column) -> Column:
     """H22"""
     patterns = (
         r"(?iU)(?:^|\n)\s*OR\s*(?:\n|$)",
-        r"(?isU)\bEither\b.{5,200}\bor\b",
+        r"(?isU)\bEither\b.{5,}\bor\b",
         r"(?iU)(?:^|\n)\s*(?:Attempt\s+)?Any[\s-]One(?:\s+of\s+the\s+following)?[\s:]*(?:\n|$)",
         r"(?iU)\s+(?:OR|Either|Any[\s-]?One)\s+",
     )

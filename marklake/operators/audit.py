@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marklake.functions.numeric import round_even
-from marklake.functions.scan import before, median_of_counts, value_counts
+from marklake.functions.scan import before, median_of_counts, null_safe_join, value_counts
 from marklake.session import BROADCAST_LIMIT_BYTES, checkpointed
 
 MARK_STEP = 0.5
@@ -153,22 +153,24 @@ def outliers(scores: DataFrame, keys: list[str], value: str) -> DataFrame:
     """
     counts = value_counts(scores, keys, value)
     center = checkpointed(median_of_counts(counts, keys))
-    deviations = counts.join(center.select(*keys, "median"), keys).groupBy(*keys, F.abs(F.col("_v") - F.col("median")).alias("_d"))
+    deviations = null_safe_join(counts, center.select(*keys, "median"), keys).groupBy(*keys, F.abs(F.col("_v") - F.col("median")).alias("_d"))
     mad = median_of_counts(checkpointed(deviations.agg(F.sum("_c").alias("_c")).withColumnRenamed("_d", "_v")), keys)
-    limits = center.join(mad.select(*keys, F.col("median").alias("mad")), keys).filter((F.col("n") >= 3) & (F.col("mad") > 0))
+    limits = null_safe_join(center, mad.select(*keys, F.col("median").alias("mad")), keys).filter((F.col("n") >= 3) & (F.col("mad") > 0))
     z = 0.6745 * F.abs(F.col(value) - F.col("median")) / F.col("mad")
-    return scores.join(limits, keys).withColumn("modified_z", z).filter(F.col("modified_z") > 3.5)
+    return null_safe_join(scores, limits, keys).withColumn("modified_z", z).filter(F.col("modified_z") > 3.5)
 
 
 def history_consistency(history: DataFrame, keys: list[str], chunk: str, order: list, value: str) -> DataFrame:
     """A score against the population deviation of all earlier ones.
 
     The running count, sum and sum of squares are carried chunk by chunk, so a
-    long history is not one task's work.
+    long history is not one task's work. They are taken of the distance from the key's
+    mean, so that large scores that differ little do not cancel.
     """
-    v = F.col(value)
+    centre = checkpointed(history.groupBy(*keys).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("_centre")))
+    v = F.col(value) - F.col("_centre")
     ran = before(
-        history,
+        null_safe_join(history, centre, keys),
         keys,
         chunk,
         order,
@@ -181,9 +183,9 @@ def history_consistency(history: DataFrame, keys: list[str], chunk: str, order:
     n = F.coalesce("past_n", F.lit(0))
     mean = F.col("_s") / n
     deviation = F.sqrt(F.greatest(F.lit(0.0), (n * F.col("_ss") - F.col("_s") * F.col("_s")))) / n
-    z = F.when((n >= 3) & (deviation > 0), F.abs(F.coalesce(v, F.lit(0.0)) - mean) / deviation)
+    z = F.when((n >= 3) & (deviation > 0), F.abs(F.coalesce(v, -F.col("_centre")) - mean) / deviation)
     return (
-        ran.withColumn("past_n", n).withColumn("z_score", z).withColumn("consistent", F.coalesce(F.col("z_score") <= 3.0, F.lit(True))).drop("_s", "_ss")
+        ran.withColumn("past_n", n).withColumn("z_score", z).withColumn("consistent", F.coalesce(F.col("z_score") <= 3.0, F.lit(True))).drop("_s", "_ss", "_centre")
     )
 
 

@@ -36,7 +36,7 @@ def prepare_answers(answers: DataFrame) -> DataFrame:
     return TX.bind_columns(
         cleaned,
         expected=TX.expected_concepts(F.col("question_text"), F.col("domain")),
-        terms=TX.keywords(F.col("sanitized"), 200),
+        terms=TX.keywords(F.col("sanitized")),
     )
 
 
@@ -218,6 +218,15 @@ def choose_alternatives(answers: DataFrame) -> DataFrame:
     )
 
 
+def option_letters(i: Column) -> Column:
+    """A to Z, then AA, AB and so on, for alternatives numbered from 0."""
+    letter = lambda n: F.char(F.lit(65) + n % 26)
+    two, three = F.floor(i / 26) - 1, F.floor((F.floor(i / 26) - 1) / 26) - 1
+    return F.concat(
+        F.when(three >= 0, letter(three)).otherwise(""), F.when(two >= 0, letter(two)).otherwise(""), letter(i)
+    )
+
+
 def or_alternatives(questions: DataFrame) -> DataFrame:
     """Attach the alternatives of OR questions (empty for the others)."""
     rebuilt = F.regexp_replace("question_text", "(?i) OR ", "\nOR\n")
@@ -225,11 +234,10 @@ def or_alternatives(questions: DataFrame) -> DataFrame:
     staged = questions.withColumn("_or", TX.has_or_structure(F.col("question_text")) | TX.has_or_structure(rebuilt)).withColumn(
         "_parts", TX.split_alternatives(split_source)
     )
-    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     item = F.transform(
         "_parts",
         lambda p, i: F.struct(
-            F.concat(F.col("question_key"), F.lit("_opt"), F.substr(letters, i + 1, F.lit(1))).alias("label"), p.alias("text")
+            F.concat(F.col("question_key"), F.lit("_opt"), option_letters(i)).alias("label"), p.alias("text")
         ),
     )
     none = F.array().cast("array<struct<label:string,text:string>>")

@@ -53,7 +53,7 @@ def evaluate_with_key(answers: DataFrame, questions: DataFrame) -> DataFrame:
     scored = AU.score_with_rubric(keyed, rubrics, ANSWER)
     met = F.filter("rubric_points", lambda p: p["met"])
     unmet = F.filter("rubric_points", lambda p: ~p["met"])
-    heads = lambda points: F.transform(points, lambda p: F.substring(p["description"], 1, 15))
+    heads = lambda points: F.transform(points, lambda p: p["description"])
     details = F.transform(
         "rubric_points",
         lambda p: F.concat(p["criterion_id"], F.lit("("), fmt_float(p["marks_awarded"]), F.lit("/"), fmt_float(p["allocated_marks"]), F.lit(")")),
@@ -62,7 +62,7 @@ def evaluate_with_key(answers: DataFrame, questions: DataFrame) -> DataFrame:
     staged = TX.bind_columns(
         scored,
         domain=TX.infer_domain(F.col("question_text"), F.lit("")),
-        terms=TX.keywords(TX.sanitize(F.col("answer_text")), 200),
+        terms=TX.keywords(TX.sanitize(F.col("answer_text"))),
         matched_keywords=heads(met),
         missing_concepts=heads(unmet),
         criteria_feedback=F.concat(F.lit("Criteria details: "), F.array_join(details, ", "), F.lit(".")),

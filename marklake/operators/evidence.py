@@ -18,6 +18,7 @@ from marklake.functions.matching import Answer, numeric_evidence, phrase_evidenc
 from marklake.functions.numeric import round_even
 from marklake.operators import marks as M
 from marklake.schemas import require
+from marklake.functions.scan import null_safe_join
 from marklake.session import checkpointed
 
 SEMANTIC_THRESHOLD = 0.68
@@ -263,9 +264,9 @@ def resolve_questions(answers: DataFrame, questions: DataFrame, synthetic: Colum
         .agg(F.min_by("question_key", "priority").alias("_hit"))
     )
     first = questions.groupBy("exam_id").agg(F.min_by("question_key", "position").alias("_first"))
-    resolved = labels.join(hits, ["exam_id", "label"], "left").join(first, "exam_id", "left")
+    resolved = null_safe_join(labels, hits, ["exam_id", "label"], "left").join(first, "exam_id", "left")
     key = F.coalesce("_hit", "_first", *([synthetic] if synthetic is not None else []))
-    return answers.join(resolved.select("exam_id", "label", key.alias("question_key")), ["exam_id", "label"], "left")
+    return null_safe_join(answers, resolved.select("exam_id", "label", key.alias("question_key")), ["exam_id", "label"], "left")
 
 
 def exam_question_marks(questions: DataFrame, exams: DataFrame) -> DataFrame:

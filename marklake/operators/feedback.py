@@ -18,8 +18,8 @@ DEFAULT_TOPICS = ["Core Concepts From This Exam", "Answer Structure And Explanat
 def keep_first(items: DataFrame, keys: list[str], item: str, order: str, limit: int) -> DataFrame:
     """First of each text (case and spacing folded), the first n per key.
 
-    Repeats are reduced map-side by hash; only the smallest place is kept, so the
-    aggregation needs no sort. The rank then keeps n rows per key and task.
+    Repeats are reduced map-side to their smallest place (a number or a struct). The rank
+    then keeps n rows per key and task.
     """
     bound = TX.bind_columns(items, _fold=F.lower(TX.collapse(F.col(item))), _text=F.trim(item))
     once = bound.filter("_fold <> ''").groupBy(*keys, "_fold", "_text").agg(F.min(order).alias("_at"))
@@ -39,6 +39,15 @@ def _lookup(concept: Column, table: dict[str, str], default: Column) -> Column:
     return F.coalesce(*[F.when(concept == k, F.lit(v)) for k, v in table.items()], default)
 
 
+# Fixed topics come before every question.
+_FIRST = -(2**63)
+
+
+def _place(question_order: Column, section: int, i: Column) -> Column:
+    """Where an item stands: by question, missing concepts (0) before rubric points (1), then as listed."""
+    return F.struct(question_order.cast("bigint").alias("question"), F.lit(section).alias("section"), i.cast("bigint").alias("i"))
+
+
 def rubric_rows(questions: DataFrame, keys: list[str]) -> DataFrame:
     """One row per rubric point with a usable concept. ``questions``: keys, question_number,
     question_order, rubric_points."""
@@ -46,7 +55,7 @@ def rubric_rows(questions: DataFrame, keys: list[str]) -> DataFrame:
     points = questions.select(*keys, "question_number", "question_order", F.posexplode("rubric_points").alias("_i", "p")).select(
         *keys,
         "question_number",
-        (F.col("question_order") * 1000 + F.col("_i")).alias("place"),
+        _place(F.col("question_order"), 1, F.col("_i")).alias("place"),
         p["description"].alias("_d"),
         p["allocated_marks"].alias("allocated_marks"),
         p["marks_awarded"].alias("marks_awarded"),
@@ -78,19 +87,17 @@ def _items(rows: DataFrame, keys: list[str]) -> DataFrame:
     def item(kind: str, holds: Column, text: Column, place: Column) -> Column:
         return F.when(holds, F.struct(F.lit(kind).alias("kind"), text.alias("text"), place.alias("place")))
 
-    # Within a question, missing concepts come before its rubric points.
-    topic_place = F.col("place") + 500
     made = F.array_compact(
         F.array(
             item("strengths", strong, _prefixed(praise), F.col("place")),
             item("weaknesses", weak, _prefixed(lack), F.col("place")),
             item("improvements", ~F.col("met"), _prefixed(revise), F.col("place")),
-            item("study_recommendations", ~F.col("met"), title, topic_place),
+            item("study_recommendations", ~F.col("met"), title, F.col("place")),
         )
     )
     fixed = F.transform(
         F.when(~F.col("met") & (F.col("concept") == "photosynthesis"), TX.strings(X.PHOTOSYNTHESIS_TOPICS)).otherwise(TX.no_strings()),
-        lambda t, i: F.struct(F.lit("study_recommendations").alias("kind"), t.alias("text"), (i - 100).cast("bigint").alias("place")),
+        lambda t, i: F.struct(F.lit("study_recommendations").alias("kind"), t.alias("text"), _place(F.lit(_FIRST), 0, i).alias("place")),
     )
     return rows.select(*keys, F.explode(F.concat(made, fixed)).alias("_x")).select(*keys, "_x.*")
 
@@ -99,13 +106,13 @@ def _missing_items(questions: DataFrame, keys: list[str]) -> DataFrame:
     """Study topics from the missing concepts of each question."""
     concept = TX.normalize_concept(F.col("_c"))
     rows = questions.select(*keys, "question_order", F.posexplode("missing_concepts").alias("_i", "_c")).select(
-        *keys, concept.alias("concept"), (F.col("question_order") * 1000 + F.least(F.col("_i"), F.lit(499))).alias("place")
+        *keys, concept.alias("concept"), _place(F.col("question_order"), 0, F.col("_i")).alias("place")
     )
     rows = rows.filter(TX.is_valid_normalized(F.col("concept")))
     fixed = F.when(F.col("concept") == "photosynthesis", TX.strings(X.PHOTOSYNTHESIS_TOPICS)).otherwise(TX.no_strings())
     own = F.struct(F.lit("study_recommendations").alias("kind"), topic_title(F.col("concept")).alias("text"), F.col("place").alias("place"))
     topics = F.transform(
-        fixed, lambda t, i: F.struct(F.lit("study_recommendations").alias("kind"), t.alias("text"), (i - 100).cast("bigint").alias("place"))
+        fixed, lambda t, i: F.struct(F.lit("study_recommendations").alias("kind"), t.alias("text"), _place(F.lit(_FIRST), 0, i).alias("place"))
     )
     return rows.select(*keys, F.explode(F.concat(F.array(own), topics)).alias("_x")).select(*keys, "_x.*")
 

@@ -50,12 +50,12 @@ def _ascii_words(t: str) -> str:
     return f"regexp_replace(regexp_replace(lower({t}), '[^\\x00-\\x7F\\p{{L}}\\p{{N}}]', ' ', 'g'), '[^\\x00-\\x7F]', '_', 'g')"
 
 
-def _keywords_sql(t: str, limit: int) -> str:
+def _keywords_sql(t: str, limit: int | None = None) -> str:
     found = f"regexp_extract_all({_ascii_words(t)}, '\\b[a-zA-Z][a-zA-Z0-9+\\-]{{2,}}\\b')"
     kept = f"list_filter({found}, lambda w: w NOT IN {_in(X.CONCEPT_STOPWORDS)})"
     inner = _norm("trim(w, '-')")
     valid = f"list_filter(list_transform({kept}, lambda w: {inner}), lambda w: length(w) >= 3 AND w NOT IN {_REFUSED})"
-    return f"({_first_each(valid)})[1:{limit}]"
+    return f"({_first_each(valid)})" + (f"[1:{limit}]" if limit else "")
 
 
 def docs(spark, d):
@@ -111,8 +111,8 @@ def _domain_sql(q: str) -> str:
 def _expected_sql(q: str, dom: str) -> str:
     terms = "CASE " + " ".join(f"WHEN {dom} = '{k}' THEN {_list(sorted(v))}" for k, v in X.DOMAIN_CONCEPTS.items()) + " ELSE []::VARCHAR[] END"
     expanded = f"flatten(list_transform(list_filter({terms}, lambda c: contains(lower({q}), c)), lambda c: CASE WHEN c = 'photosynthesis' THEN {_list(X.CONCEPT_EXPANSIONS['photosynthesis'])} ELSE [c] END))"
-    merged = f"list_concat({expanded}, {_keywords_sql(q, 8)})"
-    return f"({_first_each(f'list_filter(list_transform({merged}, lambda w: {_norm("w")}), lambda w: length(w) >= 3 AND w NOT IN {_REFUSED})')})[1:8]"
+    merged = f"list_concat({expanded}, {_keywords_sql(q)})"
+    return f"({_first_each(f'list_filter(list_transform({merged}, lambda w: {_norm("w")}), lambda w: length(w) >= 3 AND w NOT IN {_REFUSED})')})"
 
 
 @query(
@@ -141,7 +141,7 @@ def h7_sanitized_text(spark, d):
 @query(
     "h6_lexical_alignment",
     f"""WITH {PAIRED}, s AS (SELECT answer_id, {_sanitize_sql('answer_text')} AS a, question_text AS q, {_domain_sql('question_text')} AS dom FROM pr),
- t AS (SELECT answer_id, {_expected_sql('q', 'dom')} AS e, {_keywords_sql('a', 200)} AS k FROM s)
+ t AS (SELECT answer_id, {_expected_sql('q', 'dom')} AS e, {_keywords_sql('a')} AS k FROM s)
  SELECT answer_id, {r("least(1.0::DOUBLE, len(list_intersect(e, k))/len(e)::DOUBLE + CASE WHEN len(k) >= greatest(3, len(e)//2) THEN 0.1::DOUBLE ELSE 0 END)")} AS alignment FROM t""",
 )
 def h6_lexical_alignment(spark, d):
@@ -180,8 +180,8 @@ _RUBRIC = """qs AS (SELECT item_id, text || CASE item_id % 3 WHEN 0 THEN ' [7 ma
  it AS (SELECT item_id, coalesce(try_cast(nullif(regexp_extract(question_text, '[\\[(]\\s*(\\d+(?:\\.\\d+)?)\\s*(?:marks?|m)\\s*[\\])]', 1, 'i'), '') AS DOUBLE), 5.0::DOUBLE) AS max_score,
   list_filter(list_transform(string_split_regex(answer_key, '\\n+\\s*(?:-|\\d+\\.)\\s*'), lambda s: trim(s, e' \\t\\n\\r')), lambda s: s <> '') AS points,
   list_filter(list_transform(string_split_regex(regexp_replace(answer_key, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\x01|\\n+'), lambda s: trim(s, e' \\t\\n\\r')), lambda s: s <> '') AS sents FROM qs),
- ks AS (SELECT item_id, max_score, (list_filter(CASE WHEN len(points) > 1 THEN points ELSE sents END, lambda c: length(c) > 5))[1:5] AS items FROM it),
- cr AS (SELECT item_id, max_score, i, items[i] AS description, CASE WHEN i < len(items) THEN each ELSE {rest} END AS allocated FROM (SELECT *, {each} AS each FROM ks) x, range(1, 6) t(i) WHERE i <= len(items))""".format(
+ ks AS (SELECT item_id, max_score, (list_filter(CASE WHEN len(points) > 1 THEN points ELSE sents END, lambda c: length(c) > 0)) AS items FROM it),
+ cr AS (SELECT item_id, max_score, i, items[i] AS description, CASE WHEN i < len(items) THEN each ELSE {rest} END AS allocated FROM (SELECT *, {each} AS each, unnest(range(1, len(items) + 1)) AS i FROM ks) x)""".format(
     each=r("max_score/len(items)"),
     rest=r("max_score - list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(1, len(items)), lambda z: each)), lambda p, q: p + q)"),
 )
@@ -308,7 +308,7 @@ def h22_parsed_questions(spark, d):
 @query(
     "h22_marks_and_or",
     """SELECT doc_id, try_cast(nullif(regexp_extract(t, '[\\[(]\\s*(\\d+(?:\\.\\d+)?)\\s*(?:marks?|m)\\s*[\\])]', 1, 'i'), '') AS DOUBLE) AS marks,
- regexp_matches(t, '(?:^|\\n)\\s*OR\\s*(?:\\n|$)', 'i') OR regexp_matches(t, '(?is)\\bEither\\b.{5,200}\\bor\\b') OR regexp_matches(t, '(?:^|\\n)\\s*(?:Attempt\\s+)?Any[\\s-]One(?:\\s+of\\s+the\\s+following)?[\\s:]*(?:\\n|$)', 'i')
+ regexp_matches(t, '(?:^|\\n)\\s*OR\\s*(?:\\n|$)', 'i') OR regexp_matches(t, '(?is)\\bEither\\b.{5,}\\bor\\b') OR regexp_matches(t, '(?:^|\\n)\\s*(?:Attempt\\s+)?Any[\\s-]One(?:\\s+of\\s+the\\s+following)?[\\s:]*(?:\\n|$)', 'i')
  OR regexp_matches(t, '\\s+(?:OR|Either|Any[\\s-]?One)\\s+', 'i') AS has_or FROM (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' (3 Marks]' WHEN 1 THEN chr(10) || 'OR' || chr(10) || ' two' ELSE '' END AS t FROM documents)""",
 )
 def h22_marks_and_or(spark, d):

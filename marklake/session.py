@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,15 +37,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     target = configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(target)
     return target
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder, so lost executors do not force a recompute."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage in the shared folder, so lost executors do not force a recompute.
+
+    Written as a table: a reliable checkpoint of a frame would run its plan twice, and keep rows uncompressed.
+    The files stay until the application's folder is removed (`remove_checkpoints`, once nothing reads them).
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_checkpoints(spark: SparkSession) -> None:
+    """Remove all that this application has stored in the checkpoint folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path, True)
+    fs.mkdirs(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, where it is neither installed there nor on their PYTHONPATH."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/marklake", "zip", root, "marklake"))
 
 
 def plan_size_bytes(df: DataFrame) -> int:
