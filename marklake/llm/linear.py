@@ -25,7 +25,7 @@ def logit(p):
     return np.log(p / (1 - p))
 
 
-def word_features(data: np.ndarray, starts: np.ndarray, prefixes: tuple[int, ...] = (4, 5)) -> tuple[np.ndarray, np.ndarray]:
+def word_features(data: np.ndarray, starts: np.ndarray, prefixes: tuple[int, ...] = (4, 5, 6, 7, 8, 10)) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) of all words and their first bytes; prefixes stand for the stems of inflected words."""
     out = []
     for k in (0, *prefixes):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from marklake.llm.common import as_long, pieces, text_buffer
+from marklake.llm.common import as_long, forget, pieces, stored, text_buffer
 from marklake.llm.linear import fit, labelled_sample, logit, sigmoid, word_features
 
 
@@ -28,14 +28,15 @@ class Chain:
         self.weights: list[np.ndarray] = []
         self.threshold = 0.5
 
-    def matrix(self, k: int, doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
+    def found(self, k: int, doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place among the category's features, value): a feature counts with the logarithm of its occurrences."""
         chosen = self.features[k]
-        x = np.zeros((n, len(chosen)), np.float32)
-        if len(chosen):
-            at = np.minimum(np.searchsorted(chosen, feature), len(chosen) - 1)
-            hit = chosen[at] == feature
-            x[doc[hit], at[hit]] = 1
-        return x
+        if not len(chosen):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        at = np.minimum(np.searchsorted(chosen, feature), len(chosen) - 1)
+        hit = chosen[at] == feature
+        pairs, counts = np.unique(doc[hit] * len(chosen) + at[hit], return_counts=True)
+        return pairs // len(chosen), pairs % len(chosen), np.log1p(counts)
 
     def probabilities(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """One column per category, one row per text."""
@@ -43,47 +44,65 @@ class Chain:
         doc, feature = word_features(data, starts)
         odds = np.zeros((n, 0))
         for k in range(len(self.categories)):
-            w, chosen = self.weights[k], self.features[k]
-            z = np.full(n, w[-1]) + odds @ w[len(chosen) : len(chosen) + k]
-            if len(chosen):
-                at = np.minimum(np.searchsorted(chosen, feature), len(chosen) - 1)
-                hit = chosen[at] == feature
-                pairs = np.unique(doc[hit] * len(chosen) + at[hit])  # a feature counts once per text
-                z += np.bincount(pairs // len(chosen), weights=w[pairs % len(chosen)], minlength=n)
+            w, size = self.weights[k], len(self.features[k])
+            text, at, value = self.found(k, doc, feature)
+            z = w[-1] + odds @ w[size : size + k] + np.bincount(text, weights=w[at] * value, minlength=n)
             odds = np.hstack([odds, logit(sigmoid(z))[:, None]])
         return sigmoid(odds)
 
 
-def _featured(categories: list[str]):
+def _parts(batches: Iterator[pa.RecordBatch]):
+    """Runs of texts of all batches: (batch, first, last, text numbers, features)."""
+    for batch in batches:
+        data, starts = text_buffer(batch.column("text"))
+        for i, j in pieces(starts):
+            yield batch, i, j, *word_features(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
+
+
+def _tallied(categories: list[str]):
+    """Per feature, in how many texts of a run it occurs, and in how many of each category."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, starts = text_buffer(batch.column("text"))
-            for i, j in pieces(starts):
-                doc, feature = word_features(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
-                rows = [np.unique(x) for x in np.split(feature[np.argsort(doc, kind="stable")], np.cumsum(np.bincount(doc, minlength=j - i))[:-1])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[i:j], *(batch.column(c)[i:j] for c in categories), pa.array([as_long(r) for r in rows], pa.list_(pa.int64()))],
-                    names=["doc_id", *categories, "features"],
-                )
+        for batch, i, j, doc, feature in _parts(batches):
+            names, at = np.unique(feature, return_inverse=True)
+            pairs = np.unique(doc.astype(np.int64) * max(len(names), 1) + at)
+            doc, at = pairs // max(len(names), 1), pairs % max(len(names), 1)
+            sums = [np.bincount(at, weights=batch.column(c)[i:j].to_numpy()[doc], minlength=len(names)).astype(np.int64) for c in categories]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(as_long(names)), pa.array(np.bincount(at, minlength=len(names))), *map(pa.array, sums)], names=["feature", "n", *categories]
+            )
+
+    return run
+
+
+def _rows_of(chain: Chain, categories: list[str]):
+    """Per text and category, the places and values of the category's features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i, j, doc, feature in _parts(batches):
+            columns, names = [batch.column("doc_id")[i:j], *(batch.column(c)[i:j] for c in categories)], ["doc_id", *categories]
+            for k in range(len(categories)):
+                text, at, value = chain.found(k, doc, feature)
+                ends = pa.array(np.searchsorted(text, np.arange(j - i + 1)).astype(np.int32))
+                columns += [pa.ListArray.from_arrays(ends, pa.array(at)), pa.ListArray.from_arrays(ends, pa.array(value))]
+                names += [f"at{k}", f"value{k}"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def best_features(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, most: int, least_documents: int) -> np.ndarray:
-    """The features that stand out most in the documents of a category: likelihood ratio of presence against absence."""
-    names, at = np.unique(feature, return_inverse=True)
-    inside = np.bincount(at, weights=y[doc], minlength=len(names))
-    outside = np.bincount(at, minlength=len(names)) - inside
-    a, b = max(y.sum(), 1), max((1 - y).sum(), 1)
-    rate, p, q = (inside + outside) / (a + b), inside / a, outside / b
+def _best_features(tally: DataFrame, category: str, inside: int, everything: int, most: int) -> np.ndarray:
+    """The features that stand out most in the texts of a category: likelihood ratio of their presence against its absence."""
+    k, n = F.col(category), F.col("n")
 
-    def gain(k, n, p):
-        return k * np.log(np.maximum(p, 1e-12) / rate) + (n - k) * np.log(np.maximum(1 - p, 1e-12) / np.maximum(1 - rate, 1e-12))
+    def part(count, size: int, share):
+        """log-likelihood of `count` of `size` texts at their own share, less that at the common one."""
+        own = count / size
+        return F.when(count > 0, count * F.log(own / share)).otherwise(0.0) + F.when(count < size, (size - count) * F.log((1 - own) / (1 - share))).otherwise(0.0)
 
-    score = gain(inside, a, p) + gain(outside, b, q)
-    score[inside + outside < least_documents] = 0
-    top = np.argsort(-score, kind="stable")[:most]
-    return np.sort(names[top[score[top] > 6]])
+    gain = part(k, inside, n / everything) + part(n - k, everything - inside, n / everything)
+    best = tally.where(n < everything).withColumn("gain", gain).where("gain > 6").orderBy(F.desc("gain"), "feature").limit(most)
+    return np.sort(np.array([r["feature"] for r in best.select("feature").collect()], np.int64).view(np.uint64))
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray, rate: float) -> float:
@@ -98,33 +117,36 @@ def best_threshold(p: np.ndarray, y: np.ndarray, rate: float) -> float:
 
 
 def train_chain(
-    docs: DataFrame, labels: DataFrame, categories: list[str], per_class: int = 2500, folds: int = 5, most: int = 400, least_documents: int = 4
+    docs: DataFrame, labels: DataFrame, categories: list[str], per_class: int = 2500, folds: int = 5, most: int = 300, least_documents: int = 4
 ) -> Chain:
     """Fit on at most 2 * len(categories) * per_class labelled documents, the only part of the corpus that the driver sees.
 
     The chain's threshold is the last category's best one out of fold. A category without both values among the labels is predicted by its rate.
     """
     rates = labels.select(*[F.avg(F.col(c).cast("double")).alias(c) for c in categories]).first()
-    sample = labelled_sample(docs, labels, categories, per_class)
+    sample = stored(labelled_sample(docs, labels, categories, per_class).select("doc_id", *categories, "text"), "toxicity-sample")
     kinds = ", ".join(f"{c} int" for c in categories)
-    got = sample.select("doc_id", *categories, "text").mapInArrow(_featured(categories), f"doc_id long, {kinds}, features array<long>").toArrow()
-    order = np.lexsort((got.column("doc_id").to_numpy(),)) if got.num_rows else np.zeros(0, np.int64)
-    lists = [got.column("features")[int(i)].values.to_numpy() for i in order]
-    n = len(lists)
-    doc = np.repeat(np.arange(n), [len(x) for x in lists])
-    feature = (np.concatenate(lists) if n else np.zeros(0, np.int64)).view(np.uint64)
-    fold = np.arange(n) % folds
-    chain, odds = Chain(categories), np.zeros((n, 0))
+    n, *inside = sample.select(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in categories]).first()
+    counted = sample.mapInArrow(_tallied(categories), "feature long, n long, " + ", ".join(f"{c} long" for c in categories))
+    tally = stored(counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", *categories)]).where(F.col("n") >= least_documents), "toxicity-tally")
+    chain = Chain(categories)
+    for c, k in zip(categories, inside):
+        chain.features.append(_best_features(tally, c, k, n, most) if 0 < k < n else np.zeros(0, np.uint64))
+    lists = "".join(f", at{k} array<long>, value{k} array<double>" for k in range(len(categories)))
+    got = sample.mapInArrow(_rows_of(chain, categories), f"doc_id long, {kinds}{lists}").toArrow().sort_by("doc_id")
+    forget(sample, tally)
+    fold, odds = np.arange(n) % folds, np.zeros((n, 0))
     for k, category in enumerate(categories):
-        y = got.column(category).to_numpy()[order].astype(float) if n else np.zeros(0)
+        y = got.column(category).to_numpy().astype(float)
         rate = min(max(rates[category] or 0.0, 1e-4), 1 - 1e-4)
         if not 0 < y.sum() < n:
-            chain.features.append(np.zeros(0, np.uint64))
             chain.weights.append(np.append(np.zeros(k), logit(rate)))
             odds = np.hstack([odds, np.full((n, 1), logit(rate))])
             continue
-        chain.features.append(best_features(doc, feature, y, most, least_documents))
-        x = np.hstack([chain.matrix(k, doc, feature, n), odds])
+        x = np.zeros((n, len(chain.features[k])))
+        at, value = (got.column(f"{c}{k}").combine_chunks() for c in ("at", "value"))
+        x[np.repeat(np.arange(n), at.value_lengths().to_numpy()), at.flatten().to_numpy()] = value.flatten().to_numpy()
+        x = np.hstack([x, odds])
         shift = logit(rate) - logit(y.mean())
         out = np.zeros(n)
         for f in range(folds):
