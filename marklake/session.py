@@ -63,6 +63,14 @@ def remove_checkpoints(spark: SparkSession) -> None:
     fs.mkdirs(path)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let workers import this package from its folder, wherever the driver was started; see `ship_package` for a cluster."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give executors this package, where it is neither installed there nor on their PYTHONPATH."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
