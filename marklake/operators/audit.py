@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marklake.functions import text as TX
 from marklake.functions.numeric import round_even
 from marklake.functions.scan import before, median_of_counts, null_safe_join, value_counts
 from marklake.session import BROADCAST_LIMIT_BYTES, checkpointed
@@ -264,23 +268,67 @@ def cluster_bootstrap(
         *[x.alias(k) for k, x in statistics().items()]
     )
     values = per_resample.select(stack).select("_s.*").filter("value is not null")
-    ranked = Window.partitionBy("statistic").orderBy("value")  # at most `resamples` rows each
+    return points.join(_bounds(values, [], resamples, confidence), "statistic", "left").select(
+        "statistic",
+        "value",
+        F.when(F.col("value").isNotNull(), F.col("low")).alias("low"),
+        F.when(F.col("value").isNotNull(), F.col("high")).alias("high"),
+        F.lit(n_clusters).cast("bigint").alias("n_clusters"),
+        "n_observations",
+    )
+
+
+def _bounds(values: DataFrame, keys: list[str], resamples: int, confidence: float) -> DataFrame:
+    """(keys, statistic, low, high) from the statistics of each resample; none where fewer than half of them have one."""
+    of = [*keys, "statistic"]
+    ranked = Window.partitionBy(*of).orderBy("value")  # at most `resamples` rows each
     placed = values.select(
-        "statistic", "value", (F.row_number().over(ranked) - 1).alias("_i"), F.count(F.lit(1)).over(Window.partitionBy("statistic")).alias("_valid")
+        *of, "value", (F.row_number().over(ranked) - 1).alias("_i"), F.count(F.lit(1)).over(Window.partitionBy(*of)).alias("_valid")
     )
     alpha = (1.0 - confidence) / 2.0
     low_i = F.floor(F.lit(alpha) * F.col("_valid"))
     high_i = F.least(F.col("_valid") - 1, F.floor(F.lit(1 - alpha) * F.col("_valid")))
     usable = F.col("_valid") >= resamples * 0.5
-    bounds = placed.groupBy("statistic").agg(
+    return placed.groupBy(*of).agg(
         F.max(F.when(usable & (F.col("_i") == low_i), F.col("value"))).alias("low"),
         F.max(F.when(usable & (F.col("_i") == high_i), F.col("value"))).alias("high"),
     )
-    return points.join(bounds, "statistic", "left").select(
-        "statistic",
-        "value",
-        F.when(F.col("value").isNotNull(), F.col("low")).alias("low"),
-        F.when(F.col("value").isNotNull(), F.col("high")).alias("high"),
-        F.lit(n_clusters).cast("bigint").alias("n_clusters"),
-        "n_observations",
+
+
+_PRIME = 2**31 - 1
+# A Poisson(1) weight is the number of these that a uniform number below the prime reaches.
+_POISSON = [math.floor(_PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(9)]
+
+
+def weighted_bootstrap(
+    obs: DataFrame, engine: str, keys: list[str] | None = None, resamples: int = 1000, confidence: float = 0.95, seed: int = 20260815
+) -> DataFrame:
+    """D26 per key: every script weighs in each resample by its own Poisson(1) number, in place of a number of draws.
+
+    The weight is a function of (seed, script, resample): two words of an md5 per script, then one product per resample.
+    No script is numbered, drawn or joined; weighted sums are added up per task, and one row per key and resample moves.
+    """
+    keys = keys or []
+    scripts = obs.groupBy(*keys, "script_id").agg(*[x.alias(k) for k, x in _arm(obs, engine).items()], F.count(F.lit(1)).alias("_rows"))
+    merged = merge_sums()
+    points = scripts.groupBy(*keys).agg(
+        *[x.alias(k) for k, x in merged.items()], F.sum("_rows").alias("n_observations"), F.count(F.lit(1)).alias("n_clusters")
+    )
+    stack = F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value")) for s in STATISTICS])).alias("_s")
+    points = points.select(*keys, "n_clusters", "n_observations", *[x.alias(k) for k, x in statistics().items()])
+    points = points.select(*keys, "n_clusters", "n_observations", stack).select(*keys, "n_clusters", "n_observations", "_s.*")
+    digest = F.md5(F.concat(F.lit(f"{seed}-"), F.col("script_id").cast("string")).cast("binary"))
+    word = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
+    hashed = TX.bind_columns(scripts, _h=word(1) % _PRIME, _g=word(9) % (_PRIME - 1) + 1)
+    drawn = hashed.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+    uniform = (F.col("_h") + F.col("resample") * F.col("_g")) % _PRIME
+    drawn = drawn.withColumn("_u", uniform).filter(F.col("_u") >= _POISSON[0])
+    weight = reduce(lambda a, b: a + b, [F.when(F.col("_u") >= t, 1).otherwise(0) for t in _POISSON])
+    weighted = drawn.withColumn("_w", weight).withColumns({k: F.col(k) * F.col("_w") for k in merged})
+    sums = weighted.groupBy(*keys, "resample").agg(*[x.alias(k) for k, x in merged.items()])
+    values = sums.select(*keys, *[x.alias(k) for k, x in statistics().items()]).select(*keys, stack).select(*keys, "_s.*").filter("value is not null")
+    bounds = _bounds(values, keys, resamples, confidence)
+    known = (F.col("value").isNotNull()) & (F.col("n_clusters") >= 2)
+    return null_safe_join(points, bounds, [*keys, "statistic"], "left").select(
+        *keys, "statistic", "value", F.when(known, F.col("low")).alias("low"), F.when(known, F.col("high")).alias("high"), "n_clusters", "n_observations"
     )

@@ -403,6 +403,44 @@ def d26_cluster_bootstrap(spark, d):
     return _round6(A.cluster_bootstrap(V.observations(spark, d), "engine_mark_a", _RESAMPLES, seed=_SEED), ("value", "low", "high"))
 
 
+def _weighted_sql(key: str) -> str:
+    """D26 by weights, per value of a key (or over all, for an empty one)."""
+    k, by = (f"{key}, ", f"USING ({key}, statistic)") if key else ("", "USING (statistic)")
+    sums = ", ".join(f"sum({{w}}{c}) AS {c}" for c in ("n", "x", "w1", "a", "b", "f", "sh", "se", "shh", "see", "sgg"))
+    stats = "[x/n::DOUBLE, w1/n::DOUBLE, a/n, f/n, 1 - sgg/(shh+see-2*sh*se/n), b/n]"
+    weight = " + ".join(f"(u >= {t})::INT" for t in A._POISSON)
+    return with_views(
+        "obs",
+        f"""SELECT {k}statistic, round(value, 6) AS value, round(low, 6) AS low, round(high, 6) AS high, n_clusters, n_observations FROM pt LEFT JOIN bd {by}""",
+        f"""scr AS (SELECT {k}script_id, count(*) AS n, sum((abs(g)<1e-9)::INT) AS x, sum((abs(g)<=1+1e-9)::INT) AS w1, sum(abs(g)) AS a,
+  sum(g) AS b, sum(abs(g)/max_marks) AS f, sum(2*h) AS sh, sum(2*e) AS se, sum(4*h*h) AS shh, sum(4*e*e) AS see, sum(4*g*g) AS sgg, count(*) AS n_rows,
+  md5('{_SEED}-' || script_id) AS m FROM (SELECT *, engine_mark_a - human_mark AS g, human_mark AS h, engine_mark_a AS e FROM obs) GROUP BY {k}script_id),
+ hs AS (SELECT *, ('0x' || substr(m, 1, 8))::BIGINT % {A._PRIME} AS h1, ('0x' || substr(m, 9, 8))::BIGINT % {A._PRIME - 1} + 1 AS h2 FROM scr),
+ dr AS (SELECT *, {weight} AS wt FROM (SELECT hs.*, rs, (h1 + rs * h2) % {A._PRIME} AS u FROM hs, range({_RESAMPLES}) t(rs))),
+ tot AS (SELECT {k}rs, {sums.format(w="wt*")} FROM dr WHERE wt > 0 GROUP BY {k}rs),
+ al AS (SELECT {k}{sums.format(w="")}, count(*) AS n_clusters, sum(n_rows)::BIGINT AS n_observations FROM scr {"GROUP BY " + key if key else ""}),
+ pt AS (SELECT {k}n_clusters, n_observations, unnest({list(A.STATISTICS)}) AS statistic, unnest({stats}) AS value FROM al),
+ vals AS (SELECT {k}unnest({list(A.STATISTICS)}) AS statistic, unnest({stats}) AS value FROM tot),
+ rk AS (SELECT {k}statistic, value, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY {k}statistic) AS valid FROM vals WHERE value IS NOT NULL AND NOT isnan(value) WINDOW w AS (PARTITION BY {k}statistic ORDER BY value)),
+ bd AS (SELECT {k}statistic, max(value) FILTER (i = floor(0.025000000000000022*valid) AND valid >= {_RESAMPLES}*0.5) AS low, max(value) FILTER (i = least(valid-1, floor(0.975*valid)) AND valid >= {_RESAMPLES}*0.5) AS high FROM rk GROUP BY {k}statistic)""",
+    )
+
+
+@query("d26_weighted_bootstrap", _weighted_sql(""))
+def d26_weighted_bootstrap(spark, d):
+    return _round6(A.weighted_bootstrap(V.observations(spark, d), "engine_mark_a", [], _RESAMPLES, seed=_SEED), ("value", "low", "high"))
+
+
+@query("d26_intervals_by_subject", _weighted_sql("subject"))
+def d26_intervals_by_subject(spark, d):
+    return _round6(A.weighted_bootstrap(V.observations(spark, d), "engine_mark_a", ["subject"], _RESAMPLES, seed=_SEED), ("value", "low", "high"))
+
+
+@query("d26_intervals_by_type", _weighted_sql("question_type"))
+def d26_intervals_by_type(spark, d):
+    return _round6(A.weighted_bootstrap(V.observations(spark, d), "engine_mark_a", ["question_type"], _RESAMPLES, seed=_SEED), ("value", "low", "high"))
+
+
 @query(
     "d28_outliers",
     with_views(
