@@ -238,21 +238,31 @@ def _stream(spark, d, name):
 
 @query(
     "s1_incremental_grading",
-    with_views("", """SELECT CASE WHEN length(trim(text, e' \\t\\n\\r')) < 40 THEN 'FAILED' ELSE 'COMPLETED' END AS status, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY 1"""),
+    with_views("", """SELECT CASE WHEN length(trim(text, e' \\t\\n\\r')) < 40 THEN 'FAILED' ELSE 'COMPLETED' END AS status, count(*) AS n, sum(length(text))::BIGINT AS n_chars,
+ count(*) FILTER (WHERE length(trim(text, e' \\t\\n\\r')) >= 40) AS n_marked FROM documents GROUP BY 1"""),
 )
 def s1_incremental_grading(spark, d):
-    from marklake.functions.text import strip, text_quality
+    """Documents arrive as answers to the benchmark's questions and are graded by its value points."""
+    from marklake.functions.text import strip
+    from marklake.operators import evidence as E
+    from marklake.operators import marks as M
+    from marklake.plans.evidence_queries import schemes
 
     base = workspace(spark)
     bad = F.length(strip(F.col("text"))) < 40
+    scheme = schemes(spark, d)
+    n = scheme.count()
 
     def grade(batch):
-        return batch.withColumn("quality", text_quality(F.col("text")))
+        answers = batch.select(F.col("doc_id").alias("answer_id"), (F.col("doc_id") % n).cast("string").alias("question_id"), F.col("text").alias("answer_text"))
+        marks = M.score_answers(answers, E.scheme_rows(scheme), E.text_evidence(answers, scheme)).select("answer_id", "total")
+        return batch.join(marks, batch["doc_id"] == marks["answer_id"], "left").drop("answer_id")
 
-    J.run_available(_stream(spark, d, "documents"), J.grade_increment(grade, bad, f"{base}/results", f"{base}/failed"), f"{base}/state")
+    J.run_available(_stream(spark, d, "documents"), J.grade_increment(grade, bad, f"{base}/results", f"{base}/failed", "doc_id"), f"{base}/state")
     cols = ["status", F.length("text").cast("bigint").alias("chars")]
-    both = spark.read.parquet(f"{base}/results").select(*cols).unionByName(spark.read.parquet(f"{base}/failed").select(*cols))
-    return both.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("n_chars"))
+    done = spark.read.parquet(f"{base}/results").select(*cols, F.col("total").isNotNull().alias("marked"))
+    both = done.unionByName(spark.read.parquet(f"{base}/failed").select(*cols, F.lit(False).alias("marked")))
+    return both.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("n_chars"), F.count_if("marked").alias("n_marked"))
 
 
 _STATUS = "CASE event_type WHEN 'signup' THEN 'UPLOADED' WHEN 'view' THEN 'PROCESSING' WHEN 'click' THEN 'OCR_COMPLETE' WHEN 'purchase' THEN CASE WHEN value > 400 THEN 'COMPLETED' ELSE 'EVALUATING' END ELSE 'FAILED' END"

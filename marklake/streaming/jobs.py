@@ -41,20 +41,36 @@ def run_available(stream: DataFrame, handler: Callable[[DataFrame, int], None],
 # --- S1: incremental grading -----------------------------------------------------------------
 
 
-def grade_increment(grade: Callable[[DataFrame], DataFrame], is_bad: Column, results: str, failed: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch handler: unusable submissions go to the failed sink, the others are graded.
+def grade_increment(grade: Callable[[DataFrame], DataFrame], is_bad: Column, results: str, failed: str, key: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch handler: each submission is graded, or FAILED by itself.
 
-    Each micro-batch owns a folder of its number, so a batch that runs again after a
-    failure replaces its own output instead of adding to it.
+    Submissions that are unusable go to the failed sink at once. Where grading the others stops, they are graded in
+    halves, by a hash of `key`, until the submissions that stop it stand alone; those go to the failed sink with the
+    error, the rest are graded. Each micro-batch owns a folder of its number, and each part of it one, so a batch that
+    runs again replaces its own output instead of adding to it.
     """
 
+    def refused(rows: DataFrame, message: str, folder: str) -> None:
+        rows.withColumn("status", F.lit("FAILED")).withColumn("error_message", F.lit(message)).write.mode("overwrite").parquet(folder)
+
+    def settle(rows: DataFrame, number: int, part: str) -> None:
+        try:
+            grade(rows).withColumn("status", F.lit("COMPLETED")).write.mode("overwrite").parquet(f"{results}/batch={number}/part=p{part}")
+        except Exception as error:  # noqa: BLE001 - whatever stops one submission must not stop the others
+            if len(rows.select(key).distinct().take(2)) < 2:
+                refused(rows, f"{GENERIC_FAILURE} {str(error)[:500]}", f"{failed}/batch={number}/part=p{part}")
+                return
+            half = F.pmod(F.xxhash64(F.lit(len(part)), F.col(key)), F.lit(2))
+            for i in (0, 1):
+                side = rows.filter(half == i)
+                if not side.isEmpty():
+                    settle(side, number, f"{part}{i}")
+
     def handle(batch: DataFrame, number: int) -> None:
         kept = batch.persist()
         try:
-            bad = kept.filter(is_bad).withColumn("status", F.lit("FAILED")).withColumn("error_message", F.lit(GENERIC_FAILURE))
-            bad.write.mode("overwrite").parquet(f"{failed}/batch={number}")
-            done = grade(kept.filter(~is_bad)).withColumn("status", F.lit("COMPLETED"))
-            done.write.mode("overwrite").parquet(f"{results}/batch={number}")
+            refused(kept.filter(is_bad), GENERIC_FAILURE, f"{failed}/batch={number}/part=unusable")
+            settle(kept.filter(~F.coalesce(is_bad, F.lit(False))), number, "")
         finally:
             kept.unpersist()
 

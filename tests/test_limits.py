@@ -93,3 +93,18 @@ def test_checkpoints_can_be_removed(spark):
     path = ensure_checkpoint_dir(spark)
     assert frame.count() == 3 and frame.inputFiles()[0].startswith("file:") and path
     assert callable(remove_checkpoints)
+
+
+def test_a_submission_that_stops_grading_fails_alone(spark, tmp_path):
+    from marklake.streaming import jobs as J
+
+    rows = spark.range(40).select(F.col("id"), F.when(F.col("id") == 3, "").otherwise("answer").alias("text"))
+
+    def grade(batch):
+        poison = F.when(F.col("id").isin(17, 18), F.raise_error(F.lit("no such question")).cast("long"))
+        return batch.withColumn("marks", F.coalesce(poison, F.col("id")))
+
+    J.grade_increment(grade, F.col("text") == "", f"{tmp_path}/done", f"{tmp_path}/failed", "id")(rows, 0)
+    failed = {r.id: r.error_message for r in spark.read.parquet(f"{tmp_path}/failed").collect()}
+    assert set(failed) == {3, 17, 18} and "no such question" in failed[17]
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/done").collect()) == [i for i in range(40) if i not in failed]
