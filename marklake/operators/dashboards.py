@@ -352,14 +352,16 @@ def cohort_analytics(evals: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def student_overview(subs: DataFrame, exams: DataFrame) -> DataFrame:
-    """D14 for every student: all published rows count, the mean is over completed ones."""
+    """D14 for every student: all published rows count, the mean is over completed ones. Names are one whatever their case."""
     return (
         subs.join(exams.filter("results_published").select("exam_id"), "exam_id", "left_semi")
-        .groupBy("student_name")
+        .groupBy(F.lower("student_name").alias("_name"))
         .agg(
+            F.min("student_name").alias("student_name"),
             F.count(F.lit(1)).alias("total_exams"),
             round_even(_zero(F.avg(_done("obtained_marks"))), 2).alias("average_score"),
         )
+        .drop("_name")
     )
 
 
@@ -464,8 +466,8 @@ DEFAULT_STUDY_TOPICS = [
 ]
 
 
-def study_plan(docs: DataFrame) -> DataFrame:
-    """Topics and practice items, six at most, from the lists of a document."""
+def study_plan(docs: DataFrame, most: int = 6) -> DataFrame:
+    """Topics and practice items, the first `most` of each, from the lists of a document."""
     topics = F.when(F.size("study_recommendations") > 0, F.col("study_recommendations")).otherwise(
         F.array(*[F.lit(t) for t in DEFAULT_STUDY_TOPICS])
     )
@@ -473,5 +475,5 @@ def study_plan(docs: DataFrame) -> DataFrame:
         F.coalesce("weaknesses", F.array().cast("array<string>"))
     )
     return docs.select(
-        "submission_id", F.slice(topics, 1, 6).alias("study_topics"), F.slice(practice, 1, 6).alias("practice_focus")
+        "submission_id", F.slice(topics, 1, most).alias("study_topics"), F.slice(practice, 1, most).alias("practice_focus")
     )

@@ -117,7 +117,7 @@ def _missing_items(questions: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.explode(F.concat(F.array(own), topics)).alias("_x")).select(*keys, "_x.*")
 
 
-def submission_feedback(questions: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+def submission_feedback(questions: DataFrame, totals: DataFrame, keys: list[str], limits: dict[str, int] = LIMITS) -> DataFrame:
     """Strengths, weaknesses, improvements, study topics and summary per submission.
 
     ``totals``: keys, total_score, max_possible. ``questions`` may carry missing_concepts.
@@ -126,13 +126,13 @@ def submission_feedback(questions: DataFrame, totals: DataFrame, keys: list[str]
     items = _items(rubric_rows(questions, keys), keys)
     if "missing_concepts" in questions.columns:
         items = items.unionByName(_missing_items(questions, keys))
-    kept = keep_first(items, [*keys, "kind"], "text", "place", max(LIMITS.values()))
+    kept = keep_first(items, [*keys, "kind"], "text", "place", max(limits.values()))
 
     def gathered(kind: str) -> Column:
-        item = F.when((F.col("kind") == kind) & (F.col("rank") <= LIMITS[kind]), F.struct("rank", "text"))
+        item = F.when((F.col("kind") == kind) & (F.col("rank") <= limits[kind]), F.struct("rank", "text"))
         return F.transform(F.sort_array(F.collect_list(item)), lambda s: s["text"]).alias(kind)
 
-    lists = kept.groupBy(*keys).agg(*[gathered(k) for k in LIMITS])
+    lists = kept.groupBy(*keys).agg(*[gathered(k) for k in limits])
     out = totals.join(lists, keys, "left")
     defaults = {
         "strengths": [NO_STRENGTH],

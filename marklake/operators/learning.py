@@ -87,15 +87,15 @@ def knowledge_gaps(questions: DataFrame, keys: list[str], order: str) -> DataFra
     )
 
 
-def recommendations(mastery: DataFrame, gaps: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, position, recommendation), five at most per key; praise where there is nothing to advise."""
-    top = checkpointed(ranked_advice(mastery, gaps, keys))
+def recommendations(mastery: DataFrame, gaps: DataFrame, keys: list[str], most: int = MAX_RECOMMENDATIONS) -> DataFrame:
+    """(keys, position, recommendation), the first `most` per key; praise where there is nothing to advise."""
+    top = checkpointed(ranked_advice(mastery, gaps, keys, most))
     praised = mastery.select(*keys).distinct().join(top.filter("position = 1").select(*keys), keys, "left_anti")
     return top.unionByName(praised.select(*keys, F.lit(1).alias("position"), F.lit(PRAISE).alias("recommendation")))
 
 
-def ranked_advice(mastery: DataFrame, gaps: DataFrame, keys: list[str]) -> DataFrame:
-    """The advice of each key that has any, best five. The rank drops the rest map-side."""
+def ranked_advice(mastery: DataFrame, gaps: DataFrame, keys: list[str], most: int = MAX_RECOMMENDATIONS) -> DataFrame:
+    """The advice of each key that has any, the best `most`. The rank drops the rest map-side."""
     topic = F.col("topic")
     status = F.col("status")
     kinds = F.when(status == "CRITICAL", 1).when(status == "WEAK", 2).otherwise(3)
@@ -119,7 +119,7 @@ def ranked_advice(mastery: DataFrame, gaps: DataFrame, keys: list[str]) -> DataF
     from_gaps = gaps.select(*keys, F.lit(4).alias("kind"), "first_seen", advice.alias("recommendation")).filter("recommendation is not null")
     first = from_topics.unionByName(from_gaps).groupBy(*keys, "recommendation").agg(F.min(F.struct("kind", "first_seen")).alias("_rank"))
     position = F.row_number().over(Window.partitionBy(*keys).orderBy("_rank", "recommendation"))
-    return first.withColumn("position", position).filter(F.col("position") <= MAX_RECOMMENDATIONS).select(*keys, "position", "recommendation")
+    return first.withColumn("position", position).filter(F.col("position") <= most).select(*keys, "position", "recommendation")
 
 
 def analyze(questions: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -460,8 +460,8 @@ def d9_cohort_analytics(spark, d):
     "d14_student_overview",
     with_views(
         "exams subs",
-        f"""SELECT student_name, count(*) AS total_exams, {r("coalesce(avg(obtained_marks) FILTER (WHERE status='COMPLETED'),0)")} AS average_score
- FROM subs s JOIN exams e ON s.exam_id = e.exam_id WHERE results_published GROUP BY student_name""",
+        f"""SELECT min(student_name) AS student_name, count(*) AS total_exams, {r("coalesce(avg(obtained_marks) FILTER (WHERE status='COMPLETED'),0)")} AS average_score
+ FROM subs s JOIN exams e ON s.exam_id = e.exam_id WHERE results_published GROUP BY lower(student_name)""",
     ),
 )
 def d14_student_overview(spark, d):
