@@ -455,9 +455,8 @@ def text_quality(text: Column) -> Column:
     s = strip(F.coalesce(text, F.lit("")))
     n = F.length(s)
     clean = F.length(F.regexp_replace(s, r"(?U)[^\p{L}\p{N}\s]", "")) / n
-    # A character filling more than 60 % is the middle one of the sorted characters.
-    middle = F.sort_array(F.filter(F.split(s, ""), lambda c: c != ""))[F.floor(n / 2).cast("int")]
-    run = n - F.length(F.replace(s, middle, F.lit("")))
+    # The share of the most frequent character, counted once per distinct one.
+    run = let(s, lambda t: F.array_max(F.transform(F.array_remove(F.array_distinct(F.split(t, "")), ""), lambda c: F.length(t) - F.length(F.replace(t, c, F.lit(""))))))
     return (
         F.when(n == 0, 0.0)
         .when(n < 3, 0.4)
