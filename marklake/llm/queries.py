@@ -69,14 +69,16 @@ def op8_kneser_ney(spark, sf_dir):
 def op7_site_quality(spark, sf_dir):
     from marklake.llm.quality import quality
 
-    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumn("kept", ~F.col("rejected"))
 
 
 @query
 def op10_toxicity_chain(spark, sf_dir):
     from marklake.llm.toxicity import toxicity
 
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumnRenamed("rejected", "toxic")
 
 
 @query
