@@ -28,14 +28,22 @@ from marklake.llm.tokenizing import PieceValues, cached_encoder
 _ENCODERS: dict[str, PieceValues] = {}
 
 
+def _printable() -> dict[int, str]:
+    """The characters that stand for bytes in such vocabularies: printable Latin-1 as itself, all others from U+0100 on."""
+    shown = [b for b in range(256) if chr(b).isprintable() and b != 32]
+    return {b: chr(b) if b in shown else chr(256 + b - sum(x < b for x in shown)) for b in range(256)}
+
+
 def encoder(name: str) -> PieceValues:
-    """This worker's encoder for a vocabulary file of the tokenizers library; special tokens' strings are ordinary text."""
+    """This worker's encoder for a byte-level vocabulary file of the tokenizers library, by its model: a text is parted
+    by the pattern already, and special tokens' strings are ordinary text."""
     if name not in _ENCODERS:
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(public_tokenizers.path(name))
-        model.encode_special_tokens = True
-        _ENCODERS[name] = cached_encoder(lambda w: np.array(model.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
+        model, table = Tokenizer.from_file(public_tokenizers.path(name)).model, _printable()
+        _ENCODERS[name] = cached_encoder(
+            lambda w: b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(w.encode().decode("latin-1").translate(table))])
+        )
     return _ENCODERS[name]
 
 

@@ -20,23 +20,28 @@ _WORDS = regex.compile(public_tokenizers.PATTERN)
 
 
 class _Cache(dict):
-    """Pieces to values; emptied when it has `most` entries, so that a worker's memory stays bounded."""
+    """Pieces to values in two generations: at `most` entries the new one becomes the old one, so that frequent pieces
+    stay and a worker's memory is bounded."""
 
     def __init__(self, make: Callable[[str], Any], most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key: str) -> Any:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        found = self[key] = self.make(key)
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
         return found
 
 
 class PieceValues:
     """Values of whole texts, put together from those of the pattern's matches: `make` gives a match's, `join` joins."""
 
-    def __init__(self, make: Callable[[str], Any], join: Callable[[list], Any], most: int = 400_000):
+    def __init__(self, make: Callable[[str], Any], join: Callable[[list], Any], most: int = 300_000):
         self.join = join
         self.words = _Cache(make, most)
         self.first = _Cache(self._split, most)
@@ -58,6 +63,6 @@ class PieceValues:
         return self.join(out)
 
 
-def cached_encoder(encode_word: Callable[[str], bytes], most: int = 400_000) -> PieceValues:
+def cached_encoder(encode_word: Callable[[str], bytes], most: int = 300_000) -> PieceValues:
     """Whole texts to little-endian 32-bit ids; `encode_word` gives those of one match of the pattern."""
     return PieceValues(encode_word, b"".join, most)
