@@ -54,7 +54,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-def tokens_of(texts: pa.Array, size: int = 2 * _MB) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def tokens_of(texts: pa.Array, size: int = _MB) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, last, token hashes with an end after each text, tokens per text) for runs of texts."""
     data, starts = text_buffer(texts)
     for i, j in pieces(starts, size):
@@ -64,7 +64,7 @@ def tokens_of(texts: pa.Array, size: int = 2 * _MB) -> Iterator[tuple[int, int,
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, tokens, _ in tokens_of(batch.column("text"), 4 * _MB):
+        for _, _, tokens, _ in tokens_of(batch.column("text")):
             h, n = np.unique(tokens, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(n)], names=["h", "c"])
 
@@ -279,7 +279,7 @@ class Model:
         return seen[back] > 0, base[back], model
 
 
-def train(docs: DataFrame, words_per_shard: int = 500_000, pairs_per_shard: int = 3_000_000, hold: int = 3_000_000) -> Model:
+def train(docs: DataFrame, words_per_shard: int = 500_000, pairs_per_shard: int = 3_000_000, hold: int = 2_000_000) -> Model:
     """Count the model over all whole texts of `docs`."""
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("string").alias("text"))
