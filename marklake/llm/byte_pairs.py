@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marklake.llm.common import begin_task, kept_by
 from marklake.llm.tokenizing import PieceValues, cached_encoder
 
 
@@ -125,7 +126,7 @@ class PrefixEncoding:
         return out[::-1]
 
 
-_WORKER: dict[str, tuple[Vocabulary, PieceValues]] = {}
+_WORKER: dict[str, tuple[Vocabulary, PieceValues]] = kept_by("byte pairs")
 
 
 def encoder(name: str) -> tuple[Vocabulary, PieceValues]:
@@ -142,6 +143,7 @@ def decode(vocabulary: Vocabulary, ids: bytes) -> bytes:
 
 def _encoded(name: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("byte pairs")
         vocabulary, encode = encoder(name)
         for batch in batches:
             counts, ids, texts = [], [], []

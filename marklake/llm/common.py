@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -79,6 +80,24 @@ def numbered(df: DataFrame, group: list[str], order: list[str], buckets: int = 2
     )
 
 
+# ---- what a worker process keeps ---------------------------------------------------------------------------------
+
+_KEPT: dict[str, dict] = {}
+
+
+def kept_by(owner: str) -> dict:
+    """Where an operator keeps encoders, caches or mapped files of a worker process from task to task."""
+    return _KEPT.setdefault(owner, {})
+
+
+def begin_task(owner: str = "") -> None:
+    """Spark uses a worker process again for other stages: what other operators have kept in it goes first."""
+    for name, kept in _KEPT.items():
+        if name != owner and kept:
+            kept.clear()
+            gc.collect()
+
+
 # ---- words in numpy ---------------------------------------------------------------------------------------------
 
 BLANK = np.zeros(256, bool)

@@ -12,6 +12,7 @@ The files lie in the shared checkpoint folder, under names that a repeated task
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,16 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marklake.llm.common import as_long, mix, pieces, posix_folder, stored, text_buffer, word_hashes
+from marklake.llm.common import as_long, begin_task, kept_by, mix, pieces, posix_folder, stored, text_buffer, word_hashes
 
 END = np.uint64(0xE27D1B5C0F3A9647)
 _MB = 1 << 20
-_OPEN: dict[str, np.ndarray] = {}
+_OPEN: dict[str, np.ndarray] = kept_by("language model")
 
 
 def _save(path: str, array: np.ndarray) -> None:
     """Write under another name, then rename: readers see whole files, repeated tasks agree."""
-    mine = f"{path}.{os.getpid()}"
+    mine = f"{path}.{uuid.uuid4().hex}"
     with open(mine, "wb") as out:
         np.save(out, array)
     os.replace(mine, path)
@@ -56,6 +57,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def tokens_of(texts: pa.Array, size: int = _MB) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, last, token hashes with an end after each text, tokens per text) for runs of texts."""
+    begin_task("language model")
     data, starts = text_buffer(texts)
     for i, j in pieces(starts, size):
         words, counts = word_hashes(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marklake.llm.common import numbered, stored
+from marklake.llm.common import begin_task, kept_by, numbered, stored
 from marklake.llm.tokenizing import PieceValues, cached_encoder
 
-_ENCODERS: dict[str, PieceValues] = {}
+_ENCODERS: dict[str, PieceValues] = kept_by("packing")
 
 
 def _printable() -> dict[int, str]:
@@ -51,6 +51,7 @@ def _cut(vocabulary: str, end: int, capacity: int):
     last = struct.pack("<I", end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("packing")
         encode = encoder(vocabulary)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from marklake.llm.common import let, pieces, stored, text_buffer
+from marklake.llm.common import begin_task, let, pieces, stored, text_buffer
 from marklake.llm.linear import dense_features, fit, labelled_sample, logit, sigmoid
 
 
@@ -37,6 +37,7 @@ class Writing:
 
 
 def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin_task()
     for batch in batches:
         data, starts = text_buffer(batch.column("text"))
         for i, j in pieces(starts):
@@ -66,6 +67,7 @@ def with_evidence(docs: DataFrame, model: Writing, name: str) -> DataFrame:
     """All columns of `docs` and the model's probability of low quality."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in batches:
             data, starts = text_buffer(batch.column(batch.schema.get_all_field_indices("text")[0]).cast(pa.string()))
             for i, j in pieces(starts):

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marklake.llm.byte_pairs import read_ranks
+from marklake.llm.common import begin_task, kept_by
 from marklake.llm.tokenizing import PieceValues
 
 
@@ -78,11 +79,12 @@ class Counter:
         return both >> 40, both & (1 << 40) - 1
 
 
-_WORKER: dict[str, Counter] = {}
+_WORKER: dict[str, Counter] = kept_by("token counts")
 
 
 def _counted(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("token counts")
         if name not in _WORKER:
             _WORKER[name] = Counter(rank_scores(read_ranks(public_tokenizers.path(name))))
         count = _WORKER[name]

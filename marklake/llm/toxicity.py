@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from marklake.llm.common import as_long, forget, pieces, stored, text_buffer
+from marklake.llm.common import as_long, begin_task, forget, pieces, stored, text_buffer
 from marklake.llm.linear import fit, labelled_sample, logit, sigmoid, word_features
 
 
@@ -53,6 +53,7 @@ class Chain:
 
 def _parts(batches: Iterator[pa.RecordBatch]):
     """Runs of texts of all batches: (batch, first, last, text numbers, features)."""
+    begin_task()
     for batch in batches:
         data, starts = text_buffer(batch.column("text"))
         for i, j in pieces(starts):
@@ -165,6 +166,7 @@ def with_probabilities(docs: DataFrame, chain: Chain, names: list[str]) -> DataF
     """All columns of `docs` and one probability per category; every row stays, a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in batches:
             data, starts = text_buffer(batch.column(batch.schema.get_all_field_indices("text")[0]).cast(pa.string()))
             for i, j in pieces(starts):
