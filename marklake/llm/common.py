@@ -198,7 +198,7 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[n
     factor = 1
     for k in range(width):
         factor = factor * 0xD1342543DE82EF95 % 2**64
-        total[: len(words) - k] += words[k:] * np.uint64(factor)
+        total[: max(len(words) - k, 0)] += words[k:] * np.uint64(factor)
     doc = np.repeat(np.arange(len(counts)), counts)
     left = ends[doc] - np.arange(len(words))
     keep = left >= width
