@@ -33,7 +33,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' places in sequences of at most 2048 tokens."""
-    return packed_sequences(docs)
+    return packed_sequences(docs, added=True)
 
 
 STAGES = [

@@ -47,7 +47,7 @@ def op9_chosen_path(spark, sf_dir):
 def op3_grouped_packing(spark, sf_dir):
     from marklake.llm.packing import packed_sequences
 
-    return packed_sequences(table(spark, sf_dir, "documents"))
+    return packed_sequences(table(spark, sf_dir, "documents"), added=True)
 
 
 @query

@@ -4,11 +4,13 @@ import random
 import zlib
 from collections import defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 from marklake.llm.packing import packed_sequences, plan
+from marklake.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, length long, piece string, _rank long"
 
@@ -73,3 +75,19 @@ def test_given_and_odd_documents(spark):
         assert end <= 2048
     assert len(places) <= -(-sum(r.length for r in got) // 2048) + 1
     assert packed_sequences(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_added_tokens_in_a_text_have_the_library_s_default_ids(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> \n\ny  ", "<|endoftext| <|<|endoftext|>|>", "plain  text\n", "", None]
+    texts += [" 1 \t<|endoftext|>\n z", "w <|endoftext|> " * 900]
+    df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in enumerate(texts)], SCHEMA)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = set()
+    for k, t in enumerate(texts):
+        ids = [*model.encode(t or "", add_special_tokens=False).ids, 0]
+        cuts = [0, *range((len(ids) - 1) % 2048 + 1, len(ids) + 1, 2048)]
+        want |= {(k, i, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))}
+    for out in (corpus_pipeline.packed(spark, df, ""), QUERIES["op3_grouped_packing"](spark, str(tmp_path))):
+        got = [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out.collect()]
+        assert len(got) == len(want) and set(got) == want
