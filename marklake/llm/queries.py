@@ -93,3 +93,10 @@ def op6_trie_token_counts(spark, sf_dir):
     from marklake.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_token_files(spark, sf_dir):
+    from marklake.llm.token_files import read_token_files, write_token_files
+
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents")), digest=True)

@@ -12,6 +12,7 @@ import re
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
 import public_tokenizers
 import regex
 
@@ -66,3 +67,53 @@ class PieceValues:
 def cached_encoder(encode_word: Callable[[str], bytes], most: int = 300_000) -> PieceValues:
     """Whole texts to little-endian 32-bit ids; `encode_word` gives those of one match of the pattern."""
     return PieceValues(encode_word, b"".join, most)
+
+
+def printable() -> dict[int, str]:
+    """The characters that stand for bytes in such vocabularies: printable Latin-1 as itself, all others from U+0100 on."""
+    shown = [b for b in range(256) if chr(b).isprintable() and b != 32]
+    return {b: chr(b) if b in shown else chr(256 + b - sum(x < b for x in shown)) for b in range(256)}
+
+
+def library_ids(path: str, added: bool = True) -> Callable[[str], np.ndarray]:
+    """Whole texts to the ids that the tokenizers library gives by its settings for a byte-level vocabulary file.
+
+    The merges are done by rank, several times as fast. That is the same where every token, merged on its own, gives
+    itself: merges come in rank order, so what lies in a token's bytes before its last merge is what lies there alone.
+    Another vocabulary is refused. Added tokens are found in a text first, unless `added` is False. A text with a run of
+    white space too long for the fast splitter is split by another one.
+    """
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    byte, special = {c: b for b, c in printable().items()}, whole.get_added_tokens_decoder()
+    vocabulary = {t: i for t, i in whole.get_vocab(with_added_tokens=False).items() if i not in special}
+    if any([x.id for x in whole.model.tokenize(t)] != [i] for t, i in vocabulary.items()):
+        raise ValueError(f"{path}: a token's own bytes merge into something else")
+    if any(t.single_word or t.lstrip or t.rstrip for t in special.values()):
+        raise ValueError("added tokens that take white space along or stand for whole words only are not supported")
+    ids = {t.content: i for i, t in special.items()} if added else {}
+    fast = tiktoken.Encoding(
+        path, pat_str=public_tokenizers.PATTERN, special_tokens=ids,
+        mergeable_ranks={bytes(byte[c] for c in t): i for t, i in vocabulary.items()},
+    )
+    find = re.compile("(" + "|".join(re.escape(c) for c in sorted(ids, key=len, reverse=True)) + ")") if ids else None
+
+    def slow(text: str) -> np.ndarray:
+        out: list[int] = []
+        for i, part in enumerate(find.split(text) if find else [text]):
+            if i % 2:
+                out.append(ids[part])
+            else:
+                for match in _WORDS.finditer(part):
+                    out += fast._core_bpe.encode_single_piece(match[0].encode())
+        return np.array(out, np.uint32)
+
+    def run(text: str) -> np.ndarray:
+        try:
+            return fast.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+        except ValueError:
+            return slow(text)
+
+    return run
