@@ -100,3 +100,43 @@ def op11_token_files(spark, sf_dir):
     from marklake.llm.token_files import read_token_files, write_token_files
 
     return read_token_files(write_token_files(table(spark, sf_dir, "documents")), digest=True)
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    from marklake.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"), family=20, heads=4)
+
+
+# The unsigned crc32 of a decimal: one digit after another, eight shifts each.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [1::BIGINT, 2, 3, 4, 5, 6, 7, 8]), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))))"""
+
+ORACLES["op12_prefix_trie"] = f"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+    SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role)::VARCHAR || ':' || role || text)) AS pos FROM said
+), convs AS (
+    SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM placed)
+), built AS (
+    SELECT c.conv_id, coalesce(list({{'role': p.role, 'text': p.text}} ORDER BY p.pos) FILTER (WHERE p.pos IS NOT NULL), []) AS turns
+    FROM convs c LEFT JOIN placed p ON (p.conv_id = c.base AND p.pos <= c.h) OR (p.conv_id = c.conv_id AND p.pos > c.h) GROUP BY c.conv_id
+), prefixes AS (
+    SELECT conv_id, len(turns) AS size, unnest(range(0, len(turns) + 1)) AS depth, turns FROM built
+), nodes AS (
+    SELECT turns[1:depth] AS prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256
+    FROM prefixes GROUP BY 1, 2
+), sized AS (
+    SELECT n.*, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.prefix[1:n.depth] = n.prefix) AS n_children,
+        CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(prefix[depth].text, '[^\x20\x09-\x0D]+')) END AS saved
+    FROM nodes n
+)
+SELECT n.conv_id, n.depth, any_value(p.conv_id) AS parent_conv_id, any_value(n.n_convs) AS n_convs, any_value(n.n_children) AS n_children,
+    count(*) FILTER (WHERE m.n_children = 0) AS n_leaves, sum(m.saved)::BIGINT AS saved_tokens, any_value(n.ends_sha256) AS ends_sha256
+FROM sized n JOIN sized m ON m.depth >= n.depth AND m.prefix[1:n.depth] = n.prefix
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]
+GROUP BY n.prefix, n.conv_id, n.depth
+"""
