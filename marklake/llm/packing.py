@@ -11,7 +11,6 @@ from its number within its length.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from bisect import bisect_left, insort
@@ -24,48 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marklake.llm.common import begin_task, kept_by, numbered, stored
-from marklake.llm.tokenizing import cached_encoder
+from marklake.llm.tokenizing import library_ids
 
-_ENCODERS: dict[tuple[str, bool], Callable[[str], bytes]] = kept_by("packing")
-
-
-def _printable() -> dict[int, str]:
-    """The characters that stand for bytes in such vocabularies: printable Latin-1 as itself, all others from U+0100 on."""
-    shown = [b for b in range(256) if chr(b).isprintable() and b != 32]
-    return {b: chr(b) if b in shown else chr(256 + b - sum(x < b for x in shown)) for b in range(256)}
-
-
-def encoder(name: str, added: bool = False) -> Callable[[str], bytes]:
-    """This worker's encoder for a byte-level vocabulary file of the tokenizers library, by its model: a text is parted
-    by the pattern already. With `added`, the file's added tokens are found in a text first and get their own ids, as
-    the library's encode does by default; otherwise their strings are ordinary text."""
-    if (name, added) not in _ENCODERS:
-        from tokenizers import Tokenizer
-
-        whole, table = Tokenizer.from_file(public_tokenizers.path(name)), _printable()
-        model = whole.model
-        ordinary = cached_encoder(
-            lambda w: b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(w.encode().decode("latin-1").translate(table))])
-        )
-        tokens = whole.get_added_tokens_decoder() if added else {}
-        _ENCODERS[name, added] = _around(tokens, ordinary) if tokens else ordinary
-    return _ENCODERS[name, added]
-
-
-def _around(tokens: dict, ordinary: Callable[[str], bytes]) -> Callable[[str], bytes]:
-    """Ids of a text whose added tokens, the longest of those that start at a place, are cut out first."""
-    if any(t.single_word or t.lstrip or t.rstrip for t in tokens.values()):
-        raise ValueError("added tokens that take white space along or stand for whole words only are not supported")
-    ids = {t.content: k.to_bytes(4, "little") for k, t in tokens.items()}
-    find = re.compile("(" + "|".join(re.escape(c) for c in sorted(ids, key=len, reverse=True)) + ")")
-
-    def run(text: str) -> bytes:
-        parts = find.split(text)
-        if len(parts) == 1:
-            return ordinary(text)
-        return b"".join(ids[part] if i % 2 else ordinary(part) if part else b"" for i, part in enumerate(parts))
-
-    return run
+_ENCODERS: dict[tuple[str, bool], Callable[[str], np.ndarray]] = kept_by("packing")
 
 
 def _cut(vocabulary: str, end: int, capacity: int, added: bool):
@@ -73,11 +33,13 @@ def _cut(vocabulary: str, end: int, capacity: int, added: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task("packing")
-        encode = encoder(vocabulary, added)
+        if (vocabulary, added) not in _ENCODERS:
+            _ENCODERS[vocabulary, added] = library_ids(public_tokenizers.path(vocabulary), added)
+        encode = _ENCODERS[vocabulary, added]
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = encode(text.as_py() or "") + last
+                ids = encode(text.as_py() or "").astype("<u4", copy=False).tobytes() + last
                 n = len(ids) // 4
                 start, size = 0, (n - 1) % capacity + 1
                 for piece in range((n + capacity - 1) // capacity):
@@ -92,7 +54,7 @@ def _cut(vocabulary: str, end: int, capacity: int, added: bool):
     return run
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, end: int, capacity: int, added: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, end: int, capacity: int, added: bool = True) -> DataFrame:
     """Documents as runs of at most `capacity` ids; all but a document's first run are full."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_cut(vocabulary, end, capacity, added), "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -238,14 +200,14 @@ def _placed(runs):
 
 def packed_sequences(
     docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end: int = 0, capacity: int = 2048, groups: int = 512, small: int = 256,
-    added: bool = False,
+    added: bool = True,
 ) -> DataFrame:
     """Where each piece of each document lies: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
     A document is its text's ids and `end`; a null or empty text is `end` alone. Only documents of over `capacity` ids
     are cut. Repeated rows are documents of their own, null ids are allowed, other columns are not read, and an empty
-    table gives no rows. With `added`, strings of the vocabulary's added tokens (<|endoftext|>) get those tokens' ids, as
-    by the library's default settings. Sequences are numbered from 0 and filled without gaps from offset 0.
+    table gives no rows. Strings of the vocabulary's added tokens (<|endoftext|>) get those tokens' ids, as by the library's
+    default settings, unless `added` is False. A very long text is encoded whole in its task. Sequences are numbered from 0 and filled without gaps from offset 0.
     """
     rows = stored(token_pieces(docs, vocabulary, end, capacity, added), "token-pieces")
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}

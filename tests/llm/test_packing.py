@@ -53,7 +53,7 @@ def test_given_and_odd_documents(spark):
     rows = given + odd
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     model.encode_special_tokens = True
-    got = packed_sequences(spark.createDataFrame([(k, t, 1, "x", 2) for k, t in rows], SCHEMA)).collect()
+    got = packed_sequences(spark.createDataFrame([(k, t, 1, "x", 2) for k, t in rows], SCHEMA), added=False).collect()
     want = defaultdict(list)
     for k, t in rows:
         ids = [*model.encode(t or "", add_special_tokens=False).ids, 0]
