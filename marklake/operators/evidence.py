@@ -7,6 +7,7 @@ as an array, so an answer's text goes to a task once for all its value points.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marklake.functions.matching import Answer, numeric_evidence, phrase_evidence
+from marklake.functions import text as TX
 from marklake.functions.numeric import round_even
+from marklake.functions.phrases import fold_all, folded_phrase, scheme
+from marklake.functions.text import let
 from marklake.operators import marks as M
 from marklake.schemas import require
 from marklake.functions.scan import null_safe_join
@@ -48,23 +51,81 @@ _ARROW = pa.schema(
 
 def _match_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for answer_id, question_id, text, points in zip(*(batch.column(i) for i in range(4))):
-            answer = Answer(text.as_py() or "")
-            key = (answer_id.as_py(), question_id.as_py())
-            for p in points.as_py() or ():
-                reason = None
-                if p["match_mode"] == "NUMERIC":
-                    span = numeric_evidence(answer.text, p["text"], p["expected_value"], p["tolerance"], p["unit"])
-                else:
-                    span, reason = phrase_evidence(answer, p["text"], p["acceptable_variants"])
-                start, end = span or (None, None)
-                hit = span is not None
-                rows.append((*key, p["id"], hit, start, end, p["match_mode"], 1.0 if hit else 0.0, False, reason))
+        rows: list[tuple] = []
+        keys = zip(batch.column("answer_id").to_pylist(), batch.column("question_id").to_pylist())
+        texts = batch.column("answer_text").to_pylist()
+        points = batch.column("points").dictionary_encode()
+        schemes = [scheme(p) for p in points.dictionary.to_pylist()]
+        numbers = zip(batch.column("numbers").to_pylist(), points.indices.to_pylist())
+        for key, text, (folded, source), (found, which) in zip(keys, texts, fold_all(texts), numbers):
+            for p, (span, reason) in zip(schemes[which].points, schemes[which].answered(text, folded, source)):
+                rows.append((*key, p["id"], span is not None, *(span or (None, None)), p["match_mode"], 1.0 if span else 0.0, False, reason))
+            for n in found or ():
+                span = next(((s["start"], s["end"]) for s in n["spans"] if not n["unit"] or _holds(s["behind"], n["unit"])), (None, None))
+                hit = span[0] is not None
+                rows.append((*key, n["id"], hit, *span, "NUMERIC", 1.0 if hit else 0.0, False, None))
         columns = zip(*rows) if rows else ([] for _ in _ARROW)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
 
+@lru_cache(maxsize=65536)
+def _holds(text: str, unit: str) -> bool:
+    """A unit stands in the few characters behind a number, whatever its case, accents and spacing."""
+    held, wanted = folded_phrase(text), folded_phrase(unit)
+    return bool(wanted) and (wanted in held or wanted.replace(" ", "") in held.replace(" ", ""))
+
+
+@lru_cache(maxsize=1)
+def _other_digits() -> tuple[str, str]:
+    """Decimal digits of other scripts, and the digits that they are."""
+    found = [c for c in map(chr, range(128, 0x20000)) if c.isdecimal()]
+    return "".join(found), "".join(str(int(c)) for c in found)
+
+
+_NUMBER, _BEHIND = r"(-?\d+(?:\.\d+)?)", r"(?=((?s:.{0,12})))"
+
+
+def near_numbers(text: Column, point: Column) -> Column:
+    """Spans of the numbers within tolerance, in order, each with the 12 characters behind it: (start, end, behind).
+
+    A value point "x = 5" wants that subject's value; the subject has no left boundary, so "2x = 5" satisfies "x". Where
+    no unit is wanted the first span is enough.
+    """
+    subject = F.when(F.contains(point["text"], F.lit("=")), TX.strip(F.substring_index(point["text"], "=", 1)))
+    quoted = F.concat(F.lit(r"\Q"), F.replace(subject, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    equals = r"[\s\x1c-\x1f]*=[\s\x1c-\x1f]*"
+    pattern = F.when(subject != "", F.concat(F.lit("(?iuU)"), quoted, F.lit(equals + _NUMBER + _BEHIND))).otherwise("(?U)" + _NUMBER + _BEHIND)
+
+    def spans(m: Column) -> Column:
+        size = F.size(m["whole"])
+        near = F.filter(
+            F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>")),
+            lambda k: F.abs(_number(F.element_at(m["number"], k)) - point["expected_value"]) <= F.coalesce(point["tolerance"], F.lit(0.0)),
+        )
+        wanted = F.when(F.coalesce(point["unit"], F.lit("")) == "", F.slice(near, 1, 1)).otherwise(near)
+        return F.transform(wanted, lambda k: let(_before(m, k), lambda start: F.struct(
+            start.alias("start"), (start + F.length(F.element_at(m["whole"], k))).alias("end"), F.element_at(m["behind"], k).alias("behind"),
+        )))
+
+    return let(
+        F.struct(
+            F.regexp_extract_all(text, pattern, F.lit(0)).alias("whole"), F.regexp_extract_all(text, pattern, F.lit(1)).alias("number"),
+            F.regexp_extract_all(text, pattern, F.lit(2)).alias("behind"), F.split(text, pattern, -1).alias("between"),
+        ),
+        spans,
+    )
+
+
+def _number(text: Column) -> Column:
+    return F.translate(text, *_other_digits()).try_cast("double")
+
+
+def _before(m: Column, k: Column) -> Column:
+    """Where the k-th match starts: all that stands before it."""
+    total = lambda parts: F.aggregate(parts, F.lit(0), lambda n, part: n + F.length(part))
+    return total(F.slice(m["between"], F.lit(1), k)) + total(F.slice(m["whole"], F.lit(1), k - 1))
+
+
 def _checked_points(schemes: DataFrame) -> DataFrame:
     """NUMERIC needs an expected value: stop rather than match something weaker."""
     bad = F.exists("value_points", lambda p: (p["match_mode"] == "NUMERIC") & p["expected_value"].isNull())
@@ -72,30 +133,27 @@ def _checked_points(schemes: DataFrame) -> DataFrame:
 
 
 def text_evidence(answers: DataFrame, schemes: DataFrame) -> DataFrame:
-    """Evidence rows for EXACT, STEP and NUMERIC value points.
+    """Evidence rows for EXACT, STEP and NUMERIC value points: phrases by automata, numbers by expressions.
 
     ``answers``: answer_id, question_id, answer_text. ``schemes``: question_id,
     value_points. The scheme is a dimension, broadcast by Catalyst when its size
     allows; a question with very many answers is then no heavier than another.
     """
-    textual = F.filter("value_points", lambda p: F.coalesce(p["match_mode"], F.lit("EXACT")) != "SEMANTIC")
-    points = F.transform(
-        textual,
-        lambda p: F.struct(
-            p["id"].alias("id"),
-            p["text"].alias("text"),
-            p["acceptable_variants"].alias("acceptable_variants"),
-            F.coalesce(p["match_mode"], F.lit("EXACT")).alias("match_mode"),
-            p["expected_value"].alias("expected_value"),
-            p["tolerance"].alias("tolerance"),
-            p["unit"].alias("unit"),
-        ),
+    mode = lambda p: F.coalesce(p["match_mode"], F.lit("EXACT"))
+    worded = F.transform(
+        F.filter("value_points", lambda p: ~mode(p).isin("SEMANTIC", "NUMERIC")),
+        lambda p: F.struct(p["id"].alias("id"), p["text"].alias("text"), p["acceptable_variants"].alias("acceptable_variants"), mode(p).alias("match_mode")),
     )
-    staged = _checked_points(schemes).select(F.col("question_id").cast("string").alias("question_id"), points.alias("points"))
+    staged = _checked_points(schemes).select(
+        F.col("question_id").cast("string").alias("question_id"), F.to_json(worded).alias("points"),
+        F.filter("value_points", lambda p: mode(p) == "NUMERIC").alias("numeric"),
+    )
+    numbers = F.transform("numeric", lambda p: F.struct(p["id"].alias("id"), p["unit"].alias("unit"), near_numbers(F.col("answer_text"), p).alias("spans")))
     work = answers.select(
-        F.col("answer_id").cast("bigint").alias("answer_id"), F.col("question_id").cast("string").alias("question_id"), "answer_text"
-    ).join(staged, "question_id")
-    return work.select("answer_id", "question_id", "answer_text", "points").mapInArrow(_match_batches, _EVIDENCE)
+        F.col("answer_id").cast("bigint").alias("answer_id"), F.col("question_id").cast("string").alias("question_id"),
+        F.coalesce("answer_text", F.lit("")).alias("answer_text"),
+    ).join(staged, "question_id")
+    return work.select("answer_id", "question_id", "answer_text", "points", numbers.alias("numbers")).mapInArrow(_match_batches, _EVIDENCE)
 
 
 def scheme_rows(schemes: DataFrame) -> DataFrame:

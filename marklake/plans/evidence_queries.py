@@ -67,7 +67,51 @@ def answers(spark, d):
     return TQ.paired(spark, d).select("answer_id", F.col("item_id").cast("string").alias("question_id"), "answer_text")
 
 
-@query("h8_h11_text_evidence")
+_W = r"[\pL\pN_]"
+_FOLD = "trim(regexp_replace(strip_accents(lower({})), '[^\\pL\\pN_]+', ' ', 'g'))"
+_SCATTERED = "'evidence scattered - no single supporting passage'"
+_FEW = "'insufficient evidence: matched ' || {0} || ' of ' || {1} || ' required content words (N_vp=' || {2} || ', M=ceil(' || {2} || '*0.4))'"
+
+# Folding keeps each folded character's place; a phrase is sought in the folded text, then run together; failing that,
+# the window that holds most of its content words. Options of a point: its text, then the first three words of it.
+TEXT_EVIDENCE_SQL = f"""WITH {TQ.PAIRED},
+ said AS (SELECT item_id, generate_subscripts(s, 1) AS i, unnest(s) AS text FROM (SELECT item_id, list_filter(list_transform(string_split_regex(text, '[.\\n]+'), lambda x: trim(x, e' \\t\\n\\r')), lambda x: x <> '') AS s FROM benchmark)),
+ point AS (SELECT item_id, item_id || '.' || i AS vp, CASE WHEN i % 3 = 2 THEN 'STEP' ELSE 'EXACT' END AS mode, text, array_to_string(string_split(text, ' ')[1:3], ' ') AS variant FROM said),
+ opt AS (SELECT item_id, vp, 1 AS o, text AS phrase FROM point UNION ALL SELECT item_id, vp, 2, variant FROM point WHERE variant <> text),
+ opts AS (SELECT *, {_FOLD.format("phrase")} AS needle, len(list_filter(w, lambda x: length(x) > 1)) AS n, list_distinct(list_transform(list_filter(w, lambda x: length(x) > 1), lambda x: lower(x))) AS wanted,
+   greatest(3 * length(phrase), 150) AS lim FROM (SELECT *, regexp_extract_all(phrase, '{_W}+') AS w FROM opt)),
+ need AS (SELECT *, CASE WHEN n = 0 THEN 1 ELSE greatest(1, ceil(n * 0.4)::BIGINT) END AS req FROM opts),
+ folded AS (SELECT answer_id, item_id, answer_text, keep, array_to_string(list_transform(keep, lambda i: m[i]), '') AS f, list_filter(keep, lambda i: m[i] <> ' ') AS kept
+   FROM (SELECT *, list_filter(range(1, len(m) + 1), lambda i: NOT (m[i] = ' ' AND (i = 1 OR m[i - 1] = ' '))) AS keep
+     FROM (SELECT answer_id, item_id, answer_text, list_transform(string_split(answer_text, ''), lambda c: CASE WHEN regexp_matches(c, '{_W}') THEN strip_accents(lower(c)) ELSE ' ' END) AS m FROM pr))),
+ sought AS (SELECT a.answer_id, a.answer_text, k.*, instr(rtrim(a.f), needle) AS pos, instr(replace(a.f, ' ', ''), replace(needle, ' ', '')) AS sq, a.keep, a.kept FROM folded a JOIN need k USING (item_id)),
+ spans AS (SELECT *, CASE WHEN needle = '' THEN NULL WHEN pos > 0 THEN keep[pos] WHEN sq > 0 THEN kept[sq] END AS a,
+   CASE WHEN needle = '' THEN NULL WHEN pos > 0 THEN keep[pos + length(needle) - 1] WHEN sq > 0 THEN kept[sq + length(replace(needle, ' ', '')) - 1] END AS b FROM sought),
+ leg1 AS (SELECT * EXCLUDE (keep, kept), CASE WHEN a IS NULL THEN NULL WHEN b - a + 1 > lim THEN {_SCATTERED} WHEN got < req THEN {_FEW.format("got", "req", "n")} END AS why
+   FROM (SELECT *, len(regexp_extract_all(substring(answer_text, a, b - a + 1), '{_W}+')) AS got FROM spans)),
+ token AS (SELECT answer_id, item_id, unnest(w) AS word, unnest(list_transform(range(1, len(w) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0)::BIGINT)) AS st
+   FROM (SELECT answer_id, item_id, regexp_extract_all(lower(answer_text), '{_W}+') AS w, string_split_regex(lower(answer_text), '{_W}+') AS g FROM pr)),
+ hit AS (SELECT t.answer_id, k.vp, k.o, k.lim, t.st, t.st + length(t.word) AS en, t.word FROM token t JOIN (SELECT item_id, vp, o, lim, unnest(wanted) AS word FROM need) k USING (item_id, word)),
+ edge AS (SELECT l.answer_id, l.vp, l.o, l.st, count(DISTINCT r.word) AS many FROM hit l JOIN hit r ON r.answer_id = l.answer_id AND r.vp = l.vp AND r.o = l.o AND r.st >= l.st AND r.en - l.st <= l.lim GROUP BY ALL),
+ best AS (SELECT answer_id, vp, o, max(many) AS many, arg_min(st, (-many, st)) AS st FROM edge GROUP BY answer_id, vp, o),
+ firsts AS (SELECT b.answer_id, b.vp, b.o, b.many, b.st, h.word, min(h.en) AS en FROM best b JOIN hit h ON h.answer_id = b.answer_id AND h.vp = b.vp AND h.o = b.o AND h.st >= b.st GROUP BY ALL),
+ win AS (SELECT * EXCLUDE (ends), ends[many] AS en FROM (SELECT answer_id, vp, o, many, st, list_sort(list(en)) AS ends FROM firsts GROUP BY ALL)),
+ met AS (SELECT answer_id, vp, o, count(DISTINCT word) AS words FROM hit GROUP BY ALL),
+ sides AS (SELECT l.*, w.many, w.st, w.en, m.words FROM leg1 l LEFT JOIN win w USING (answer_id, vp, o) LEFT JOIN met m USING (answer_id, vp, o)),
+ pair AS (SELECT x.answer_id, x.item_id, x.vp, CASE WHEN x.a IS NOT NULL AND x.why IS NULL THEN [x.a - 1, x.b] WHEN y.a IS NOT NULL AND y.why IS NULL THEN [y.a - 1, y.b]
+     WHEN x.many >= x.req THEN [x.st, x.en] WHEN y.many >= y.req THEN [y.st, y.en] END AS span,
+   coalesce(y.why, x.why) AS r1, x.words AS w1, x.many AS m1, x.req AS q1, x.n AS n1, y.words AS w2, y.many AS m2, y.req AS q2, y.n AS n2
+   FROM sides x LEFT JOIN sides y ON y.answer_id = x.answer_id AND y.vp = x.vp AND y.o = 2 WHERE x.o = 1),
+ told AS (SELECT *, CASE WHEN w1 IS NULL THEN r1 WHEN w1 >= q1 THEN {_SCATTERED} ELSE coalesce(r1, {_FEW.format("m1", "q1", "n1")}) END AS r2 FROM pair),
+ num AS (SELECT answer_id, item_id, w, g, list_filter(range(1, len(w) + 1), lambda i: abs(w[i]::DOUBLE - 5) <= 3)[1] AS k FROM (SELECT *, regexp_extract_all(answer_text, '-?\\d+(?:\\.\\d+)?') AS w, string_split_regex(answer_text, '-?\\d+(?:\\.\\d+)?') AS g FROM pr)),
+ numbers AS (SELECT *, list_sum(list_transform(g[1:k], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(w[1:k - 1], lambda x: length(x))), 0)::BIGINT AS st FROM num)
+SELECT t.answer_id, t.item_id::VARCHAR AS question_id, t.vp AS value_point_id, span IS NOT NULL AS matched, span[1]::INTEGER AS span_start, span[2]::INTEGER AS span_end, p.mode AS method, CASE WHEN span IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS score, false AS uncalibrated,
+ CASE WHEN span IS NULL THEN coalesce(CASE WHEN w2 IS NULL THEN r2 WHEN w2 >= q2 THEN {_SCATTERED} ELSE coalesce(r2, {_FEW.format("m2", "q2", "n2")}) END, 'no supporting evidence found in the answer') END AS reason
+FROM told t JOIN point p ON p.vp = t.vp
+UNION ALL SELECT answer_id, item_id::VARCHAR, item_id || '.n', k IS NOT NULL, CASE WHEN k IS NOT NULL THEN st END::INTEGER, CASE WHEN k IS NOT NULL THEN st + length(w[k]) END::INTEGER, 'NUMERIC', CASE WHEN k IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE, false, NULL FROM numbers"""
+
+
+@query("h8_h11_text_evidence", TEXT_EVIDENCE_SQL)
 def h8_h11_text_evidence(spark, d):
     from marklake.schemas import checked_evidence
 

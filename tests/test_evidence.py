@@ -4,9 +4,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from marklake.functions.matching import Answer, densest_window, fold, numeric_evidence, phrase_evidence, similar, word_error_rate, words_around
+from marklake.functions.matching import similar, word_error_rate, words_around
+from marklake.functions.phrases import Scheme, densest_window, fold_all
 from marklake.operators import evidence as E
 from marklake.operators import marks as M
+from plain_matching import Answer, fold, numeric_evidence, phrase_evidence
 from tests_support import SCHEME, SCHEMES, vp
 
 ANSWERS = [
@@ -160,3 +162,42 @@ def test_semantic_evaluation_of_blank_texts(spark):
     assert (got[1].semantic_confidence, got[1].missing_semantic_concepts) == (1.0, ["c"])
     assert (got[2].semantic_confidence, got[2].missing_semantic_concepts) == (0.5, [])
     assert (got[3].semantic_confidence, got[3].matched_semantic_concepts, got[3].semantic_similarity) == (0.75, ["c"], 1.0)
+
+
+def spoken(rng):
+    """Text with accents, ligatures, odd spaces and joined words."""
+    parts = ["river", "Stone", "lïght", "GREEN", "winter", "ﬁeld", "café", "x²", "½", "—", "...", "İz", "straße", " ", "\t", "\u00a0", "_", "a", "9.8", "日本", "é"]
+    return "".join(rng.choice(parts) + rng.choice([" ", "", ", ", "\n", "  "]) for _ in range(rng.randint(0, 60)))
+
+
+def test_folding_equals_plain_python():
+    rng = random.Random(11)
+    texts = [spoken(rng) for _ in range(500)] + ["", " ", "…", "ﷺ x", "\u0301a", "  . "]
+    for text, (folded, source) in zip(texts, fold_all(texts)):
+        assert (folded, source.tolist()) == fold(text)
+
+
+def test_schemes_equal_plain_python():
+    rng = random.Random(12)
+    for _ in range(300):
+        text = spoken(rng)
+        points = [{"text": spoken(rng)[: rng.randint(0, 40)], "acceptable_variants": [spoken(rng)[: rng.randint(0, 15)] for _ in range(rng.randint(0, 2))]} for _ in range(6)]
+        points += [{"text": text[3:40]}, {"text": " ".join(text.split()[:3])}, {"text": ""}]
+        ((folded, source),) = fold_all([text])
+        answer = Answer(text)
+        assert Scheme(points).answered(text, folded, source) == [phrase_evidence(answer, p["text"], p.get("acceptable_variants")) for p in points]
+
+
+def test_numbers_equal_plain_python(spark):
+    rng = random.Random(13)
+    pieces = ["x = ", "2x=", "X  =\u00a0", "y", " 5", "-5.5", "4.99", "٥", " m/s", "M/S", " µm", " kg", "\n", "\\E.", "1.2.3", "7", "(a) = 5", "  "]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(120)] + [None, ""]
+    points = [vp(f"p{i}", t, mode="NUMERIC", value=v, tol=tol, unit=u) for i, (t, v, tol, u) in enumerate([
+        ("x = 5", 5.0, None, None), ("y=5", 5.0, 1.0, ""), ("count", 5.0, 0.5, None), ("speed", 5.0, 2.5, "m/s"), ("len", 5.0, 3.0, "μm"),
+        ("\\E. = 7", 7.0, 0.0, None), ("(a) = 5", 5.0, 0.0, None), (" = 5", 5.0, 0.0, "k g"),
+    ])]
+    schemes = spark.createDataFrame([("q", "1", "?", 1.0, points)], SCHEME)
+    answers = spark.createDataFrame([(i, "q", t) for i, t in enumerate(texts)], "answer_id bigint, question_id string, answer_text string")
+    got = {(r.answer_id, r.value_point_id): (r.span_start, r.span_end) if r.matched else None for r in E.text_evidence(answers, schemes).collect()}
+    want = {(i, p[0]): numeric_evidence(t or "", p[1], p[8], p[9], p[10]) for i, t in enumerate(texts) for p in points}
+    assert got == want and sum(v is not None for v in want.values()) > 60
