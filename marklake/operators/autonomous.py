@@ -148,10 +148,13 @@ def concept_rubric(expected: Column, found: Column, max_marks: Column) -> Column
     return TX.let(F.struct(bound["each"].alias("each"), bound["last"].alias("last"), found.alias("found")), points)
 
 
-def generate_rubrics(questions: DataFrame) -> DataFrame:
-    """(…, max_score, criteria) from question_text and answer_key. Run on questions, not answers."""
+def generate_rubrics(questions: DataFrame, limit: int | None = None, shortest: int = 1) -> DataFrame:
+    """(…, max_score, criteria) from question_text and answer_key. Run on questions, not answers.
+
+    All criteria of at least `shortest` characters, or the first `limit` of them.
+    """
     staged = questions.withColumn("max_score", F.coalesce(TX.marks_in_prompt(F.col("question_text")), F.lit(5.0))).withColumn(
-        "_items", TX.rubric_descriptions(F.col("answer_key"))
+        "_items", TX.rubric_descriptions(F.col("answer_key"), limit, shortest)
     )
 
     def listed(s: Column) -> Column:

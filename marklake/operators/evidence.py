@@ -49,23 +49,36 @@ _ARROW = pa.schema(
 )
 
 
-def _match_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows: list[tuple] = []
-        keys = zip(batch.column("answer_id").to_pylist(), batch.column("question_id").to_pylist())
-        texts = batch.column("answer_text").to_pylist()
-        points = batch.column("points").dictionary_encode()
-        schemes = [scheme(p) for p in points.dictionary.to_pylist()]
-        numbers = zip(batch.column("numbers").to_pylist(), points.indices.to_pylist())
-        for key, text, (folded, source), (found, which) in zip(keys, texts, fold_all(texts), numbers):
-            for p, (span, reason) in zip(schemes[which].points, schemes[which].answered(text, folded, source)):
-                rows.append((*key, p["id"], span is not None, *(span or (None, None)), p["match_mode"], 1.0 if span else 0.0, False, reason))
-            for n in found or ():
-                span = next(((s["start"], s["end"]) for s in n["spans"] if not n["unit"] or _holds(s["behind"], n["unit"])), (None, None))
-                hit = span[0] is not None
-                rows.append((*key, n["id"], hit, *span, "NUMERIC", 1.0 if hit else 0.0, False, None))
-        columns = zip(*rows) if rows else ([] for _ in _ARROW)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+ERROR = "ERROR"
+
+
+def _matched(guarded: bool):
+    def one(text: str, folded: str, source: np.ndarray, points: str, numbers: list[dict]) -> Iterator[tuple]:
+        ready = scheme(points)
+        for p, (span, reason) in zip(ready.points, ready.answered(text, folded, source)):
+            yield p["id"], span is not None, *(span or (None, None)), p["match_mode"], 1.0 if span else 0.0, False, reason
+        for n in numbers:
+            span = next(((s["start"], s["end"]) for s in n["spans"] if not n["unit"] or _holds(s["behind"], n["unit"])), None)
+            yield n["id"], span is not None, *(span or (None, None)), "NUMERIC", 1.0 if span else 0.0, False, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            texts = batch.column("answer_text").to_pylist()
+            points = batch.column("points").dictionary_encode()
+            which, schemes = points.indices.to_pylist(), points.dictionary.to_pylist()
+            keys = zip(batch.column("answer_id").to_pylist(), batch.column("question_id").to_pylist())
+            for key, text, (folded, source), k, numbers in zip(keys, texts, fold_all(texts), which, batch.column("numbers").to_pylist()):
+                try:
+                    rows += [(*key, *row) for row in one(text, folded, source, schemes[k], numbers or [])]
+                except Exception as error:
+                    if not guarded:
+                        raise
+                    rows.append((*key, None, False, None, None, ERROR, 0.0, False, f"{type(error).__name__}: {error}"[:500]))
+            columns = zip(*rows) if rows else ([] for _ in _ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+
+    return run
 
 
 @lru_cache(maxsize=65536)
@@ -132,12 +145,13 @@ def _checked_points(schemes: DataFrame) -> DataFrame:
     return require(schemes, ~bad, F.concat("question_id", F.lit(": NUMERIC match_mode requires expected_value")))
 
 
-def text_evidence(answers: DataFrame, schemes: DataFrame) -> DataFrame:
+def text_evidence(answers: DataFrame, schemes: DataFrame, guarded: bool = False) -> DataFrame:
     """Evidence rows for EXACT, STEP and NUMERIC value points: phrases by automata, numbers by expressions.
 
     ``answers``: answer_id, question_id, answer_text. ``schemes``: question_id,
     value_points. The scheme is a dimension, broadcast by Catalyst when its size
-    allows; a question with very many answers is then no heavier than another.
+    allows; a question with very many answers is then no heavier than another. ``guarded``:
+    an answer that stops matching gives one row of method ERROR with the reason instead.
     """
     mode = lambda p: F.coalesce(p["match_mode"], F.lit("EXACT"))
     worded = F.transform(
@@ -153,7 +167,7 @@ def text_evidence(answers: DataFrame, schemes: DataFrame) -> DataFrame:
         F.col("answer_id").cast("bigint").alias("answer_id"), F.col("question_id").cast("string").alias("question_id"),
         F.coalesce("answer_text", F.lit("")).alias("answer_text"),
     ).join(staged, "question_id")
-    return work.select("answer_id", "question_id", "answer_text", "points", numbers.alias("numbers")).mapInArrow(_match_batches, _EVIDENCE)
+    return work.select("answer_id", "question_id", "answer_text", "points", numbers.alias("numbers")).mapInArrow(_matched(guarded), _EVIDENCE)
 
 
 def scheme_rows(schemes: DataFrame) -> DataFrame:

@@ -118,7 +118,15 @@ def h8_h11_text_evidence(spark, d):
     return checked_evidence(E.text_evidence(answers(spark, d), schemes(spark, d)))
 
 
-@query("d17_marks_from_evidence")
+# The first three points of a question are a group of which the best two count; a question has five marks.
+MARKS_SQL = f"""WITH ev AS ({TEXT_EVIDENCE_SQL}),
+ valued AS (SELECT *, CASE WHEN method = 'NUMERIC' THEN NULL ELSE split_part(value_point_id, '.', 2)::INT END AS i FROM ev),
+ worth AS (SELECT *, CASE WHEN i IS NULL THEN 0.5 WHEN i % 2 = 1 THEN 1.0 ELSE 1.5 END::DOUBLE AS marks, coalesce(i <= 3, false) AS grouped FROM valued),
+ won AS (SELECT answer_id, question_id, coalesce(sum(marks) FILTER (WHERE matched AND NOT grouped), 0) + coalesce(list_sum(list_sort(list(marks) FILTER (WHERE matched AND grouped), 'DESC')[1:2]), 0) AS uncapped FROM worth GROUP BY 1, 2)
+SELECT answer_id, question_id, uncapped::DOUBLE AS uncapped, least(uncapped, 5.0)::DOUBLE AS total, 5.0::DOUBLE AS max_marks, false AS uncalibrated, 'value-point-engine/0.1.0-demo' AS engine_version FROM won"""
+
+
+@query("d17_marks_from_evidence", MARKS_SQL)
 def d17_marks_from_evidence(spark, d):
     s, a = schemes(spark, d), answers(spark, d)
     return M.score_answers(a, E.scheme_rows(s), checkpointed(E.text_evidence(a, s)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marklake.plans import views as V
 from marklake.plans.common import Catalog
+from marklake.plans.evidence_queries import MARKS_SQL
 from marklake.plans.views import r, with_views
 from marklake.sources import readers as RD
 from marklake.sources import writers as W
@@ -238,8 +239,8 @@ def _stream(spark, d, name):
 
 @query(
     "s1_incremental_grading",
-    with_views("", """SELECT CASE WHEN length(trim(text, e' \\t\\n\\r')) < 40 THEN 'FAILED' ELSE 'COMPLETED' END AS status, count(*) AS n, sum(length(text))::BIGINT AS n_chars,
- count(*) FILTER (WHERE length(trim(text, e' \\t\\n\\r')) >= 40) AS n_marked FROM documents GROUP BY 1"""),
+    f"""SELECT doc_id, CASE WHEN bad THEN 'FAILED' ELSE 'COMPLETED' END AS status, CASE WHEN NOT bad THEN total END AS total, CASE WHEN bad THEN 'Evaluation failed. Please try again.' END AS error_message
+ FROM (SELECT doc_id, length(trim(text, e' \\t\\n\\r')) < 40 AS bad FROM documents) LEFT JOIN ({MARKS_SQL}) ON answer_id = doc_id""",
 )
 def s1_incremental_grading(spark, d):
     """Documents arrive as answers to the benchmark's questions and are graded by its value points."""
@@ -247,6 +248,7 @@ def s1_incremental_grading(spark, d):
     from marklake.operators import evidence as E
     from marklake.operators import marks as M
     from marklake.plans.evidence_queries import schemes
+    from marklake.session import checkpointed
 
     base = workspace(spark)
     bad = F.length(strip(F.col("text"))) < 40
@@ -255,14 +257,13 @@ def s1_incremental_grading(spark, d):
 
     def grade(batch):
         answers = batch.select(F.col("doc_id").alias("answer_id"), (F.col("doc_id") % n).cast("string").alias("question_id"), F.col("text").alias("answer_text"))
-        marks = M.score_answers(answers, E.scheme_rows(scheme), E.text_evidence(answers, scheme)).select("answer_id", "total")
-        return batch.join(marks, batch["doc_id"] == marks["answer_id"], "left").drop("answer_id")
+        evidence = checkpointed(E.text_evidence(answers, scheme, guarded=True))
+        marks = M.score_answers(answers, E.scheme_rows(scheme), evidence.filter(F.col("method") != E.ERROR)).select("answer_id", "total")
+        errors = evidence.filter(F.col("method") == E.ERROR).select("answer_id", F.col("reason").alias("error_message"))
+        return batch.join(marks.join(errors, "answer_id", "left").withColumnRenamed("answer_id", "doc_id"), "doc_id", "left")
 
-    J.run_available(_stream(spark, d, "documents"), J.grade_increment(grade, bad, f"{base}/results", f"{base}/failed", "doc_id"), f"{base}/state")
-    cols = ["status", F.length("text").cast("bigint").alias("chars")]
-    done = spark.read.parquet(f"{base}/results").select(*cols, F.col("total").isNotNull().alias("marked"))
-    both = done.unionByName(spark.read.parquet(f"{base}/failed").select(*cols, F.lit(False).alias("marked")))
-    return both.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("n_chars"), F.count_if("marked").alias("n_marked"))
+    J.run_available(_stream(spark, d, "documents"), J.grade_increment(grade, bad, f"{base}/sink", "doc_id"), f"{base}/state")
+    return J.graded(spark, f"{base}/sink").select("doc_id", "status", "total", "error_message")
 
 
 _STATUS = "CASE event_type WHEN 'signup' THEN 'UPLOADED' WHEN 'view' THEN 'PROCESSING' WHEN 'click' THEN 'OCR_COMPLETE' WHEN 'purchase' THEN CASE WHEN value > 400 THEN 'COMPLETED' ELSE 'EVALUATING' END ELSE 'FAILED' END"
@@ -274,12 +275,22 @@ def _lifecycle_events(events):
         F.when(t == "signup", "UPLOADED").when(t == "view", "PROCESSING").when(t == "click", "OCR_COMPLETE")
         .when((t == "purchase") & (F.col("value") > 400), "COMPLETED").when(t == "purchase", "EVALUATING").otherwise("FAILED")
     )
-    return events.select(F.col("user_id").alias("submission_id"), status.alias("status"), "ts")
+    return events.select("event_id", F.col("user_id").alias("submission_id"), status.alias("status"), "ts")
 
 
-_LIFE = f"""SELECT submission_id, CASE WHEN lf IS NOT NULL AND NOT done AND (ls IS NULL OR lf >= ls) THEN 'FAILED' WHEN f > 0 THEN ['UPLOADED','PROCESSING','OCR_COMPLETE','EVALUATING','COMPLETED'][f] END AS status, f AS furthest_stage, n_stage_events, n_failures FROM (
- SELECT submission_id, max(rk)::BIGINT AS f, count(*) FILTER (WHERE rk > 0) AS n_stage_events, count(*) FILTER (WHERE status='FAILED') AS n_failures, max(ts) FILTER (WHERE status='FAILED') AS lf, max(ts) FILTER (WHERE rk > 0) AS ls, bool_or(status='COMPLETED') AS done FROM (
- SELECT *, coalesce(list_position(['UPLOADED','PROCESSING','OCR_COMPLETE','EVALUATING','COMPLETED'], status), 0) AS rk FROM (SELECT user_id AS submission_id, {_STATUS} AS status, ts FROM events)) GROUP BY 1)"""
+_EVENTS = f"(SELECT event_id, user_id AS submission_id, {_STATUS} AS status, ts FROM events)"
+_OWN = "CASE WHEN {1} IS NOT NULL AND ({0} IS NULL OR {1} >= {0}) THEN 'COMPLETED' WHEN {0} IS NOT NULL THEN 'PROCESSING' END"
+
+_LIFE = f"""SELECT submission_id, CASE WHEN lf IS NOT NULL AND tc IS NULL AND (ls IS NULL OR lf >= ls) THEN 'FAILED' WHEN f > 0 THEN ['UPLOADED','PROCESSING','OCR_COMPLETE','EVALUATING','COMPLETED'][f] END AS status,
+ {_OWN.format("tp", "tq")} AS ocr_status, {_OWN.format("te", "tc")} AS evaluation_status, f AS furthest_stage, n_stage_events, n_failures FROM (
+ SELECT submission_id, max(rk)::BIGINT AS f, count(*) FILTER (WHERE rk > 0) AS n_stage_events, count(*) FILTER (WHERE status='FAILED') AS n_failures, max(ts) FILTER (WHERE status='FAILED') AS lf, max(ts) FILTER (WHERE rk > 0) AS ls,
+  max(ts) FILTER (WHERE status='PROCESSING') AS tp, max(ts) FILTER (WHERE status='OCR_COMPLETE') AS tq, max(ts) FILTER (WHERE status='EVALUATING') AS te, max(ts) FILTER (WHERE status='COMPLETED') AS tc FROM (
+ SELECT *, coalesce(list_position(['UPLOADED','PROCESSING','OCR_COMPLETE','EVALUATING','COMPLETED'], status), 0) AS rk FROM {_EVENTS}) GROUP BY 1)"""
+
+_ILLEGAL = f"""SELECT submission_id, event_id, status, previous FROM (
+ SELECT *, list_position(['UPLOADED','PROCESSING','OCR_COMPLETE','EVALUATING','COMPLETED'], status) AS rk, list_position(['UPLOADED','PROCESSING','OCR_COMPLETE','EVALUATING','COMPLETED'], previous) AS pk
+ FROM (SELECT *, lag(status) OVER (PARTITION BY submission_id ORDER BY ts, event_id) AS previous FROM {_EVENTS}))
+ WHERE NOT coalesce(CASE WHEN previous IS NULL THEN status = 'UPLOADED' WHEN previous = 'COMPLETED' THEN false WHEN status = 'FAILED' THEN true WHEN previous = 'FAILED' THEN status = 'PROCESSING' ELSE rk = pk OR rk = pk + 1 END, false)"""
 
 
 @query("s2_lifecycle_batch", _LIFE)
@@ -287,24 +298,48 @@ def s2_lifecycle_batch(spark, d):
     return J.lifecycle(_lifecycle_events(V.table(spark, d, "events")))
 
 
+@query("s2_illegal_batch", _ILLEGAL)
+def s2_illegal_batch(spark, d):
+    return J.illegal_transitions(_lifecycle_events(V.table(spark, d, "events"))).drop("ts")
+
+
+def _lifecycle_sink(spark, d):
+    base = workspace(spark)
+    stream = J.once(_lifecycle_events(_stream(spark, d, "events")))
+    J.run_available(stream, J.merge_lifecycle(f"{base}/sink"), f"{base}/state")
+    return f"{base}/sink"
+
+
 @query("s2_lifecycle_stream", _LIFE)
 def s2_lifecycle_stream(spark, d):
-    base = workspace(spark)
-    out = J.lifecycle(_lifecycle_events(_stream(spark, d, "events")))
-    J.run_available(out, lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out"), f"{base}/state", "complete")
-    return spark.read.parquet(f"{base}/out")
+    return J.current_lifecycle(spark, _lifecycle_sink(spark, d))
+
+
+@query("s2_illegal_stream", _ILLEGAL)
+def s2_illegal_stream(spark, d):
+    return J.rejected_events(spark, _lifecycle_sink(spark, d)).drop("ts")
 
 
 def _logins(events):
     return events.filter("event_type IN ('error', 'purchase')").select("event_id", "user_id", "ts", (F.col("event_type") == "purchase").alias("success"))
 
 
-@query("s3_lockout_batch")
+_LOCKOUT = """WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY told, event_id) AS rn FROM (SELECT user_id, event_id, epoch_us(ts) AS told, event_type = 'purchase' AS ok FROM events WHERE event_type IN ('error', 'purchase'))),
+ f(user_id, rn, event_id, n, until, outcome) AS (
+ SELECT user_id, 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT, NULL::VARCHAR FROM a WHERE rn = 1
+ UNION ALL SELECT a.user_id, a.rn, a.event_id, CASE WHEN f.until > a.told THEN f.n WHEN a.ok THEN 0 ELSE f.n + 1 END,
+  CASE WHEN f.until > a.told THEN f.until WHEN a.ok THEN 0 WHEN f.n + 1 >= 5 THEN a.told + 900000000 ELSE f.until END,
+  CASE WHEN f.until > a.told THEN 'LOCKED' WHEN a.ok THEN 'SUCCESS' WHEN f.n + 1 >= 5 THEN 'WRONG_PASSWORD_LOCKS' ELSE 'WRONG_PASSWORD' END
+ FROM f JOIN a ON a.user_id = f.user_id AND a.rn = f.rn + 1)
+SELECT user_id, event_id, outcome, n AS failed_attempts FROM f WHERE rn > 0"""
+
+
+@query("s3_lockout_batch", _LOCKOUT)
 def s3_lockout_batch(spark, d):
     return J.lockout_batch(_logins(V.table(spark, d, "events")))
 
 
-@query("s3_lockout_stream")
+@query("s3_lockout_stream", _LOCKOUT)
 def s3_lockout_stream(spark, d):
     base = workspace(spark)
     out = J.lockout_stream(_logins(_stream(spark, d, "events")))

@@ -18,10 +18,13 @@ def run(spark, rows):
 
 def test_expected_concepts_expand_and_limit(spark):
     q = spark.createDataFrame([(PHOTO, "Biology"), ("Define force and mass", "")], "q string, s string")
-    rows = q.withColumn("d", TX.infer_domain(F.col("q"), F.col("s"))).select("d", TX.expected_concepts(F.col("q"), F.col("d")).alias("e")).collect()
+    rows = q.withColumn("d", TX.infer_domain(F.col("q"), F.col("s"))).select(
+        "d", TX.expected_concepts(F.col("q"), F.col("d"), 8).alias("e"), TX.expected_concepts(F.col("q"), F.col("d")).alias("whole")
+    ).collect()
     assert rows[0].d == "biology" and rows[1].d == "physics"
     assert rows[0].e == ["photosynthesis", "sunlight", "chlorophyll", "carbon dioxide", "water", "glucose", "oxygen", "plant"]
     assert set(rows[1].e) >= {"force", "mass"}
+    assert rows[0].whole[:8] == rows[0].e and len(rows[0].whole) > 8
 
 
 def test_coverage_equals_plain_python(spark):
@@ -76,10 +79,12 @@ def test_rubric_from_key(spark):
         [(1, "Describe it [10 marks]", "First point here. Second point here. Third point here."), (2, "No marks", "intro line\n- alpha item\n- beta item\n2. gamma item"), (3, "x", "tiny")],
         "question_id int, question_text string, answer_key string",
     )
-    got = {r.question_id: r for r in AU.generate_rubrics(q).collect()}
+    got = {r.question_id: r for r in AU.generate_rubrics(q, shortest=5).collect()}
     assert [c.allocated_marks for c in got[1].criteria] == [3.33, 3.33, 3.34]
     assert [c.description for c in got[2].criteria] == ["intro line", "alpha item", "beta item", "gamma item"] and got[2].max_score == 5.0
     assert [c.description for c in got[3].criteria] == ["Fulfill the core requirements of the answer key."]
+    every = {r.question_id: [c.description for c in r.criteria] for r in AU.generate_rubrics(q).collect()}
+    assert every[3] == ["tiny"] and len(every[2]) == 4
 
 
 def test_or_questions(spark):

@@ -104,7 +104,74 @@ def test_a_submission_that_stops_grading_fails_alone(spark, tmp_path):
         poison = F.when(F.col("id").isin(17, 18), F.raise_error(F.lit("no such question")).cast("long"))
         return batch.withColumn("marks", F.coalesce(poison, F.col("id")))
 
-    J.grade_increment(grade, F.col("text") == "", f"{tmp_path}/done", f"{tmp_path}/failed", "id")(rows, 0)
-    failed = {r.id: r.error_message for r in spark.read.parquet(f"{tmp_path}/failed").collect()}
+    J.grade_increment(grade, F.col("text") == "", str(tmp_path), "id")(rows, 0)
+    out = J.graded(spark, str(tmp_path)).collect()
+    failed = {r.id: r.error_message for r in out if r.status == "FAILED"}
     assert set(failed) == {3, 17, 18} and "no such question" in failed[17]
-    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/done").collect()) == [i for i in range(40) if i not in failed]
+    assert sorted(r.id for r in out if r.status == "COMPLETED") == [i for i in range(40) if i not in failed]
+
+
+def test_a_batch_counts_once_whatever_stopped_it_before(spark, tmp_path):
+    from marklake.streaming import commits
+    from marklake.streaming import jobs as J
+
+    rows, calls = spark.range(8).withColumn("text", F.lit("answer")), []
+
+    def grade(batch):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("No space left on device")  # not the submissions' fault
+        poison = F.when(F.lit(len(calls) == 1) & (F.col("id") == 5), F.raise_error(F.lit("a passing error")).cast("long"))
+        return batch.withColumn("marks", F.coalesce(poison, F.col("id")))
+
+    handle = J.grade_increment(grade, F.col("text") == "", str(tmp_path), "id")
+    try:
+        handle(rows, 0)
+        raise AssertionError("the disk's error must stop the batch")
+    except OSError:
+        assert not commits.known(spark, str(tmp_path), 0)
+    handle(rows, 0)
+    handle(rows, 0)
+    assert sorted(r.id for r in J.graded(spark, str(tmp_path)).filter("status = 'COMPLETED'").collect()) == list(range(8))
+    handle(spark.range(8, 10).withColumn("text", F.lit("answer")), 1)
+    assert J.graded(spark, str(tmp_path)).count() == 10
+
+
+def test_rows_that_fail_in_matching_fail_alone(spark, tmp_path):
+    from marklake.operators import evidence as E
+    from marklake.streaming import jobs as J
+    from tests_support import SCHEME, vp
+
+    schemes = spark.createDataFrame([("q", "1", "?", 1.0, [vp("a", "river")]), ("broken", "2", "?", 1.0, [vp("b", None)])], SCHEME)
+    rows = spark.createDataFrame([(1, "q", "the river"), (2, "broken", "the river"), (3, "q", "no")], "answer_id bigint, question_id string, answer_text string")
+
+    def grade(batch):
+        evidence = E.text_evidence(batch, schemes, guarded=True)
+        return batch.join(evidence.groupBy("answer_id").agg(F.count_if("matched").alias("n"), F.max(F.when(F.col("method") == E.ERROR, F.col("reason"))).alias("error_message")), "answer_id")
+
+    J.grade_increment(grade, F.col("answer_text") == "", str(tmp_path), "answer_id")(rows, 0)
+    got = {r.answer_id: (r.status, r.n) for r in J.graded(spark, str(tmp_path)).collect()}
+    assert got == {1: ("COMPLETED", 1), 2: ("FAILED", 0), 3: ("COMPLETED", 0)}
+
+
+def test_lifecycle_rewrites_only_touched_buckets(spark, tmp_path):
+    from marklake.streaming import commits
+    from marklake.streaming import jobs as J
+
+    kind = "event_id bigint, submission_id bigint, status string, ts bigint"
+    first = [(i, i, "UPLOADED", 1) for i in range(40)] + [(100 + i, i, "PROCESSING", 2) for i in range(40)]
+    second = [(200, 3, "OCR_COMPLETE", 3), (201, 4, "FAILED", 3), (202, 5, "COMPLETED", 3), (203, 77, "EVALUATING", 3)]
+    third = [(300, 4, "PROCESSING", 4), (301, 3, "EVALUATING", 5), (302, 3, "COMPLETED", 6), (303, 3, "FAILED", 7)]
+    handle, sink = J.merge_lifecycle(str(tmp_path), 8), str(tmp_path)
+    for n, rows in enumerate((first, second, second, third)):
+        frame = spark.createDataFrame(rows, kind).withColumn("ts", F.timestamp_seconds("ts"))
+        handle(frame, min(n, 1) if n < 3 else 2)  # the second batch runs twice
+    whole = spark.createDataFrame(first + second + third, kind).withColumn("ts", F.timestamp_seconds("ts"))
+    order = lambda d: sorted(map(tuple, d.collect()), key=str)
+    assert order(J.current_lifecycle(spark, sink)) == order(J.lifecycle(whole))
+    assert order(J.rejected_events(spark, sink)) == order(J.illegal_transitions(whole))
+    assert {r.event_id for r in J.illegal_transitions(whole).collect()} == {202, 203, 303}
+    state = {r.submission_id: tuple(r)[1:4] for r in J.current_lifecycle(spark, sink).collect()}
+    assert state[3] == ("COMPLETED", "COMPLETED", "COMPLETED") and state[4] == ("PROCESSING", "PROCESSING", None)
+    one, two = (commits.manifest(spark, sink, n)["buckets"] for n in (0, 1))
+    assert sum(one.get(b) != two[b] for b in two) <= 4 < len(two)

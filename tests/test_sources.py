@@ -241,9 +241,20 @@ def test_lockout_batch_and_stream_equal_replay(spark, tmp_path):
 
 def test_graded_increment_survives_a_second_run(spark, tmp_path):
     batch = spark.createDataFrame([(1, "good"), (2, "")], "id int, text string")
-    handle = J.grade_increment(lambda d: d, F.col("text") == "", str(tmp_path / "ok"), str(tmp_path / "bad"))
+    handle = J.grade_increment(lambda d: d, F.col("text") == "", str(tmp_path), "id")
     handle(batch, 0)
     handle(batch, 0)  # the same micro-batch again
-    assert spark.read.parquet(str(tmp_path / "ok")).count() == 1
-    bad = spark.read.parquet(str(tmp_path / "bad")).first()
-    assert bad.status == "FAILED" and bad.error_message == J.GENERIC_FAILURE
+    out = {r.id: (r.status, r.error_message) for r in J.graded(spark, str(tmp_path)).collect()}
+    assert out == {1: ("COMPLETED", None), 2: ("FAILED", J.GENERIC_FAILURE)}
+
+
+def test_a_user_who_only_fails_is_many_tasks_work(spark):
+    rng = random.Random(9)
+    start = pd.Timestamp("2024-01-01")
+    rows = [(i, 1, start + pd.Timedelta(seconds=37 * i + rng.randint(0, 30)), False) for i in range(4000)]
+    rows += [(9000 + i, 2, start + pd.Timedelta(seconds=rng.randint(0, 10**6)), rng.random() < 0.3) for i in range(1500)]
+    rows += [(20000 + i, None, start + pd.Timedelta(hours=i), False) for i in range(7)]
+    df = spark.createDataFrame([(i, u, t.to_pydatetime(), ok) for i, u, t, ok in rows], "event_id bigint, user_id bigint, ts timestamp, success boolean")
+    got = J.lockout_batch(df, hours=1)
+    assert sorted((r.event_id, r.outcome, r.failed_attempts) for r in got.collect()) == replay_logins(rows)
+    assert J.lockout_batch(df.limit(0)).count() == 0
