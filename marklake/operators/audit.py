@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -252,21 +255,17 @@ def cluster_bootstrap(
             "statistic", "value", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"),
             F.lit(n_clusters).cast("bigint").alias("n_clusters"), "n_observations",
         )
-    slices = max(spark.sparkContext.defaultParallelism, resamples * n_clusters // 2_000_000)
-    number = F.col("id")
-    resample = F.floor(number / F.lit(n_clusters)).cast("bigint")
-    draw = number - resample * n_clusters
-    digest = F.substring(F.md5(F.concat(F.lit(f"{seed}-"), resample.cast("string"), F.lit("-"), draw.cast("string")).cast("binary")), 1, 8)
-    drawn = spark.range(0, resamples * n_clusters, 1, slices).select(
-        resample.alias("resample"), (F.conv(digest, 16, 10).cast("bigint") % n_clusters).alias("row_index")
-    )
-    # Draws fall evenly on the numbers, so neither way is skewed: small statistics go to
-    # every task and the draws stay where they are made, larger ones are hashed, not sorted.
-    small = n_clusters * _STATISTIC_ROW_BYTES <= BROADCAST_LIMIT_BYTES
-    picked = drawn.join(numbered.hint("broadcast" if small else "shuffle_hash"), "row_index")
-    per_resample = picked.groupBy("resample").agg(*[x.alias(k) for k, x in merged.items()]).select(
-        *[x.alias(k) for k, x in statistics().items()]
-    )
+    # Draws fall evenly on the numbers, so neither way is skewed: small statistics go to every task, which adds up whole
+    # resamples; larger ones are joined to draws of a row each, hashed, not sorted.
+    if n_clusters * _STATISTIC_ROW_BYTES <= BROADCAST_LIMIT_BYTES:
+        held = numbered.select("row_index", *[F.col(k).cast("double").alias(k) for k in merged]).toArrow()
+        order = np.argsort(held.column("row_index").to_numpy())
+        matrix = spark.sparkContext.broadcast(_matrix(held, list(merged))[order])
+        types = "resample bigint, " + ", ".join(f"`{k}` double" for k in merged)
+        drawn = spark.range(0, resamples, 1, min(resamples, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(_drawn(matrix, seed, list(merged)), types)
+        per_resample = drawn.select(*[x.alias(k) for k, x in statistics().items()])
+    else:
+        per_resample = _joined_draws(numbered, n_clusters, resamples, seed)
     values = per_resample.select(stack).select("_s.*").filter("value is not null")
     return points.join(_bounds(values, [], resamples, confidence), "statistic", "left").select(
         "statistic",
@@ -278,6 +277,52 @@ def cluster_bootstrap(
     )
 
 
+def _matrix(table: pa.Table | pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """Rows of ``pair_sums``; what is not known adds nothing, and bounds nothing."""
+    unknown = {"lo": np.inf, "hi": -np.inf}
+    columns = [table.column(k).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(k).to_numpy() for k in names]
+    return np.stack([np.where(np.isnan(c), unknown.get(k, 0.0), c) for k, c in zip(names, columns)], 1)
+
+
+def _times(weights: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Weighted sums, one row per row of weights; the last two columns are the least and the largest of what weighs anything."""
+    met = weights > 0
+    low, high = np.where(met, sums[:, -2], np.inf).min(1), np.where(met, sums[:, -1], -np.inf).max(1)
+    return np.column_stack([weights @ sums[:, :-2], low, high])
+
+
+def _drawn(matrix, seed: int, names: list[str]):
+    """Sums of whole resamples: how often each script was drawn, times its sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = matrix.value
+        n = len(sums)
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            out = np.empty((len(ids), sums.shape[1]))
+            for i, b in enumerate(ids):
+                head = f"{seed}-{b}-"
+                drawn = np.fromiter((int.from_bytes(hashlib.md5(f"{head}{k}".encode()).digest()[:4]) for k in range(n)), np.int64, n) % n
+                out[i] = _times(np.bincount(drawn, minlength=n)[None, :], sums)[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(out[:, c])) for c in range(len(names)))], names=["resample", *names])
+
+    return run
+
+
+def _joined_draws(numbered: DataFrame, n_clusters: int, resamples: int, seed: int) -> DataFrame:
+    spark, merged = numbered.sparkSession, merge_sums()
+    slices = max(spark.sparkContext.defaultParallelism, resamples * n_clusters // 2_000_000)
+    number = F.col("id")
+    resample = F.floor(number / F.lit(n_clusters)).cast("bigint")
+    draw = number - resample * n_clusters
+    digest = F.substring(F.md5(F.concat(F.lit(f"{seed}-"), resample.cast("string"), F.lit("-"), draw.cast("string")).cast("binary")), 1, 8)
+    drawn = spark.range(0, resamples * n_clusters, 1, slices).select(
+        resample.alias("resample"), (F.conv(digest, 16, 10).cast("bigint") % n_clusters).alias("row_index")
+    )
+    picked = drawn.join(numbered.hint("shuffle_hash"), "row_index")
+    return picked.groupBy("resample").agg(*[x.alias(k) for k, x in merged.items()]).select(*[x.alias(k) for k, x in statistics().items()])
+
+
 def _bounds(values: DataFrame, keys: list[str], resamples: int, confidence: float) -> DataFrame:
     """(keys, statistic, low, high) from the statistics of each resample; none where fewer than half of them have one."""
     of = [*keys, "statistic"]
@@ -300,13 +345,53 @@ _PRIME = 2**31 - 1
 _POISSON = [math.floor(_PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(9)]
 
 
+def _weighted(resamples: int, names: list[str], keys_held: int = 64, step: int = 2048):
+    """Per key the weights of scripts in all resamples times the scripts' sums: one row per resample leaves a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        number = np.arange(resamples, dtype=np.int64)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for key, total in held.values():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([key] * resamples), pa.array(number), *(pa.array(np.ascontiguousarray(total[:, c])) for c in range(len(names)))],
+                    names=["key", "resample", *names],
+                )
+            held.clear()
+
+        for batch in batches:
+            key = batch.column("key")
+            seen: dict = {}
+            for i, k in enumerate(map(str, key.to_pylist())):
+                seen.setdefault(k, []).append(i)
+            h, g = batch.column("_h").to_numpy(), batch.column("_g").to_numpy()
+            sums = _matrix(batch, names)
+            for k, rows in seen.items():
+                if k not in held and len(held) >= keys_held:
+                    yield from told()
+                if k not in held:
+                    held[k] = key.slice(rows[0], 1), np.column_stack([np.zeros((resamples, len(names) - 2)), np.full(resamples, np.inf), np.full(resamples, -np.inf)])
+                total = held[k][1]
+                for at in range(0, len(rows), step):
+                    some = np.array(rows[at : at + step])
+                    uniform = (h[some] + number[:, None] * g[some]) % _PRIME
+                    more = _times(np.searchsorted(_POISSON, uniform.ravel(), "right").reshape(uniform.shape), sums[some])
+                    total[:, :-2] += more[:, :-2]
+                    total[:, -2], total[:, -1] = np.minimum(total[:, -2], more[:, -2]), np.maximum(total[:, -1], more[:, -1])
+        yield from told()
+
+    return run
+
+
 def weighted_bootstrap(
     obs: DataFrame, engine: str, keys: list[str] | None = None, resamples: int = 1000, confidence: float = 0.95, seed: int = 20260815
 ) -> DataFrame:
     """D26 per key: every script weighs in each resample by its own Poisson(1) number, in place of a number of draws.
 
     The weight is a function of (seed, script, resample): two words of an md5 per script, then one product per resample.
-    No script is numbered, drawn or joined; weighted sums are added up per task, and one row per key and resample moves.
+    No script is numbered, drawn or joined, and no row made per script and resample: a task multiplies the matrix of
+    weights with that of sums, and one row per key and resample leaves it.
     """
     keys = keys or []
     scripts = obs.groupBy(*keys, "script_id").agg(*[x.alias(k) for k, x in _arm(obs, engine).items()], F.count(F.lit(1)).alias("_rows"))
@@ -320,12 +405,12 @@ def weighted_bootstrap(
     digest = F.md5(F.concat(F.lit(f"{seed}-"), F.col("script_id").cast("string")).cast("binary"))
     word = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
     hashed = TX.bind_columns(scripts, _h=word(1) % _PRIME, _g=word(9) % (_PRIME - 1) + 1)
-    drawn = hashed.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    uniform = (F.col("_h") + F.col("resample") * F.col("_g")) % _PRIME
-    drawn = drawn.withColumn("_u", uniform).filter(F.col("_u") >= _POISSON[0])
-    weight = reduce(lambda a, b: a + b, [F.when(F.col("_u") >= t, 1).otherwise(0) for t in _POISSON])
-    weighted = drawn.withColumn("_w", weight).withColumns({k: F.col(k) * F.col("_w") for k in merged})
-    sums = weighted.groupBy(*keys, "resample").agg(*[x.alias(k) for k, x in merged.items()])
+    staged = hashed.select(F.struct(*keys).alias("key") if keys else F.lit(0).alias("key"), "_h", "_g", *[F.col(k).cast("double").alias(k) for k in merged])
+    kind = staged.schema["key"].dataType.simpleString()
+    types = f"key {kind}, resample bigint, " + ", ".join(f"`{k}` double" for k in merged)
+    partial = staged.mapInArrow(_weighted(resamples, list(merged)), types)
+    sums = partial.groupBy("key", "resample").agg(*[x.alias(k) for k, x in merged.items()])
+    sums = sums.select("key.*", *[c for c in sums.columns if c != "key"]) if keys else sums
     values = sums.select(*keys, *[x.alias(k) for k, x in statistics().items()]).select(*keys, stack).select(*keys, "_s.*").filter("value is not null")
     bounds = _bounds(values, keys, resamples, confidence)
     known = (F.col("value").isNotNull()) & (F.col("n_clusters") >= 2)
