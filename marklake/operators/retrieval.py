@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from marklake.functions.numeric import fmt_float, round_even
+from marklake.session import checkpointed
 
 QUERY_CELL, VECTOR_CELL = 1024, 4096
 
@@ -76,67 +81,170 @@ def rubric_criteria(rubrics: DataFrame, criteria: DataFrame) -> DataFrame:
 
 # --- exact nearest neighbours ---------------------------------------------------------------
 
+CELLS = 2048  # at most so many centres
+_ROUNDING = 1e-6  # scores are compared at six places
 
-def _unit(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    array = column.combine_chunks()
+
+def _unit(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = flat.reshape(len(array), -1)
     norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
     return rows, norms
 
 
-def _cell_topk(k: int):
+def _directions(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    rows, norms = _unit(column)
+    return np.divide(rows, norms[:, None], out=np.zeros_like(rows), where=norms[:, None] > 0)
+
+
+class _Cells:
+    """Centres of cells; from the whole table how many vectors each holds and how far the farthest is from its centre, as an angle."""
+
+    def __init__(self, centres: np.ndarray):
+        self.centres = centres
+        self.held, self.radius = np.zeros(len(centres), np.int64), np.full(len(centres), -1.0)
+
+    def angles(self, directions: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(directions @ self.centres.T, -1.0, 1.0))
+
+    def best(self, directions: np.ndarray) -> np.ndarray:
+        """The most that a score can be in each cell: an angle is at least the centre's, less the radius."""
+        return np.maximum(np.cos(np.minimum(np.maximum(self.angles(directions) - self.radius, 0.0), np.pi)), 0.0)
+
+
+def _placed(cells):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                angle = cells.value.angles(_directions(batch.column("embedding")))
+                own = angle.argmin(1)
+                known = _unit(batch.column("embedding"))[1] > 0  # without a direction the score is 0 anyway
+                gap = np.where(known, angle[np.arange(len(own)), own], 0.0)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(gap)], names=[*batch.schema.names, "_cell", "_gap"])
+
+    return run
+
+
+def _visits(cells, k: int, first: bool):
+    """Cells that a query has to look into: the most promising ones that hold k vectors, then all that can still hold a
+    better one than its k-th so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = cells.value.held
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            most = cells.value.best(_directions(batch.column("embedding")))
+            order = np.argsort(-most, axis=1, kind="stable")
+            enough = np.cumsum(held[order], axis=1) - held[order] < k
+            if first:
+                lists = [row[keep].tolist() for row, keep in zip(order, enough)]
+            else:
+                least = np.array([-1.0 if x is None else x for x in batch.column("_kth").to_pylist()])
+                wanted = (np.take_along_axis(most, order, 1) + _ROUNDING >= least[:, None]) & ~enough
+                lists = [row[keep].tolist() for row, keep in zip(order, wanted)]
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("embedding"), pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "embedding", "_cells"])
+
+    return run
+
+
+def _cell_topk(k: int, keys: list[str], schema: pa.Schema):
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("document_id", pa.int64()), ("score", pa.float64())])
         if not queries.num_rows or not vectors.num_rows:
             return schema.empty_table()
+        vectors = vectors.take(pc.sort_indices(vectors, sort_keys=[(c, "ascending") for c in keys]))
         q, qn = _unit(queries.column("embedding"))
         v, vn = _unit(vectors.column("embedding"))
         scale = np.outer(qn, vn)
-        cos = np.clip(np.divide(q @ v.T, scale, out=np.zeros_like(scale), where=scale > 0), 0.0, 1.0)
-        ids = vectors.column("document_id").to_numpy()
-        by_id = np.argsort(ids, kind="stable")
-        shown = np.round(cos[:, by_id], 6)
+        shown = np.round(np.clip(np.divide(q @ v.T, scale, out=np.zeros_like(scale), where=scale > 0), 0.0, 1.0), 6)
         take = min(k, shown.shape[1])
         best = np.argsort(-shown, axis=1, kind="stable")[:, :take]  # stable: ties fall to the lower id
-        keep = qn > 0
-        out_q = np.repeat(queries.column("query_id").to_numpy()[keep], take)
-        out_d = ids[by_id][best[keep]].reshape(-1)
-        out_s = np.take_along_axis(shown, best, axis=1)[keep].reshape(-1)
-        return pa.table([pa.array(out_q), pa.array(out_d), pa.array(out_s)], schema=schema)
+        keep = np.flatnonzero(qn > 0)
+        documents = vectors.select(keys).take(pa.array(best[keep].ravel()))
+        scores = np.take_along_axis(shown, best, axis=1)[keep].ravel()
+        columns = [queries.column("query_id").take(pa.array(np.repeat(keep, take))), *documents.columns, pa.array(scores)]
+        return pa.Table.from_arrays(columns, names=schema.names).cast(schema)
 
     return run
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """C8 + F3: exact cosine top-k per query, scores to six places, ties by document id.
+class Neighbours:
+    """Vectors in cells by nearness, ready for exact searches.
 
-    Both sides are cut by a hash of their id into cells of bounded size. Each pair of
-    cells is one matrix product in one task, and only k rows per query leave it, so
-    pairs are never rows of a frame. Queries without a direction give no rows.
+    Documents are told apart by `keys`, of any type; ties go to the lower key. Cells have at most CELLS centres, drawn by
+    a hash of the keys; a cell of many vectors is cut into blocks, and so are the queries that visit it. A pair of blocks
+    is one matrix product in one task, of which k rows per query leave.
     """
-    def usable(df: DataFrame) -> DataFrame:
-        return df.filter(F.size("embedding") > 0)
-
-    queries, vectors = usable(queries.select("query_id", "embedding")), usable(vectors.select("document_id", "embedding"))
-    n_q = max(1, math.ceil(queries.count() / QUERY_CELL))
-    n_v = max(1, math.ceil(vectors.count() / VECTOR_CELL))
-    cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("_q"), cells(n_v).alias("_v"))
-    v = vectors.select("document_id", "embedding", F.pmod(F.xxhash64("document_id"), F.lit(n_v)).cast("int").alias("_v"), cells(n_q).alias("_q"))
-    found = q.groupBy("_q", "_v").cogroup(v.groupBy("_q", "_v")).applyInArrow(
-        _cell_topk(k), "query_id bigint, document_id bigint, score double"
-    )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "document_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    def __init__(self, vectors: DataFrame, keys: list[str]):
+        self.spark, self.keys = vectors.sparkSession, keys
+        rows = vectors.filter(F.size("embedding") > 0).select(*keys, "embedding")
+        n = rows.count()
+        chosen = rows.filter(F.exists("embedding", lambda x: x != 0)).orderBy(F.xxhash64(*keys), *keys).limit(min(CELLS, max(1, math.ceil(n / 512))))
+        centres = _directions(chosen.select("embedding").toArrow().column(0)) if n else np.zeros((0, 1))
+        cells = _Cells(centres if len(centres) else np.zeros((1, max(1, rows.agg(F.max(F.size("embedding"))).first()[0] or 1))))
+        types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        shared = self.spark.sparkContext.broadcast(cells)
+        self.placed = checkpointed(rows.mapInArrow(_placed(shared), f"{types}, _cell int, _gap double"))
+        for r in self.placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_gap").alias("radius")).collect():  # one row per centre
+            cells.held[r["_cell"]], cells.radius[r["_cell"]] = r["n"], r["radius"]
+        self.cells, self.held = self.spark.sparkContext.broadcast(cells), cells.held
+
+    def _met(self, asked: DataFrame, k: int) -> DataFrame:
+        """The k best documents of each query in each block that it visits."""
+        asking = asked.select("query_id", "embedding", F.explode("_cells").alias("_cell"))
+        many = {r["_cell"]: r["n"] for r in asking.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        cuts = self.spark.createDataFrame(
+            [(i, max(1, math.ceil(int(n) / VECTOR_CELL)), max(1, math.ceil(many.get(i, 1) / QUERY_CELL))) for i, n in enumerate(self.held)], "_cell int, _v int, _q int"
+        )
+
+        def block(df: DataFrame, by: list[str], mine: str, other: str) -> DataFrame:
+            df = df.join(F.broadcast(cuts), "_cell").withColumn(mine, F.pmod(F.xxhash64(*by), F.col(mine)).cast("int"))
+            return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+
+        at = ["_cell", "_q", "_v"]
+        kinds = {f.name: f.dataType for f in self.placed.schema} | {f.name: f.dataType for f in asked.schema}
+        out = T.StructType([T.StructField(c, kinds[c]) for c in ("query_id", *self.keys)] + [T.StructField("score", T.DoubleType())])
+        q, v = block(asking, ["query_id"], "_q", "_v"), block(self.placed.drop("_gap"), self.keys, "_v", "_q")
+        return q.groupBy(*at).cogroup(v.groupBy(*at)).applyInArrow(_cell_topk(k, self.keys, to_arrow_schema(out)), out)
+
+    def _top(self, found: DataFrame, k: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), *self.keys))
+        return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    def search(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """(query_id, keys, score, rank), and how many of all cells each query looked into: (query_id, visited, cells)."""
+        asked = queries.select("query_id", "embedding").filter(F.size("embedding") > 0)
+        kind = asked.schema
+        types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind) + ", _cells array<int>"
+        once = asked.mapInArrow(_visits(self.cells, k, True), types)
+        first = checkpointed(self._top(self._met(once, k), k).drop("rank"))
+        kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("_kth"))
+        bounded = asked.join(kth, "query_id", "left").mapInArrow(_visits(self.cells, k, False), types)
+        more = checkpointed(bounded)
+        visited = once.select("query_id", F.size("_cells").alias("n")).unionByName(more.select("query_id", F.size("_cells").alias("n")))
+        visited = visited.groupBy("query_id").agg(F.sum("n").alias("visited")).withColumn("cells", F.lit(int((self.held > 0).sum())).cast("bigint"))
+        return self._top(first.unionByName(self._met(more, k)), k), visited
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, keys: list[str] | None = None) -> DataFrame:
+    """C8 + F3: exact cosine top-k per query, scores to six places, ties by document id (`keys`, by default document_id).
+
+    A query first looks into the cells around it, then into those alone whose centre and radius let them hold a better
+    document than its k-th. Queries without a direction give no rows; ids may be of any type.
+    """
+    return Neighbours(vectors, keys or ["document_id"]).search(queries, k)[0]
 
 
-def retrieve(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """Ranked documents with type, content and metadata, scores to four places; blank queries give none."""
+def retrieve(queries: DataFrame, vectors: DataFrame, k: int = 5, keys: list[str] | None = None) -> DataFrame:
+    """Ranked documents with type, content and metadata, scores to four places; blank queries give none. Where ids are
+    told apart by their type only, as in `corpus`, `keys` are document_type and document_id."""
     asked = queries.filter(F.trim(F.coalesce("query_text", F.lit(""))) != "")
-    hits = nearest(asked, vectors, k)
+    keys = keys or ["document_id"]
+    hits = nearest(asked, vectors, k, keys)
     docs = vectors.drop("embedding")
-    return hits.join(docs, "document_id").withColumn("score", round_even(F.col("score"), 4))
+    return hits.join(docs, keys).withColumn("score", round_even(F.col("score"), 4))
 
 
 # --- context -------------------------------------------------------------------------------------

@@ -169,6 +169,32 @@ def test_nearest_equals_brute_force(spark, monkeypatch):
         assert [(d, -s) for s, d in want] == [(d, s) for _, d, s in sorted(got[i])]
 
 
+def test_cells_are_skipped_and_ids_may_be_text(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(R, "CELLS", 40)
+    draw = np.random.default_rng(6)
+    middle = draw.normal(size=(30, 8))
+    v = middle[draw.integers(0, 30, 21_000)] + draw.normal(scale=0.05, size=(21_000, 8))
+    rows = [("Topic" if i % 2 else "Question", str(i // 2), [float(x) for x in v[i]]) for i in range(21_000)]
+    vectors = spark.createDataFrame(rows, "document_type string, document_id string, embedding array<double>").repartition(4)
+    queries = spark.createDataFrame([(f"q{i}", [float(x) for x in v[i]]) for i in range(0, 3000, 100)] + [("none", [0.0] * 8)], "query_id string, embedding array<double>")
+    found, visited = R.Neighbours(vectors, ["document_type", "document_id"]).search(queries, 6)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.document_type, r.document_id, r.score))
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    assert "none" not in got and len(got) == 30
+    for i in range(0, 3000, 100):
+        score = np.round(np.clip(unit @ unit[i], 0, 1), 6)
+        want = sorted((-s, rows[j][0], rows[j][1]) for j, s in enumerate(score) if s >= np.sort(score)[-6])[:6]
+        assert [(t, d, -s) for s, t, d in want] == [(t, d, s) for _, t, d, s in sorted(got[f"q{i}"])]
+    share = [(r.visited, r.cells) for r in visited.filter("query_id <> 'none'").collect()]
+    assert sum(x for x, _ in share) < 0.5 * sum(n for _, n in share)
+    by_type = R.retrieve(queries.withColumn("query_text", F.lit("x")), vectors, 2, ["document_type", "document_id"])
+    assert by_type.count() == 60
+
+
 def test_lifts_equal_plain_containment(spark):
     rng = random.Random(12)
     words = ["of", "a", "net", "cat", "concat", "sat", "on", "mat", "tree"]
