@@ -31,17 +31,31 @@ def similar(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+def word_edits(reference: list[str], hypothesis: list[str]) -> int:
+    """Edit distance of two lists of words, a column of the table at a time: its steps up and down are two bit vectors."""
+    n = len(reference)
+    if not n:
+        return len(hypothesis)
+    where: dict[str, int] = {}
+    for i, word in enumerate(reference):
+        where[word] = where.get(word, 0) | 1 << i
+    whole, top, edits = (1 << n) - 1, 1 << (n - 1), n
+    up, down = whole, 0
+    for word in hypothesis:
+        same = where.get(word, 0)
+        level = same | down
+        across = (((same & up) + up) ^ up) | same
+        right, left = down | ~(across | up) & whole, up & across
+        edits += bool(right & top) - bool(left & top)
+        right, left = right << 1 | 1, left << 1
+        up, down = (left | ~(level | right)) & whole, right & level & whole
+    return edits
+
+
 def word_error_rate(reference: str, hypothesis: str) -> float:
     """H33 (WER): word edits over reference words."""
     ref, hyp = reference.lower().split(), hypothesis.lower().split()
-    if not ref:
-        return 1.0 if hyp else 0.0
-    row = list(range(len(hyp) + 1))
-    for i, word in enumerate(ref, 1):
-        corner, row[0] = row[0], i
-        for j, other in enumerate(hyp, 1):
-            corner, row[j] = row[j], corner if word == other else 1 + min(corner, row[j], row[j - 1])
-    return row[-1] / len(ref)
+    return word_edits(ref, hyp) / len(ref) if ref else float(bool(hyp))
 
 
 def words_around(text: str, start: int, end: int, before: int = 1, after: int = 2) -> str:

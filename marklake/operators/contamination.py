@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marklake.functions import runs as R
 from marklake.functions import text as TX
 from marklake.operators.segment import PART_HEADER
 from marklake.session import checkpointed
@@ -17,48 +18,35 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "))
 
 
-def _grams(words: Column, n: Column) -> Column:
-    """Distinct runs of n words; the array of words must hold at least n."""
-    last = F.size(words) - n + 1
-    return F.when(
-        last >= 1,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))),
-    ).otherwise(TX.no_strings())
-
-
 def lifted_phrases(phrases: DataFrame, answers: DataFrame) -> DataFrame:
     """(phrase_id, answer_id) where the phrase occurs in the answer, plain text compared.
 
     Containment may begin and end inside a word, so only the words between the first
     and last are certain to be words of the answer. Each phrase is looked up by one
-    run of up to three such inner words: the one that fewest answers hold. Runs are
-    counted first, so a phrase is never joined on a run that every answer has while
-    a rarer one exists. Each candidate pair is then tested on the full text.
+    run of up to three such inner words: the one that fewest answers hold. Answers
+    turn only those of their runs into rows that a filter of all phrases' runs lets
+    through; these are stored once, counted, and met by the rarest run of each phrase,
+    so a phrase is never joined on a run that every answer has while a rarer one
+    exists. Each candidate pair is then tested on the full text.
     """
     p = phrases.select("phrase_id", plain(F.col("phrase_text")).alias("phrase")).withColumn("_w", F.split("phrase", " "))
     content = F.size(F.filter("_w", lambda w: F.length(w) > 1))
     p = p.filter(content >= MIN_CONTENT_WORDS)
-    p = p.withColumn("_inner", F.slice("_w", F.lit(2), F.size("_w") - 2)).withColumn("n", F.least(F.lit(3), F.size("_w") - 2))
-    runs = p.select("phrase_id", "phrase", "n", F.explode(_grams(F.col("_inner"), F.col("n"))).alias("run"))
+    inner = F.array_join(F.slice("_w", F.lit(2), F.size("_w") - 2), " ")
+    staged = p.select("phrase_id", "phrase", F.least(F.lit(3), F.size("_w") - 2).alias("n"), inner.alias("_inner"))
+    runs = checkpointed(R.hashed_runs(staged, "_inner", "n"))
 
-    lengths = sorted(r.n for r in runs.select("n").distinct().collect()) or [3]  # at most 1, 2 and 3
     a = answers.select("answer_id", plain(F.col("answer_text")).alias("plain_text"))
-    words = F.col("_w")  # a column of its own: inside a lambda it would be split again per element
-    per_answer = a.withColumn("_w", F.split("plain_text", " ")).select(
-        "answer_id",
-        F.explode(F.concat(*[F.transform(_grams(words, F.lit(n)), lambda g: F.struct(F.lit(n).alias("n"), g.alias("run"))) for n in lengths])).alias("_g"),
-    ).select("answer_id", "_g.*")
-    wanted = runs.select("n", "run").distinct()
-    held = per_answer.join(wanted, ["n", "run"], "left_semi")
-    spread = held.groupBy("n", "run").agg(F.count(F.lit(1)).alias("_answers"))
+    held = checkpointed(R.hashed_runs(a, "plain_text", [1, 2, 3], wanted=R.run_filter(runs)))
+    spread = held.groupBy("run").agg(F.count(F.lit(1)).alias("_answers"))
     rarest = (
-        runs.join(spread, ["n", "run"], "left")
+        runs.join(spread, "run", "left")
         .groupBy("phrase_id", "phrase")
-        .agg(F.min(F.struct(F.coalesce("_answers", F.lit(0)).alias("c"), F.col("run"), F.col("n"))).alias("_k"))
+        .agg(F.min(F.struct(F.coalesce("_answers", F.lit(0)).alias("c"), F.col("run"))).alias("_k"))
         .filter("_k.c > 0")  # a run that no answer holds rules the phrase out
-        .select("phrase_id", "phrase", F.col("_k.run").alias("run"), F.col("_k.n").alias("n"))
+        .select("phrase_id", "phrase", F.col("_k.run").alias("run"))
     )
-    pairs = held.join(checkpointed(rarest), ["n", "run"]).select("phrase_id", "phrase", "answer_id")
+    pairs = held.join(rarest, "run").select("phrase_id", "phrase", "answer_id").distinct()
     return pairs.join(a, "answer_id").filter(F.contains("plain_text", F.col("phrase"))).select("phrase_id", "answer_id")
 
 

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from marklake.functions.matching import similar, word_error_rate, words_around
+from marklake.functions.matching import similar, word_edits, word_error_rate, words_around
 from marklake.functions.phrases import Scheme, densest_window, fold_all
 from marklake.operators import evidence as E
 from marklake.operators import marks as M
@@ -201,3 +201,15 @@ def test_numbers_equal_plain_python(spark):
     got = {(r.answer_id, r.value_point_id): (r.span_start, r.span_end) if r.matched else None for r in E.text_evidence(answers, schemes).collect()}
     want = {(i, p[0]): numeric_evidence(t or "", p[1], p[8], p[9], p[10]) for i, t in enumerate(texts) for p in points}
     assert got == want and sum(v is not None for v in want.values()) > 60
+
+
+def test_word_edits_equal_the_table():
+    rng = random.Random(14)
+    for _ in range(300):
+        ref, hyp = (rng.choices("abcde", k=rng.randint(0, 90)) for _ in range(2))
+        row = list(range(len(hyp) + 1))
+        for i, word in enumerate(ref, 1):
+            corner, row[0] = row[0], i
+            for j, other in enumerate(hyp, 1):
+                corner, row[j] = row[j], corner if word == other else 1 + min(corner, row[j], row[j - 1])
+        assert word_edits(ref, hyp) == row[-1]
