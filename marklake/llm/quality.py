@@ -116,6 +116,9 @@ def posterior(site: Column, p: Column, rate: float, under: float) -> Column:
     return odds / (1 + odds)
 
 
+SITES = 100_000  # rows of about 100 bytes that may go to every executor
+
+
 def judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, name: str) -> DataFrame:
     """All columns of `docs` and, as `name`, the posterior probability of low quality.
 
@@ -127,7 +130,9 @@ def judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, name:
     scored = with_evidence(docs, model, at[0])
     narrow = with_evidence(docs.select(F.col("text").cast("string").alias("text"), host.alias("host"), path.alias("path")), model, "p")
     sites, rate, under = site_rates(narrow.select("host", "path", "p"))
-    sites = sites.withColumnsRenamed({c: f"{at[0]}_{c}" for c in sites.columns})
+    sites = stored(sites.withColumnsRenamed({c: f"{at[0]}_{c}" for c in sites.columns}), "quality-sites")
+    if sites.count() <= SITES:  # a bounded table: the texts stay where they are
+        sites = F.broadcast(sites)
     with_site = scored.withColumn(at[1], host).withColumn(at[2], path)
     joined = with_site.join(
         sites, F.col(at[1]).eqNullSafe(F.col(f"{at[0]}_host")) & F.col(at[2]).eqNullSafe(F.col(f"{at[0]}_path"))
