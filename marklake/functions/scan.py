@@ -11,8 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marklake.session import checkpointed
 
@@ -81,7 +84,11 @@ def previous(df: DataFrame, keys: list[str], chunk: str, order: list, name: str,
     return _neighbour(df, keys, chunk, order, name, expr, False)
 
 
-_BUCKETS = 128
+@F.arrow_udf(T.LongType())
+def ordered_bits(value: pa.Array) -> pa.Array:
+    """The bits of a double as a number that is ordered as the doubles are."""
+    bits = (value.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0).view(np.int64)
+    return pa.array(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits), mask=value.is_null().to_numpy(zero_copy_only=False))
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -98,28 +105,31 @@ def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def median_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Exact median from counted values (keys, _v, _c).
 
-    Values are counted first, so ties cost nothing. Counts over buckets of about equally
-    many distinct values, whatever their spread, find the bucket of the middle ranks; only
-    the distinct values of that bucket are then ordered. No task holds a whole key.
+    Values are counted first, so ties cost nothing. The middle ranks are then found digit by
+    digit of the values' bits: counts per first digit, whatever their spread, name the one or
+    two digits that hold them, counts per second digit below these again, and only the at most
+    2^20 values that agree in both are ordered. No task holds a whole key.
     """
-    bounds = F.percentile_approx("_v", [i / _BUCKETS for i in range(1, _BUCKETS)], F.lit(10 * _BUCKETS))
-    spread = counts.groupBy(*keys).agg(bounds.alias("_bounds"), F.sum("_c").alias("n"))
-    place = F.size(F.filter("_bounds", lambda b: b < F.col("_v")))
-    located = null_safe_join(counts, checkpointed(spread), keys).withColumn("_b", place)
-    across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    digits = counts.withColumn("_k", ordered_bits(F.col("_v").cast("double")))
+    digits = digits.withColumn("_d1", F.shiftright("_k", 40)).withColumn("_d2", F.shiftright("_k", 20).bitwiseAND(F.lit((1 << 20) - 1))).drop("_k")
     low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
-    start, stop = F.col("_before"), F.col("_before") + F.col("_bc")
-    buckets = (
-        located.groupBy(*keys, "_b")
-        .agg(F.sum("_c").alias("_bc"), F.max("n").alias("n"))
-        .withColumn("_before", F.coalesce(F.sum("_bc").over(across), F.lit(0)))
-        .filter(((start <= low) & (low < stop)) | ((start <= high) & (high < stop)))
-        .select(*keys, "_b", "_before")
-    )
-    within = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = null_safe_join(located, checkpointed(buckets), [*keys, "_b"]).withColumn(
-        "_start", F.col("_before") + F.coalesce(F.sum("_c").over(within), F.lit(0))
-    )
+
+    def middle(rows: DataFrame, of: list[str], digit: str) -> DataFrame:
+        """Of counts per digit, those that hold a middle rank, with what comes before them."""
+        across = Window.partitionBy(*of).orderBy(digit).rowsBetween(Window.unboundedPreceding, -1)
+        start = F.col("_base") + F.coalesce(F.sum("_bc").over(across), F.lit(0))
+        placed = rows.withColumn("_start", start)
+        end = F.col("_start") + F.col("_bc")
+        holds = ((F.col("_start") <= low) & (low < end)) | ((F.col("_start") <= high) & (high < end))
+        return placed.filter(holds).select(*of, digit, "n", F.col("_start").alias("_base"))
+
+    first = digits.groupBy(*keys, "_d1").agg(F.sum("_c").alias("_bc")).withColumn("n", F.sum("_bc").over(Window.partitionBy(*keys)))
+    first = middle(first.withColumn("_base", F.lit(0).cast("bigint")), keys, "_d1")
+    below = null_safe_join(digits, first, [*keys, "_d1"])
+    second = below.groupBy(*keys, "_d1", "_d2").agg(F.sum("_c").alias("_bc"), F.max("n").alias("n"), F.max("_base").alias("_base"))
+    second = middle(second, [*keys, "_d1"], "_d2")
+    within = Window.partitionBy(*keys, "_d1", "_d2").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = null_safe_join(digits, second, [*keys, "_d1", "_d2"]).withColumn("_start", F.col("_base") + F.coalesce(F.sum("_c").over(within), F.lit(0)))
     end = F.col("_start") + F.col("_c")
     at_low = (F.col("_start") <= low) & (low < end)
     at_high = (F.col("_start") <= high) & (high < end)

@@ -6,7 +6,7 @@ the same rules serve files, tables and streams.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,8 +131,8 @@ def read_schemes(spark: SparkSession, path: str) -> DataFrame:
 # --- observations --------------------------------------------------------------------------------
 
 
-def parse_observations(raw: DataFrame) -> DataFrame:
-    """A5: blank lines are skipped; any other line that does not parse stops the job."""
+def _observed(raw: DataFrame) -> tuple[DataFrame, Column]:
+    """Lines that are not blank, parsed, and whether a line is whole."""
     rows = raw.filter(strip(F.col("value")) != "")
     parsed = rows.withColumn("_o", F.from_json("value", SC.OBSERVATION, {"mode": "PERMISSIVE"}))
     whole = F.col("_o").isNotNull()
@@ -141,10 +141,20 @@ def parse_observations(raw: DataFrame) -> DataFrame:
     for name in ("engine_mark_A", "engine_mark_B", "second_human_mark", "ocr_confidence"):
         # A value that is there but is no number is bad, not missing.
         whole = whole & (F.col(f"_o.{name}").isNotNull() | F.get_json_object("value", f"$.{name}").isNull())
+    return parsed, F.coalesce(whole, F.lit(False))
+
+
+def parse_observations(raw: DataFrame) -> DataFrame:
+    """A5: blank lines are skipped; any other line that does not parse stops the job."""
+    parsed, whole = _observed(raw)
     checked = require(parsed, whole, F.concat(F.lit("bad observation: "), F.col("value")))
+    return _observations(checked, [c for c in raw.columns if c != "value"])
+
+
+def _observations(parsed: DataFrame, kept: list[str]) -> DataFrame:
     o = F.col("_o")
-    return checked.select(
-        *[c for c in raw.columns if c != "value"],
+    return parsed.select(
+        *kept,
         o["script_id"].alias("script_id"),
         o["question_number"].alias("question_number"),
         o["max_marks"].alias("max_marks"),
@@ -158,8 +168,32 @@ def parse_observations(raw: DataFrame) -> DataFrame:
     )
 
 
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of the lines that do not parse, numbered from 1.
+
+    Lines are counted per split of a file, and what the splits before it hold is added up from one row per split, so a
+    file of any length is read in parallel. Rows keep the order of their split, which the running number follows.
+    """
+    at = ["_metadata.file_path", "_metadata.file_block_start"]
+    raw = spark.read.text(path).select("value", F.col(at[0]).alias("file"), F.col(at[1]).alias("block"), F.monotonically_increasing_id().alias("at"))
+    splits = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    parsed, whole = _observed(raw)
+    return parsed.filter(~whole).join(splits, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
-    return parse_observations(spark.read.text(path))
+    """A5: the first line that does not parse stops the job with its file and number.
+
+    Counting lines is a second pass that keeps one row per split.
+    """
+    parsed, whole = _observed(spark.read.text(path))
+    good = _observations(parsed.filter(whole), [])
+    first = bad_lines(spark, path).agg(F.min(F.struct("file", "line", "value")).alias("b")).filter("b is not null")
+    said = F.concat(F.lit("bad observation: "), F.col("b.file"), F.lit(", line "), F.col("b.line").cast("string"), F.lit(": "), F.col("b.value"))
+    stopped = first.filter(F.raise_error(said).cast("boolean"))  # a filter, which no reader of fewer columns prunes
+    return good.unionByName(stopped.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in good.schema]))
 
 
 # --- transcriptions --------------------------------------------------------------------------------

@@ -147,6 +147,25 @@ def test_mastery_boundaries(spark):
 # --- retrieval, contamination ------------------------------------------------------------------
 
 
+def test_a_bad_observation_is_named_by_file_and_line(spark, tmp_path):
+    good = '{"script_id": "s%d", "question_number": "1", "max_marks": 5, "human_mark": 2}'
+    for name, bad in (("a", []), ("b", [1503, 1700])):
+        lines = [good % i if i % 7 else "" for i in range(2000)]
+        for at in bad:
+            lines[at - 1] = '{"script_id": 3'
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+    try:
+        assert RD.read_observations(spark, f"{tmp_path}/a.jsonl").count() == sum(1 for i in range(2000) if i % 7)
+        found = [(r.file.rsplit("/", 1)[1], r.line) for r in RD.bad_lines(spark, str(tmp_path)).orderBy("file", "line").collect()]
+        assert found == [("b.jsonl", 1503), ("b.jsonl", 1700)]
+        with pytest.raises(Exception, match=r"b.jsonl, line 1503: "):
+            RD.read_observations(spark, str(tmp_path)).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_nearest_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(R, "QUERY_CELL", 7)
     monkeypatch.setattr(R, "VECTOR_CELL", 11)
