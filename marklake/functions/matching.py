@@ -7,27 +7,49 @@ from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
-from functools import lru_cache
+
+import numpy as np
 
 FUZZY_RATIO = 0.88
 
 
-@lru_cache(maxsize=4096)
-def _matcher_bounds(word: str) -> tuple[int, dict[str, int]]:
-    count: dict[str, int] = {}
-    for c in word:
-        count[c] = count.get(c, 0) + 1
-    return len(word), count
+class Spelling:
+    """Words as vectors of how often they hold each letter, to tell for many pairs at once which can be near-equal.
+
+    The ratio of matching blocks is at most twice the letters in common over all letters; letters share bins, which only
+    raises that bound. One for each batch of rows: it keeps every word it has met.
+    """
+
+    BINS = 64
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.letters = np.zeros((1024, self.BINS), np.uint8)
+        self.lengths = np.zeros(1024, np.int32)
 
+    def number(self, words: list[str]) -> np.ndarray:
+        for word in words:
+            if word not in self.numbers:
+                n = self.numbers[word] = len(self.numbers)
+                if n == len(self.lengths):
+                    self.letters, self.lengths = np.concatenate([self.letters, np.zeros_like(self.letters)]), np.append(self.lengths, np.zeros_like(self.lengths))
+                codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4") % self.BINS
+                self.letters[n], self.lengths[n] = np.minimum(np.bincount(codes, minlength=self.BINS), 255), len(word)
+        return np.fromiter((self.numbers[w] for w in words), np.int64, len(words))
 
-def similar(a: str, b: str) -> float:
-    """Ratio of matching blocks; 0 where two cheap upper bounds already rule it out."""
-    total = len(a) + len(b)
-    if not total or 2.0 * min(len(a), len(b)) / total < FUZZY_RATIO:
-        return 0.0
-    (_, x), (_, y) = _matcher_bounds(a), _matcher_bounds(b)
-    if 2.0 * sum(min(n, y.get(c, 0)) for c, n in x.items()) / total < FUZZY_RATIO:
-        return 0.0
+    def possible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which words of `b` each word of `a` can be near-equal to, by their numbers."""
+        x, y = self.lengths[a][:, None], self.lengths[b][None, :]
+        total = x + y
+        out = (2.0 * np.minimum(x, y) >= FUZZY_RATIO * total) & (total > 0)
+        i, j = np.nonzero(out)
+        common = np.minimum(self.letters[a[i]], self.letters[b[j]]).sum(1, dtype=np.int32)
+        long = np.maximum(x[i, 0], y[0, j]) > 255
+        out[i, j] = long | (2.0 * common >= FUZZY_RATIO * total[i, j] - 1e-9)
+        return out
+
+
+def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
@@ -81,7 +103,8 @@ _PLAIN = re.compile(r"[^a-z0-9]")
 class Snippets:
     """Finds the passage of an answer that shows a concept."""
 
-    def __init__(self, answer: str, synonyms: dict[str, list[str]]):
+    def __init__(self, answer: str, synonyms: dict[str, list[str]], spelling: Spelling):
+        self.spelling, self.numbers = spelling, None
         self.text = answer.lower()
         self.tokens = self.text.split()
         self.plain = [_PLAIN.sub("", t) for t in self.tokens]
@@ -104,9 +127,10 @@ class Snippets:
             at = self.text.find(other)
             if at >= 0:
                 return words_around(self.text, at, at + len(other)), round(confidence * 0.95, 2)
-        for at, token in enumerate(self.plain):
-            if len(token) >= 3:
-                ratio = similar(term, token)
-                if ratio >= FUZZY_RATIO:
-                    return self._tokens_around(at), round(ratio, 2)
+        if self.numbers is None:
+            self.numbers = self.spelling.number(self.plain)
+        for at in np.flatnonzero(self.spelling.possible(self.spelling.number([term]), self.numbers)[0]):
+            token = self.plain[at]
+            if len(token) >= 3 and (sure := ratio(term, token)) >= FUZZY_RATIO:
+                return self._tokens_around(int(at)), round(sure, 2)
         return "", 0.0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import types as T
 
 from marklake.functions import lexicon as X
 from marklake.functions import text as TX
-from marklake.functions.matching import FUZZY_RATIO, Snippets, similar
+from marklake.functions.matching import FUZZY_RATIO, Snippets, Spelling, ratio
 from marklake.functions.numeric import clamp, round_even, rounded
 from marklake.schemas import EVIDENCE_ITEM, require
 
@@ -19,9 +20,14 @@ AUTO_PREFIX = "Coverage of expected concept: "
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def fuzzy_present(concepts: pa.Array, tokens: pa.Array) -> pa.Array:
     """Concepts with a token of near-equal spelling (the only leg that needs Python)."""
-    out = []
+    out, spelling = [], Spelling()
     for wanted, have in zip(concepts.to_pylist(), tokens.to_pylist()):
-        out.append([c for c in wanted or () if any(similar(c, t) >= FUZZY_RATIO for t in have or ())])
+        near: list[str] = []
+        if wanted and have:
+            numbers = spelling.number([*wanted, *have])
+            possible = spelling.possible(numbers[: len(wanted)], numbers[len(wanted) :])
+            near = [c for c, row in zip(wanted, possible) if any(ratio(c, have[j]) >= FUZZY_RATIO for j in np.flatnonzero(row))]
+        out.append(near)
     return pa.array(out, pa.list_(pa.string()))
 
 
@@ -288,11 +294,11 @@ _ITEM = pa.list_(pa.struct([("concept", pa.string()), ("matched_text", pa.string
 @F.arrow_udf(T.ArrayType(EVIDENCE_ITEM))
 def evidence_snippets(answer: pa.Array, concepts: pa.Array, criteria: pa.Array, confidence: pa.Array) -> pa.Array:
     """One snippet per matched concept, one per met criterion (its first term found), keep-first."""
-    out = []
+    out, spelling = [], Spelling()
     for text, wanted, terms, base in zip(*(a.to_pylist() for a in (answer, concepts, criteria, confidence))):
         found: dict[str, dict] = {}
         if (text or "").strip():
-            finder = Snippets(text, X.SYNONYMS)
+            finder = Snippets(text, X.SYNONYMS, spelling)
 
             def keep(term: str) -> bool:
                 snippet, sure = finder.find(term, base)

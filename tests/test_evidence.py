@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from marklake.functions.matching import similar, word_edits, word_error_rate, words_around
+from marklake.functions.matching import FUZZY_RATIO, Spelling, ratio, word_edits, word_error_rate, words_around
 from marklake.functions.phrases import Scheme, densest_window, fold_all
 from marklake.operators import evidence as E
 from marklake.operators import marks as M
@@ -139,7 +139,7 @@ def test_scattered_words_are_not_evidence():
 
 
 def test_small_helpers():
-    assert similar("photosynthesis", "photosynthesys") > 0.88 and similar("abc", "xyzxyz") == 0.0
+    assert ratio("photosynthesis", "photosynthesys") > 0.88
     assert word_error_rate("a b c d", "a x c") == 0.5 and word_error_rate("", "") == 0.0 and word_error_rate("", "a") == 1.0
     assert words_around("one two three four five", 8, 13) == "three four"
 
@@ -213,3 +213,15 @@ def test_word_edits_equal_the_table():
             for j, other in enumerate(hyp, 1):
                 corner, row[j] = row[j], corner if word == other else 1 + min(corner, row[j], row[j - 1])
         assert word_edits(ref, hyp) == row[-1]
+
+
+def test_possible_words_hold_all_near_ones():
+    rng = random.Random(15)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(0, 12))) for _ in range(150)] + ["a" * 300, "a" * 299 + "b", "b" * 300]
+    words += [w[:3] + rng.choice("xy") + w[3:] for w in words]
+    spelling = Spelling()
+    numbers = spelling.number(words)
+    possible = spelling.possible(numbers, numbers)
+    near = [[ratio(a, b) >= FUZZY_RATIO for b in words] for a in words]
+    assert all(not near[i][j] or possible[i][j] or not words[i] for i in range(len(words)) for j in range(len(words)))
+    assert possible.sum() < 3 * sum(map(sum, near))
