@@ -126,8 +126,8 @@ def score_answers(answers: DataFrame, scheme: DataFrame, evidence: DataFrame) ->
 _RULE = "-" * 66
 
 
-def derivations(points: DataFrame, marks: DataFrame, answers: DataFrame) -> DataFrame:
-    """The written derivation of each mark, with evidence quotes.
+def derivations(points: DataFrame, marks: DataFrame, answers: DataFrame, quote_width: int | None = None, text_width: int | None = None) -> DataFrame:
+    """The written derivation of each mark, with evidence quotes; whole ones, or cut to the given widths.
 
     ``points`` is the stored result of ``join_evidence`` (it is read three times);
     ``answers`` also holds answer_text.
@@ -135,12 +135,12 @@ def derivations(points: DataFrame, marks: DataFrame, answers: DataFrame) -> Data
     keys = ["answer_id", "question_id"]
     lines = award_lines(points, keys, "position").join(answers.select(*keys, "answer_text"), keys)
     raw = F.trim(F.expr("substring(answer_text, span_start + 1, span_end - span_start)"))
-    quote = F.when(F.length(raw) > 72, F.concat(F.substring(raw, 1, 69), F.lit("..."))).otherwise(raw)
+    quote = raw if quote_width is None else F.when(F.length(raw) > quote_width, F.concat(F.substring(raw, 1, quote_width - 3), F.lit("..."))).otherwise(raw)
     head = F.format_string(
         "  %s %-8s %-38s %s/%s",
         F.when(F.col("matched"), "[X]").otherwise("[ ]"),
         F.col("value_point_id"),
-        F.substring("text", 1, 38),
+        F.col("text") if text_width is None else F.substring("text", 1, text_width),
         fmt_g(F.col("awarded")),
         fmt_g(F.col("marks")),
     )

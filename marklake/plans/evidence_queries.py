@@ -164,7 +164,7 @@ def a4_scheme_rows(spark, d):
 
 _VEC = """vec AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
  edge AS (SELECT label, min(vec_id) AS lo, max(vec_id) AS hi FROM vec GROUP BY label),
- vp AS (SELECT v.label, v.vec_id, v.e FROM vec v JOIN edge USING (label) WHERE v.vec_id IN (lo, hi))"""
+ vp AS (SELECT v.label, v.vec_id, v.e FROM vec v JOIN edge USING (label) WHERE v.vec_id IN (lo, hi) OR v.vec_id % 50 = 0)"""
 
 
 def _vectors(spark, d):
@@ -172,9 +172,10 @@ def _vectors(spark, d):
 
 
 def _edge_vectors(spark, d):
+    """Vectors that stand for value points: of each label the first, the last and every fiftieth."""
     v = _vectors(spark, d)
     edge = v.groupBy("label").agg(F.min("vec_id").alias("lo"), F.max("vec_id").alias("hi"))
-    return v.join(edge, "label").filter((F.col("vec_id") == F.col("lo")) | (F.col("vec_id") == F.col("hi")))
+    return v.join(edge, "label").filter((F.col("vec_id") == F.col("lo")) | (F.col("vec_id") == F.col("hi")) | (F.col("vec_id") % 50 == 0))
 
 
 @query(

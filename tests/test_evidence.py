@@ -55,6 +55,8 @@ def test_derivation_names_cap_and_quotes(frames):
     assert "matched, but outside the best 2 for this group" in got[4]
     assert '"mercury"' in got[1] and "TOTAL: 1 / 1" in got[1]
     assert "TOTAL: 0 / 3" in got[9]
+    cut = {r.answer_id: r.derivation for r in M.derivations(points, M.question_marks(points, ["answer_id", "question_id"]), answers, 6, 4).collect()}
+    assert "electric wires" in got[4] and "electric wires" not in cut[4] and '"mer..."' in cut[1]
 
 
 def test_probes_report_known_weakness(frames):
