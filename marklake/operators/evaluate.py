@@ -7,6 +7,8 @@ its inputs and outputs, so a job can write and re-read a table at each of them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from marklake.functions import text as TX
 from marklake.functions.numeric import fmt_float, percent, rounded
 from marklake.operators import autonomous as AU
 from marklake.operators import confidence as C
+from marklake.operators import contamination as CT
 from marklake.operators import evidence as E
 from marklake.operators import feedback as FB
 from marklake.operators import learning as L
@@ -148,17 +151,76 @@ def submission_analytics(questions: DataFrame, semantic: bool = False) -> DataFr
     return L.analyze(q, ["submission_id"], "question_order")
 
 
-def grade_by_value_points(regions: DataFrame, schemes: DataFrame) -> DataFrame:
+def with_curriculum(questions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """C15 in the lineage: each evaluated question takes the topic and chapter that retrieval found for its text.
+
+    ``contexts``: question_text, topic, chapter, retrieval_score, one row per text. A question without context, or whose
+    context names no topic, stays in the default one.
+    """
+    found = contexts.select("question_text", F.nullif("topic", F.lit("")).alias("topic_context"), F.nullif("chapter", F.lit("")).alias("chapter_context"), "retrieval_score")
+    return questions.join(found, "question_text", "left")
+
+
+def cross_check(primary: DataFrame, secondary: DataFrame) -> DataFrame:
+    """C11 in the lineage: two evaluations of the same answered questions, and whether a human has to look at them."""
+    keys = ["submission_id", "label"]
+    other = secondary.select(
+        *keys, F.col("score_awarded").alias("score"), F.col("confidence").alias("secondary_confidence"), F.col("missing_concepts").alias("secondary_missing")
+    )
+    return C.verify(primary.select(*keys, "score_awarded", "confidence", "missing_concepts"), other, keys)
+
+
+def grade_by_value_points(regions: DataFrame, schemes: DataFrame, paper: DataFrame | None = None) -> DataFrame:
     """Deterministic grading of regions: outcome, total and maximum per region.
 
     ``regions`` come from ``segment_scripts`` (with text); only routable regions that a
-    scheme covers are matched and scored.
+    scheme covers are matched and scored. ``paper`` holds the printed questions
+    (question_number, question_text, part_header, instruction): scored questions whose
+    scheme entry does not fit them are flagged, none where no paper was read.
     """
-    flagged = regions.withColumn("has_flags", F.col("contains_struck_out"))
+    marked = regions.withColumn("has_flags", F.col("contains_struck_out"))
     heads = schemes.select("question_number", F.col("question_id").cast("string").alias("question_id"), "max_marks")
-    outcomes = M.region_outcomes(flagged, heads).withColumn("answer_id", F.xxhash64("script_id", "region_no"))
+    outcomes = M.region_outcomes(marked, heads).withColumn("answer_id", F.xxhash64("script_id", "region_no"))
     answers = outcomes.filter("outcome = 'scored'").select("answer_id", "question_id", F.col("text").alias("answer_text"))
     totals = M.score_answers(answers, E.scheme_rows(schemes), E.text_evidence(answers, schemes)).select("answer_id", "total", "uncalibrated")
-    return outcomes.join(totals, "answer_id", "left").select(
-        "script_id", "region_no", "question_number", "status", "outcome", "reason", "total", "max_marks", "uncalibrated"
+    out = outcomes.join(totals, "answer_id", "left")
+    if paper is None:
+        out = out.withColumn("flagged", F.lit(False))
+    else:
+        wrong = scheme_checks(schemes, paper).filter("flagged").select("question_number", F.lit(True).alias("flagged"))
+        out = out.join(wrong, "question_number", "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))
+    return out.select(
+        "script_id", "region_no", "question_number", "status", "outcome", "reason", "total", "max_marks", "uncalibrated", "flagged", "first_page", "last_page", "has_flags"
     )
+
+
+def scheme_checks(schemes: DataFrame, paper: DataFrame) -> DataFrame:
+    """C10 for a scheme in its document form: one row per scheme question, variants counted as its words too."""
+    texts = F.flatten(F.transform("value_points", lambda p: F.concat(F.array(p["text"]), F.coalesce(p["acceptable_variants"], TX.no_strings()))))
+    entries = schemes.select("question_number", "question_text", texts.alias("value_texts"), "max_marks")
+    return CT.check_scheme_against_paper(entries, paper, ["question_number"])
+
+
+def coverage_notes(outcomes: DataFrame, pages: DataFrame, checks: DataFrame | None = None, low: float = 0.7) -> DataFrame:
+    """What was not marked, or not safely, as rows (script_id, note, detail); a run over many scripts has one set each.
+
+    ``outcomes`` come from ``grade_by_value_points``; ``pages``: script_id, page_number, confidence, error (null where the
+    page was transcribed). ``checks`` are those of the scheme against the paper, null where no paper was read. Notes about
+    the scheme as a whole have no script.
+    """
+    on = F.concat(F.lit("Q"), F.coalesce("question_number", F.lit("?")), F.lit(" on page(s) "), F.concat_ws(" to ", F.col("first_page").cast("string"), F.when(F.col("last_page") > F.col("first_page"), F.col("last_page").cast("string"))))
+    note = lambda df, name, detail: df.select("script_id", F.lit(name).alias("note"), detail.alias("detail"))
+    routed, page = outcomes.filter("outcome = 'routed'"), F.concat(F.lit("page "), F.col("page_number").cast("string"), F.lit(": "))
+    parts = [
+        note(pages.filter("error IS NOT NULL"), "page not transcribed", F.concat(page, "error")),
+        note(routed, "routed to a human, not marked", F.concat(on, F.lit(": "), "reason")),
+        note(outcomes.filter("outcome = 'no_scheme'"), "no entry in the scheme: not scored, and not scored as zero", F.concat(F.lit("Q"), "question_number")),
+        note(routed.filter("has_flags"), "non-text or struck-out content", on),
+        note(pages.filter(F.col("error").isNull() & (F.col("confidence") < low)), "low self-reported legibility", F.concat(page, F.format_number("confidence", 2))),
+    ]
+    if checks is None:
+        parts.append(note(outcomes.select("script_id").distinct(), "the paper could not be checked against the scheme", F.lit("paper not read")))
+    else:
+        wrong = checks.filter("flagged").withColumn("script_id", F.lit(None).cast(dict(outcomes.dtypes)["script_id"]))
+        parts.append(note(wrong, "scheme entry does not match the paper: its marks are not defensible", F.concat(F.lit("Q"), "question_number")))
+    return reduce(DataFrame.unionByName, parts)

@@ -466,7 +466,7 @@ def c8_nearest_vectors(spark, d):
 _TYPES = ["Subject", "Chapter", "Topic", "Question", "ReferenceAnswer", "Rubric"]
 
 
-def _typed_hits(spark, d):
+def typed_hits(spark, d):
     v = _vectors(spark, d)
     kind = F.array(*[F.lit(t) for t in _TYPES])[(F.col("vec_id") % 6).cast("int")]
     docs = v.select(F.col("vec_id").alias("document_id"), "embedding", kind.alias("document_type"), F.concat(F.lit("text "), F.col("vec_id").cast("string")).alias("content"))
@@ -483,12 +483,12 @@ def _typed_hits(spark, d):
  coalesce(max(content) FILTER (WHERE k=4), '') AS reference_answer, coalesce(max(content) FILTER (WHERE k=5), '') AS rubric FROM f WHERE rn = 1 GROUP BY 1""",
 )
 def e8_first_per_type(spark, d):
-    return R.first_per_type(_typed_hits(spark, d)[0])
+    return R.first_per_type(typed_hits(spark, d)[0])
 
 
 @query("c15_curriculum_context")
 def c15_curriculum_context(spark, d):
-    hits, queries = _typed_hits(spark, d)
+    hits, queries = typed_hits(spark, d)
     science = F.when(F.col("document_id") % 4 == 0, F.lit("science")).otherwise(F.lit("structure"))
     hits = hits.withColumn("content", F.concat("content", F.lit(" "), science)).join(queries.select("query_id", "query_text"), "query_id")
     hints = queries.select("query_id", "query_text", F.when(F.col("query_id") % 2 == 0, "DSA").otherwise("").alias("subject_hint"))
