@@ -149,7 +149,10 @@ def h6_lexical_alignment(spark, d):
     return p.select("answer_id", TX.lexical_alignment(F.col("expected"), F.col("terms")).alias("alignment"))
 
 
-_SEG = "list_filter(list_transform(string_split_regex(text, '[.!?;\\n]+'), lambda s: trim(s, e' \\t\\n\\r')), lambda s: length(s) >= 3 AND NOT regexp_full_match(s, '\\p{Nd}+'))"
+_WHITE = "[\\t-\\r\\x{85}\\p{Z}]"
+_SEG = f"""(SELECT CASE WHEN len(kept) > 0 THEN kept WHEN whole <> '' THEN [whole] ELSE []::VARCHAR[] END
+ FROM (SELECT list_filter(list_transform(string_split_regex(text, '[.!?;\\n]+'), lambda s: regexp_replace(s, '^{_WHITE}+|{_WHITE}+$', '', 'g')), lambda s: length(s) >= 3 AND NOT regexp_full_match(s, '\\p{{Nd}}+')) AS kept,
+ regexp_replace(text, '^{_WHITE}+|{_WHITE}+$', '', 'g') AS whole))"""
 
 
 @query("h13_segments", f"SELECT doc_id, len(s) AS n, array_to_string(s, '|') AS segments FROM (SELECT doc_id, {_SEG} AS s FROM documents)")
