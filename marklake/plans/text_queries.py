@@ -163,8 +163,9 @@ def h13_segments(spark, d):
 
 @query(
     "f4_longest_segments",
-    f"""SELECT doc_id, string_agg(seg, '|' ORDER BY length(seg) DESC, i) AS segments FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(seg) DESC, i) AS rn FROM (
- SELECT doc_id, unnest(s) AS seg, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, {_SEG} AS s FROM documents))) WHERE rn <= 3 GROUP BY doc_id""",
+    f"""SELECT d.doc_id, coalesce(string_agg(x.seg, '|' ORDER BY length(x.seg) DESC, x.i), '') AS segments FROM documents d LEFT JOIN (
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(seg) DESC, i) AS rn FROM (
+ SELECT doc_id, unnest(s) AS seg, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, {_SEG} AS s FROM documents))) WHERE rn <= 3) x ON x.doc_id = d.doc_id GROUP BY d.doc_id""",
 )
 def f4_longest_segments(spark, d):
     out = docs(spark, d).select("doc_id", F.array_join(TX.longest_first(TX.segments(F.col("text")), 3), "|").alias("segments"))

@@ -22,3 +22,7 @@ TEXTS = [(1, "Re."), (2, " 12. "), (3, " \n "), (4, None), (5, ""), (6, "12345")
 
 def test_text_without_segments_is_its_own_segment(spark, tmp_path):
     agrees(spark, tmp_path, "h13_segments", documents=(TEXTS, "doc_id long, text string"))
+
+
+def test_longest_segments_of_text_without_any(spark, tmp_path):
+    agrees(spark, tmp_path, "f4_longest_segments", documents=(TEXTS, "doc_id long, text string"))
