@@ -234,7 +234,8 @@ def a14_after_deletes(spark, d):
 
 
 def _stream(spark, d, name):
-    return J.file_stream(spark, V.table(spark, d, name).schema, d, f"{name}.parquet")
+    """A table as a stream: one file, or a folder of files. Spark takes a path of one file only as a pattern."""
+    return J.file_stream(spark, V.table(spark, d, name).schema, d, f"{{{name}}}.parquet")
 
 
 @query(

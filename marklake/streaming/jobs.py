@@ -23,13 +23,8 @@ GENERIC_FAILURE = "Evaluation failed. Please try again."
 
 
 def file_stream(spark: SparkSession, schema: T.StructType, folder: str, pattern: str, files_per_batch: int = 100) -> DataFrame:
-    """Parquet files that arrive in a folder, a bounded number per micro-batch."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+    """Parquet files that arrive in a folder, a bounded number per micro-batch; `pattern` names files, or folders of files."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{pattern}")
 
 
 def run_available(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:

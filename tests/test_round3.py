@@ -26,3 +26,9 @@ def test_text_without_segments_is_its_own_segment(spark, tmp_path):
 
 def test_longest_segments_of_text_without_any(spark, tmp_path):
     agrees(spark, tmp_path, "f4_longest_segments", documents=(TEXTS, "doc_id long, text string"))
+
+
+def test_increments_of_a_table_in_a_folder_of_files(spark, tmp_path):
+    texts = [(i, f"The count is {i} and the passage number {i} has quite some words. " * (i % 3)) for i in range(40)]
+    items = [(i, f"passage number {i} has some words.\nThe count is {i}.") for i in range(5)]
+    agrees(spark, tmp_path, "s1_incremental_grading", documents=(texts, "doc_id long, text string"), benchmark=(items, "item_id long, text string"))
