@@ -172,9 +172,12 @@ def history_consistency(history: DataFrame, keys: list[str], chunk: str, order:
 
     The running count, sum and sum of squares are carried chunk by chunk, so a
     long history is not one task's work. They are taken of the distance from the key's
-    mean, so that large scores that differ little do not cancel.
+    first score, so that large scores that differ little do not cancel, and equal ones
+    have no deviation at all. The distance from the mean and the deviation are taken n times, without a division
+    before the last: on scores of halves, say, the result is rounded once.
     """
-    centre = checkpointed(history.groupBy(*keys).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("_centre")))
+    told = F.when(F.col(value).isNotNull(), F.struct(*[F.col(c) if isinstance(c, str) else c for c in order], F.col(value).alias("_first")))
+    centre = checkpointed(history.groupBy(*keys).agg(F.coalesce(F.min(told)["_first"], F.lit(0.0)).alias("_centre")))
     v = F.col(value) - F.col("_centre")
     ran = before(
         null_safe_join(history, centre, keys),
@@ -188,9 +191,8 @@ def history_consistency(history: DataFrame, keys: list[str], chunk: str, order:
         },
     )
     n = F.coalesce("past_n", F.lit(0))
-    mean = F.col("_s") / n
-    deviation = F.sqrt(F.greatest(F.lit(0.0), (n * F.col("_ss") - F.col("_s") * F.col("_s")))) / n
-    z = F.when((n >= 3) & (deviation > 0), F.abs(F.coalesce(v, -F.col("_centre")) - mean) / deviation)
+    spread = F.greatest(F.lit(0.0), n * F.col("_ss") - F.col("_s") * F.col("_s"))
+    z = F.when((n >= 3) & (spread > 0), F.abs(n * F.coalesce(v, -F.col("_centre")) - F.col("_s")) / F.sqrt(spread))
     return (
         ran.withColumn("past_n", n).withColumn("z_score", z).withColumn("consistent", F.coalesce(F.col("z_score") <= 3.0, F.lit(True))).drop("_s", "_ss", "_centre")
     )

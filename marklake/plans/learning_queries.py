@@ -471,8 +471,8 @@ def d28_exam_medians(spark, d):
     with_views(
         "subs",
         """SELECT submission_id, student_id, past_n, round(z, 6) AS z_score, coalesce(z <= 3, true) AS consistent FROM (
- SELECT *, CASE WHEN past_n >= 3 AND sd > 0 THEN abs(coalesce(obtained_marks,0) - mean)/sd END AS z FROM (
- SELECT *, s/past_n AS mean, sqrt(greatest(0, past_n*ss - s*s))/past_n AS sd FROM (
+ SELECT *, CASE WHEN past_n >= 3 AND spread > 0 THEN abs(past_n*coalesce(obtained_marks,0) - s)/sqrt(spread) END AS z FROM (
+ SELECT *, greatest(0, past_n*ss - s*s) AS spread FROM (
  SELECT submission_id, student_id, obtained_marks, count(obtained_marks) OVER w AS past_n, sum(obtained_marks) OVER w AS s, sum(obtained_marks*obtained_marks) OVER w AS ss
  FROM subs WINDOW w AS (PARTITION BY student_id ORDER BY updated_at, submission_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))))""",
     ),
