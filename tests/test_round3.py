@@ -3,9 +3,11 @@
 import math
 
 import duckdb
+import numpy as np
 from compare import run_pair
 
 from marklake.operators import audit as A
+from marklake.operators import retrieval as R
 from marklake.plans import registry
 
 
@@ -49,3 +51,27 @@ def test_equal_scores_deviate_by_nothing_and_a_tie_with_the_threshold_is_consist
     assert got[(1, 3)] == (None, True)
     assert got[(2, 5)] == (3.0, True) and got[(3, 5)][1] is False
     assert got[(4, 6)] == (7.0 / math.sqrt(2.0), False)
+
+
+def test_a_query_moves_once_per_block_and_ties_go_to_the_lower_id(spark, monkeypatch):
+    """Directions without clusters, thousands of equal vectors, opposite ones (score 0) and one without a direction."""
+    monkeypatch.setattr(R, "VECTOR_CELL", 900)
+    draw = np.random.default_rng(8)
+    v = draw.normal(size=(6000, 16)).round(3)
+    v[1000:3500] = v[0]
+    v[5990:] = -v[0]
+    v[40] = 0.0
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in draw.permutation(6000).tolist()], "document_id int, embedding array<double>").repartition(4)
+    asked = [0, 1, 40, 1200, 3600, 5995]
+    queries = df.filter(df.document_id.isin(asked)).withColumnRenamed("document_id", "query_id")
+    space = R.Neighbours(df, ["document_id"])
+    assert len(set(space.block.tolist())) < len(space.block) <= 12
+    got = {}
+    for r in space.search(queries, 20)[0].collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.document_id, r.score))
+    norm = np.linalg.norm(v, axis=1)
+    assert set(got) == set(asked) - {40}
+    for i in got:
+        score = np.round(np.clip(np.divide(v @ v[i], norm * norm[i], out=np.zeros(6000), where=norm > 0), 0, 1), 6)
+        want = np.lexsort((np.arange(6000), -score))[:20]
+        assert [(d, s) for _, d, s in sorted(got[i])] == [(int(j), score[j]) for j in want]
