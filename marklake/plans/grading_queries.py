@@ -78,7 +78,7 @@ def graded_cross_checked(spark, d):
 def graded_topics(spark, d):
     """Mastery per topic of the curriculum that retrieval finds for each question; a question's vector is that of its item's id."""
     items = V.table(spark, d, "benchmark").select("item_id", F.concat("text", F.lit(" [5 marks]")).alias("question_text"))
-    hits, queries = EQ.typed_hits(spark, d)
+    hits, queries = EQ.typed_hits(spark, d, items.select(F.col("item_id").alias("query_id")))
     asked = queries.join(items, queries["query_id"] == items["item_id"])
     hints = asked.select("query_id", F.col("question_text").alias("query_text"), F.when(F.col("item_id") % 2 == 0, "History").otherwise("").alias("subject_hint"))
     found = R.curriculum_context(hits.drop("query_text").join(hints.select("query_id", "query_text"), "query_id"), hints)

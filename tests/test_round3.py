@@ -8,6 +8,7 @@ from compare import run_pair
 
 from marklake.operators import audit as A
 from marklake.operators import retrieval as R
+from marklake.plans import evidence_queries as EQ
 from marklake.plans import registry
 
 
@@ -75,3 +76,12 @@ def test_a_query_moves_once_per_block_and_ties_go_to_the_lower_id(spark, monkeyp
         score = np.round(np.clip(np.divide(v @ v[i], norm * norm[i], out=np.zeros(6000), where=norm > 0), 0, 1), 6)
         want = np.lexsort((np.arange(6000), -score))[:20]
         assert [(d, s) for _, d, s in sorted(got[i])] == [(int(j), score[j]) for j in want]
+
+
+def test_only_the_questions_asked_are_searched(spark):
+    folder = "/root/testdata/sf0.001"
+    asked = spark.createDataFrame([(i,) for i in (3, 50, 7)], "query_id long")
+    some, queries = EQ.typed_hits(spark, folder, asked)
+    every, _ = EQ.typed_hits(spark, folder)
+    rows = lambda df: sorted((r.query_id, r.document_id, r.score) for r in df.collect())
+    assert queries.count() == 3 and rows(some) == rows(every.join(asked, "query_id", "left_semi"))
