@@ -121,8 +121,10 @@ def submission_feedback(questions: DataFrame, totals: DataFrame, keys: list[str]
     """Strengths, weaknesses, improvements, study topics and summary per submission.
 
     ``totals``: keys, total_score, max_possible. ``questions`` may carry missing_concepts.
-    All four lists come from one keep-first pass over (submission, kind).
+    All four lists come from one keep-first pass over (submission, kind). The questions of a key are brought together
+    once, before they become texts: no later step moves them.
     """
+    questions = questions.repartition(*keys)
     items = _items(rubric_rows(questions, keys), keys)
     if "missing_concepts" in questions.columns:
         items = items.unionByName(_missing_items(questions, keys))

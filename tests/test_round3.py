@@ -7,6 +7,7 @@ import numpy as np
 from compare import run_pair
 
 from marklake.operators import audit as A
+from marklake.operators import feedback as FB
 from marklake.operators import retrieval as R
 from marklake.plans import evidence_queries as EQ
 from marklake.plans import registry
@@ -85,3 +86,14 @@ def test_only_the_questions_asked_are_searched(spark):
     every, _ = EQ.typed_hits(spark, folder)
     rows = lambda df: sorted((r.query_id, r.document_id, r.score) for r in df.collect())
     assert queries.count() == 3 and rows(some) == rows(every.join(asked, "query_id", "left_semi"))
+
+
+def test_feedback_moves_the_questions_of_a_submission_once(spark):
+    point = "array<struct<criterion_id:string,description:string,allocated_marks:double,marks_awarded:double,met:boolean>>"
+    rows = [(s, f"{i}", i, [("c", f"Coverage of expected concept: cell wall {i % 3}", 4.0, float(i % 5), i % 2 == 0)]) for s in range(4) for i in range(9)]
+    questions = spark.createDataFrame(rows, f"submission_id long, question_number string, question_order long, rubric_points {point}")
+    totals = spark.createDataFrame([(s, 10.0, 36.0) for s in range(4)], "submission_id long, total_score double, max_possible double")
+    out = FB.submission_feedback(questions, totals, ["submission_id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+    assert all(len(r.strengths) == 3 for r in out.collect())
