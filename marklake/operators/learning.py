@@ -117,7 +117,8 @@ def ranked_advice(mastery: DataFrame, gaps: DataFrame, keys: list[str], most: in
         F.col("severity") == "HIGH", F.concat(F.lit("Focus on key missing concepts in '"), topic, F.lit("': "), listed(3), F.lit("."))
     ).when(F.col("severity") == "MEDIUM", F.concat(F.lit("Study specific details of "), listed(2), F.lit(" in '"), topic, F.lit("'.")))
     from_gaps = gaps.select(*keys, F.lit(4).alias("kind"), "first_seen", advice.alias("recommendation")).filter("recommendation is not null")
-    first = from_topics.unionByName(from_gaps).groupBy(*keys, "recommendation").agg(F.min(F.struct("kind", "first_seen")).alias("_rank"))
+    # A key has at most two rows a topic: they move once, and neither the rank nor what gathers a key's advice moves them again.
+    first = from_topics.unionByName(from_gaps).repartition(*keys).groupBy(*keys, "recommendation").agg(F.min(F.struct("kind", "first_seen")).alias("_rank"))
     position = F.row_number().over(Window.partitionBy(*keys).orderBy("_rank", "recommendation"))
     return first.withColumn("position", position).filter(F.col("position") <= most).select(*keys, "position", "recommendation")
 
