@@ -13,6 +13,12 @@ another one in it, never its pairs (of up to eight sets each pair); a larger one
 its four first ones. The groups so connected then get their full sets, each set once, and are compared exactly in their
 task: likest pairs first, pairs that are connected already not at all. A group too large for a task is compared node by node,
 and around each centre in parts, and what is linked there is joined by components.
+
+Branching gives a row that is like its centre one child a level and leaves large nodes at the last level, so it may part
+two sets for good. An exact check follows for those: in the large nodes of as many first trees as lose at most a
+thousandth of the pairs at the threshold (`exact_trees`), each set is compared with all sets that are not in its
+component yet, block by block, and what the sketch leaves is confirmed on full sets. Sets of the largest component of a
+node are not compared with each other, so a node of copies costs its size; one of unlike sets is quadratic.
 """
 
 from __future__ import annotations
@@ -32,6 +38,7 @@ TOKENS, SMALL, MINS = 64, 4096, 128
 LEVELS = (1, 1, 2, 2, 4, 4, 8)  # tokens by which each level branches
 KEPT, LOSS, MISS, MOST_TREES = 1.6, 0.001, 1e-7, 256
 CENTRES = 4
+BLOCK = 16  # parts of a group's size that meet in a task as sketches
 GROUP_SETS, GROUP_SHINGLES = 4096, 1 << 22
 SPLIT = 50_000
 _RNG = np.random.default_rng(20240917)
@@ -67,6 +74,11 @@ def trees_for(percent: int) -> int:
     return next((t for t in range(8, MOST_TREES) if loss(percent, t) <= LOSS), MOST_TREES)
 
 
+def exact_trees(percent: int) -> int:
+    """The fewest trees of whose first nodes a pair at the threshold shares none with a chance of at most LOSS."""
+    return next((t for t in range(1, MOST_TREES) if (1 - percent / 100) ** t <= LOSS), MOST_TREES)
+
+
 def apart(percent: int) -> int:
     """How many min-hashes may differ in their two bits: a pair at the threshold differs in more with a chance of at most MISS.
 
@@ -293,12 +305,19 @@ def _compared(percent: int, most: int, small: int, last: bool):
     return run
 
 
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal values as equal small numbers."""
+    return column.combine_chunks().dictionary_encode().indices.to_numpy()
+
+
 def _joined(table: pa.Table, percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sets of one group that are linked, each with the first of its component: confirmed on full sets."""
+    """Sets of one group that are linked, each with the first of its component: confirmed on full sets. Sets of one label
+    are connected from the start; a group of two sides is compared across them."""
     rows, k = _Rows(table), table.num_rows
     shingles = table.column("shingles").combine_chunks()
     flat, cuts = shingles.values.to_numpy().view(np.uint64), shingles.offsets.to_numpy()
-    root = np.arange(k)
+    label, side = _numbers(table.column("label")), table.column("side").to_numpy()
+    root = np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]]
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -317,7 +336,7 @@ def _joined(table: pa.Table, percent: int, most: int) -> tuple[np.ndarray, np.nd
     for i in range(0, k, 256):
         a, b = np.arange(i, min(i + 256, k))[:, None], np.arange(k)[None, :]
         gap = rows.differ(a, b)
-        x, y = np.nonzero((gap <= most) & rows.sized(a, b, percent) & (a < b))
+        x, y = np.nonzero((gap <= most) & rows.sized(a, b, percent) & (a < b) & (label[a] != label[b]) & ((side[a] == 0) | (side[a] != side[b])))
         for column, value in zip(near, (x + i, y, gap[x, y])):
             column.append(value)
     first, second, gap = (np.concatenate(c) for c in near)
@@ -364,6 +383,63 @@ def _confirmed(percent: int, most: int):
     return run
 
 
+_MET = pa.schema([("node", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("side", pa.int32()), ("s", pa.binary()), ("label", pa.binary())])
+
+
+def _met(percent: int, most: int):
+    """Rows sorted by pair of blocks to those that are like a row of another label, once for each pair of parts where one is."""
+
+    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.sort_by("n")
+        rows, label = _Rows(table), _numbers(table.column("label"))
+        part, side = table.column("part").to_numpy(), table.column("side").to_numpy()
+        one = side[0] == 0  # a block with itself
+        left = np.arange(len(side)) if one else np.flatnonzero(side == 1)
+        right = left if one else np.flatnonzero(side == 2)
+        n, wide = rows.n[right], int(part.max()) + 1
+        seen: list[np.ndarray] = []
+        for i in range(0, len(left), 256):
+            a = left[i : i + 256]
+            low = np.searchsorted(n * 100, rows.n[a[0]] * percent)
+            high = np.searchsorted(n * percent, rows.n[a[-1]] * 100, "right")
+            for j in range(low, high, 8192):
+                b = right[j : min(j + 8192, high)]
+                like = (label[a][:, None] != label[b][None, :]) & rows.sized(a[:, None], b[None, :], percent)
+                like &= rows.differ(a[:, None], b[None, :]) <= most
+                x, y = np.nonzero(like)
+                x, y = a[x], b[y]
+                keep = x < y if one else slice(None)
+                x, y = x[keep], y[keep]
+                if len(x):
+                    pair = np.minimum(part[x], part[y]) * wide + np.maximum(part[x], part[y])
+                    seen.append(np.unique(np.stack([np.r_[pair, pair], np.r_[x, y]]), axis=1))
+        if not seen:
+            return
+        pair, row = np.unique(np.concatenate(seen, 1), axis=1)
+        low, high = pair // wide, pair % wide
+        each = table.select(["node", "s", "label"]).take(pa.array(row))
+        at = np.where(low == high, 0, np.where(part[row] == low, 1, 2)).astype(np.int32)
+        columns = [each.column("node"), pa.array(low), pa.array(high), pa.array(at), each.column("s"), each.column("label")]
+        yield from pa.Table.from_arrays(columns, schema=_MET).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            pair = table.column("pair").to_numpy()
+            cuts = [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist(), len(pair)]
+            for i, j in zip(cuts[:-2], cuts[1:-1]):
+                yield from found(table.slice(i, j - i))
+            held = table.slice(cuts[-2]).to_batches()
+        if held:
+            yield from found(pa.Table.from_batches(held))
+
+    return run
+
+
 def _text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
@@ -383,6 +459,7 @@ class _Join:
         firsts = [F.first(c).alias(c) for c in ("n", "tokens", *_SKETCH)]
         self.sets = stored(signed.where("n > 0").groupBy("s").agg(*firsts, F.min(id_key()).alias("k")), "near-sets")
         self.labels: DataFrame | None = None
+        self.crowds: DataFrame | None = None
         self.tables = [signed, self.sets]
 
     def compared(self, rows: DataFrame, last: bool) -> DataFrame:
@@ -416,22 +493,35 @@ class _Join:
         rows = rest.select("node", F.col("a").alias("s"), "near").join(self.sets, "s")
         return rows.select(F.explode(F.transform(F.sequence(F.lit(0), last), child)).alias("node"), "s", "n", *_SKETCH)
 
+    def firsts(self, trees: int) -> Column:
+        """The nodes of the first level, one of each of the trees."""
+        return F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.get("tokens", F.pmod(t, F.lit(TOKENS)))))
+
     def edges(self) -> list[DataFrame]:
         """(node, a, b) of all levels: the sets that likeness connects in each small node, and, without node, with a large one's centre."""
-        first = F.explode(F.transform(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: F.xxhash64(t, F.get("tokens", F.pmod(t, F.lit(TOKENS))))))
-        rows, found = self.sets.select(first.alias("node"), "s", "n", *_SKETCH), []
+        rows, found = self.sets.select(F.explode(self.firsts(self.trees)).alias("node"), "s", "n", *_SKETCH), []
         for level, _ in enumerate(LEVELS):
             out = self.compared(rows, level == len(LEVELS) - 1)
             found.append(out.where("b IS NOT NULL"))
             rest = out.where("b IS NULL")
+            if level == 0:
+                self.crowds = rest.select("node", F.col("a").alias("s"))
             if level == len(LEVELS) - 1 or rest.isEmpty():
                 break
             rows = self.branched(rest, LEVELS[level + 1])
         self.tables += found
         return found
 
-    def run(self) -> None:
-        found = self.edges()
+    def confirmed(self, groups: DataFrame, members: DataFrame) -> DataFrame:
+        """(a, b): what is linked in groups (g, side, s, label), by full sets. `members` (k) are documents that hold all their sets."""
+        texts = self.docs.withColumn("k", id_key()).join(members.select("k").distinct(), "k", "left_semi").select("text")
+        full = texts.mapInArrow(_shingled(self.width), "s binary, shingles array<long>").groupBy("s").agg(F.first("shingles").alias("shingles"))
+        whole = groups.join(self.sets.select("s", "n", *_SKETCH), "s").join(full, "s")
+        sorted_groups = whole.repartition("g").sortWithinPartitions("g", "s").select("g", "side", "s", "label", "n", *_SKETCH, "shingles")
+        return stored(sorted_groups.mapInArrow(_confirmed(self.percent, self.apart), "a binary, b binary"), "near-links")
+
+    def linked(self, found: list[DataFrame]) -> None:
+        """Labels of the sets that the edges connect, as far as full sets confirm it."""
         edges = found[0]
         for more in found[1:]:
             edges = edges.unionByName(more)
@@ -452,15 +542,59 @@ class _Join:
             stars = stars.join(parts, "b").select(F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("g"), "a", "b")
             within = own.where("node IS NOT NULL").select(F.xxhash64("node", "b").alias("g"), "a", "b")
             groups = groups.unionByName(stars.unionByName(within).select("g", F.explode(F.array("a", "b")).alias("s")).distinct())
-        groups = stored(groups, "near-groups")
-        texts = self.docs.withColumn("k", id_key()).join(members.select("k").distinct(), "k", "left_semi").select("text")
-        full = texts.mapInArrow(_shingled(self.width), "s binary, shingles array<long>").groupBy("s").agg(F.first("shingles").alias("shingles"))
-        whole = groups.join(self.sets.select("s", "n", *_SKETCH), "s").join(full, "s")
-        sorted_groups = whole.repartition("g").sortWithinPartitions("g", "s").select("g", "s", "n", *_SKETCH, "shingles")
-        links = stored(sorted_groups.mapInArrow(_confirmed(self.percent, self.apart), "a binary, b binary"), "near-links")
+        groups = stored(groups.select("g", F.lit(0).alias("side"), "s", F.col("s").alias("label")), "near-groups")
+        links = self.confirmed(groups, members)
         if not links.isEmpty():
             self.labels = components(links)
-        forget(members, weight, groups, links, *self.tables[2:])
+        forget(members, weight, groups, links)
+
+    def parted(self) -> None:
+        """The exact check of what branching may have parted: in large nodes of the first level, sets of different components."""
+        sets = self.sets.select("s", "n", "k", *_SKETCH, self.firsts(exact_trees(self.percent)).alias("firsts"))
+        rows = self.crowds.join(sets, "s").where(F.array_contains("firsts", F.col("node"))).drop("firsts")
+        if self.labels is not None:
+            rows = rows.join(self.labels.select(F.col("a").alias("s"), F.col("b").alias("label")), "s", "left")
+        else:
+            rows = rows.withColumn("label", F.lit(None).cast("binary"))
+        rows = stored(rows.withColumn("label", F.coalesce("label", "s")), "near-crowds")
+        kinds = rows.groupBy("node", "label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+        most = F.max_by(F.struct("label", "sets", "shingles"), F.struct("sets", "label")).alias("most")
+        nodes = kinds.groupBy("node").agg(F.sum("sets").alias("sets"), F.sum("shingles").alias("shingles"), most).where("sets > most.sets")
+        half = lambda sets, shingles: F.ceil(F.greatest(sets * 2 / self.group_sets, shingles * 2 / self.group_shingles))
+        other = half(F.col("sets") - F.col("most.sets"), F.col("shingles") - F.col("most.shingles"))
+        nodes = nodes.select("node", F.col("most.label").alias("first"), other.alias("others"), half(F.col("most.sets"), F.col("most.shingles")).alias("own"))
+        nodes = stored(nodes, "near-crowded")
+        if not nodes.isEmpty():
+            # Parts and blocks of the largest component come after those of the others, and meet none of their own.
+            blocks, is_first = F.ceil(F.col("others") / BLOCK), F.col("label") == F.col("first")
+            inner = F.pmod(F.xxhash64("s"), F.when(is_first, F.col("own")).otherwise(F.col("others")))
+            rest = rows.join(nodes, "node").withColumn("part", inner + F.when(is_first, blocks * BLOCK).otherwise(0))
+            rest = rest.withColumn("block", F.floor(F.col("part") / BLOCK)).withColumn("blocks", blocks)
+            last = blocks + F.ceil(F.col("own") / BLOCK) - 1
+            before = F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.col("block"), F.col("blocks") - 1)), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
+            after = F.transform(F.sequence(F.col("block"), last), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
+            of = F.when(is_first, before).otherwise(F.array_union(before, after))
+            pairs = rest.select("node", F.explode(of).alias("of"), "block", "part", "s", "label", "n", *_SKETCH)
+            pairs = pairs.withColumn("pair", F.xxhash64("node", "of.i", "of.j"))
+            pairs = pairs.withColumn("side", F.when(F.col("of.i") == F.col("of.j"), 0).when(F.col("block") == F.col("of.i"), 1).otherwise(2))
+            placed = pairs.repartition("pair").sortWithinPartitions("pair", "s").select("pair", "node", "side", "part", "s", "label", "n", *_SKETCH)
+            met = placed.mapInArrow(_met(self.percent, self.apart), "node long, low long, high long, side int, s binary, label binary")
+            met = stored(met, "near-met")
+            if not met.isEmpty():
+                groups = met.select(F.xxhash64("node", "low", "high").alias("g"), "side", "s", "label")
+                links = self.confirmed(groups, met.select("s").distinct().join(self.sets.select("s", "k"), "s"))
+                if not links.isEmpty():
+                    self.labels = components(links if self.labels is None else self.labels.unionByName(links))
+                forget(links)
+            forget(met)
+        forget(rows, nodes)
+
+    def run(self) -> None:
+        found = self.edges()
+        self.linked(found)
+        if self.crowds is not None and not self.crowds.isEmpty():
+            self.parted()
+        forget(*self.tables[2:])
 
 
 def near_duplicates(

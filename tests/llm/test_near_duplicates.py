@@ -154,3 +154,23 @@ def test_recall_in_a_family_of_thousands_just_under_the_threshold(spark):
     assert all(got[2 * i] == got[2 * i + 1] == 2 * i or got[2 * i] == 2 * i for i in range(300))
     assert sum(got[2 * i] == got[2 * i + 1] for i in range(300)) >= 0.9 * 300
     assert all(got[i] == i for i in range(600, 3000))
+
+
+def exact(spark, rows, width, percent, **limits):
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df, width, percent, **limits).collect()), key=str)
+    assert got == brute(rows, width, percent)
+
+
+def test_no_pair_is_lost_in_a_family_whose_nodes_stay_large(spark):
+    exact(spark, family(random.Random(21), 500, 200, 71, 10), 1, 80, small=16, group_sets=64)
+
+
+def test_a_row_like_its_centre_keeps_its_links_to_rows_that_are_not(spark):
+    draw = random.Random(22)
+    base = [f"c{i}" for i in range(100)]
+    copies = [[*base, f"k{i}"] for i in range(120)]  # linked with each other
+    # 86 of the words of one copy and its own word: 87 of 101 with that one, 86 of 102 with the others
+    ring = [[*draw.sample(base, 86), f"k{i}"] for i in range(0, 120, 4)]
+    rows = [(i, " ".join(draw.sample(t, len(t)))) for i, t in enumerate(copies + ring)]
+    exact(spark, rows, 1, 86, small=8, group_sets=32)
