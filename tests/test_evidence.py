@@ -227,3 +227,19 @@ def test_possible_words_hold_all_near_ones():
     near = [[ratio(a, b) >= FUZZY_RATIO for b in words] for a in words]
     assert all(not near[i][j] or possible[i][j] or not words[i] for i in range(len(words)) for j in range(len(words)))
     assert possible.sum() < 3 * sum(map(sum, near))
+
+
+def test_concepts_of_a_question_meet_its_answers_in_parts_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(E, "ANSWERS_AT_ONCE", 3)
+    rng = random.Random(17)
+    vector = lambda: [rng.uniform(-1, 1) for _ in range(3)]
+    kinds = "answer_id bigint, question_id string, answer_text string, reference_text string, answer_vector array<double>, reference_vector array<double>, segments array<array<double>>"
+    rows = [(i, rng.choice(["q", "r", "s", None]), rng.choice(["", "a text to be read"]), rng.choice([" ", "key text here"]), vector(), vector(), [vector() for _ in range(rng.randint(0, 3))]) for i in range(40)]
+    a = spark.createDataFrame(rows, kinds)
+    points = [(q, i, f"{q}{i}", vector() if i else [0.0, 0.0, 0.0]) for q in "qr" for i in (10, 9, 0, 1)]
+    c = spark.createDataFrame(points, "question_id string, position int, concept string, embedding array<double>")
+    pairs = a.select("answer_id", "question_id").join(c, "question_id")
+    want = E.semantic_evaluation(a, E.concept_similarity(pairs, a.select("answer_id", F.explode("segments").alias("embedding"))))
+    got = E.semantic_evaluation_by_question(a, c)
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
