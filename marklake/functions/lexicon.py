@@ -63,6 +63,8 @@ IDENTITY_PATTERNS = [
     r"\bid\s*[:\-]\s*[A-Za-z0-9_\-/]+",
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
 ]
+# What a lowered text must hold for the pattern to match; none where other letters fold to it.
+IDENTITY_SIGNS = ["name", "name", "roll", None, "@"]
 PROTECTED_TERMS = [
     "gender", "male", "female", "caste", "religion", "hindu", "muslim", "christian", "sikh", "school", "handwriting",
     "neatness",

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 
@@ -25,16 +26,17 @@ class Spelling:
     def __init__(self):
         self.numbers: dict[str, int] = {}
         self.letters = np.zeros((1024, self.BINS), np.uint8)
-        self.lengths = np.zeros(1024, np.int32)
+        self.lengths, self.held = np.zeros(1024, np.int32), np.zeros(1024, np.uint64)
 
     def number(self, words: list[str]) -> np.ndarray:
         for word in words:
             if word not in self.numbers:
                 n = self.numbers[word] = len(self.numbers)
                 if n == len(self.lengths):
-                    self.letters, self.lengths = np.concatenate([self.letters, np.zeros_like(self.letters)]), np.append(self.lengths, np.zeros_like(self.lengths))
+                    self.letters, self.lengths, self.held = (np.concatenate([a, np.zeros_like(a)]) for a in (self.letters, self.lengths, self.held))
                 codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4") % self.BINS
                 self.letters[n], self.lengths[n] = np.minimum(np.bincount(codes, minlength=self.BINS), 255), len(word)
+                self.held[n] = np.packbits(self.letters[n] > 0).view(np.uint64)[0]
         return np.fromiter((self.numbers[w] for w in words), np.int64, len(words))
 
     def possible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -42,6 +44,10 @@ class Spelling:
         x, y = self.lengths[a][:, None], self.lengths[b][None, :]
         total = x + y
         out = (2.0 * np.minimum(x, y) >= FUZZY_RATIO * total) & (total > 0)
+        # A letter that the other word lacks has no partner; few pairs are left to count by letter.
+        p, q = self.held[a][:, None], self.held[b][None, :]
+        most = np.minimum(x - np.bitwise_count(p & ~q), y - np.bitwise_count(q & ~p))
+        out &= 2.0 * most >= FUZZY_RATIO * total - 1e-9
         i, j = np.nonzero(out)
         common = np.minimum(self.letters[a[i]], self.letters[b[j]]).sum(1, dtype=np.int32)
         long = np.maximum(x[i, 0], y[0, j]) > 255
@@ -49,6 +55,7 @@ class Spelling:
         return out
 
 
+@lru_cache(1 << 14)
 def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 

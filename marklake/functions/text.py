@@ -106,8 +106,9 @@ def keywords(text: Column, limit: int | None = None) -> Column:
     found = F.regexp_extract_all(
         F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)(\b[a-zA-Z][a-zA-Z0-9+\-]{2,}\b)")
     )
-    kept = F.filter(found, lambda w: ~w.isin(*X.CONCEPT_STOPWORDS))
-    normal = F.transform(kept, lambda w: normalize_concept(F.regexp_replace(w, r"^-+|-+$", "")))
+    kept = F.filter(F.array_distinct(found), lambda w: ~w.isin(*X.CONCEPT_STOPWORDS))  # a text says most of its words often
+    bare = lambda w: normalize_concept(F.regexp_replace(w, r"^-+|-+$", ""))
+    normal = F.transform(kept, lambda w: F.when(F.contains(w, F.lit("-")), bare(w)).otherwise(w))  # no other sign is left to fold
     distinct = F.array_distinct(F.filter(normal, is_valid_normalized))
     return distinct if limit is None else F.slice(distinct, 1, limit)
 
@@ -157,11 +158,26 @@ def lexical_alignment(expected: Column, answer_terms: Column) -> Column:
 def sanitize(text: Column) -> Column:
     """H7: identity patterns out, then protected words out."""
     cleaned = F.coalesce(text, F.lit(""))
-    for pattern in X.IDENTITY_PATTERNS:
-        cleaned = F.regexp_replace(cleaned, "(?iU)" + pattern, " ")
+    low = F.lower(cleaned)
+
+    def without(t: Column, pattern: str) -> Column:
+        return F.regexp_replace(t, "(?iU)" + pattern, " ")
+
+    def guarded(pattern: str, sign: str):  # what replacement leaves holds no sign that the text does not
+        return lambda t: F.when(F.contains(low, F.lit(sign)), without(t, pattern)).otherwise(t)
+
+    for pattern, sign in zip(X.IDENTITY_PATTERNS, X.IDENTITY_SIGNS, strict=True):
+        cleaned = without(cleaned, pattern) if sign is None else let(cleaned, guarded(pattern, sign))
     tokens = F.split(collapse(cleaned), " ")
     bare = lambda t: F.lower(F.regexp_replace(t, r"^[.,:;!?()\[\]{}]+|[.,:;!?()\[\]{}]+$", ""))
-    return F.array_join(F.filter(tokens, lambda t: (t != "") & ~bare(t).isin(*X.PROTECTED_TERMS)), " ")
+    refused = lambda t: (t == "") | bare(t).isin(*X.PROTECTED_TERMS)
+
+    def allowed(s: Column) -> Column:
+        return F.when(F.size(s["out"]) == 0, s["all"]).otherwise(F.filter(s["all"], lambda t: ~F.array_contains(s["out"], t)))
+
+    # Each distinct token is looked at once; most texts hold none to take out.
+    told = let(tokens, lambda all_: F.struct(all_.alias("all"), F.filter(F.array_distinct(all_), refused).alias("out")))
+    return F.array_join(let(told, allowed), " ")
 
 
 # --- sentences and segments -----------------------------------------------------------

@@ -135,3 +135,31 @@ def test_redaction_literals(spark):
     for secret in ("CS2024001", "Jane", "CS005", "PHY123", "abc.def", "zz", "eyJabcd"):
         assert secret not in out
     assert "exam=5" in out and ".pdf" in out and re.search(r"sig=\[REDACTED\]", out)
+
+
+def test_identity_signs_skip_no_pattern_that_matches(spark):
+    texts = ["Student NAME: Ann Lee roll 7 x", "rOlL no. 12-b told", "ıd: 9x", "mail a.b@c.org now", "Name - Bo", "gender Female, plain male.", "a  plain\ttext", "", None, "(school) name"]
+    assert len(X.IDENTITY_SIGNS) == len(X.IDENTITY_PATTERNS)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    cleaned = F.coalesce("t", F.lit(""))
+    for pattern in X.IDENTITY_PATTERNS:
+        cleaned = F.regexp_replace(cleaned, "(?iU)" + pattern, " ")
+    kept = lambda t: [w for w in t.split() if w.lower().strip(".,:;!?()[]{}") not in X.PROTECTED_TERMS]
+    rows = df.select(TX.sanitize(F.col("t")).alias("got"), cleaned.alias("c")).collect()
+    assert [r.got for r in rows] == [" ".join(kept(r.c)) for r in rows]
+
+
+def test_keywords_that_repeat_or_hold_a_dash(spark):
+    df = spark.createDataFrame([("alpha-beta Gamma -delta- gamma c++x alpha-beta e--f2 x-",)], "t string")
+    assert df.select(TX.keywords(F.col("t"))).first()[0] == ["alpha beta", "gamma", "delta", "c++x", "e f2"]
+
+
+def test_spelling_leaves_every_near_pair(spark):
+    from marklake.functions.matching import FUZZY_RATIO, Spelling, ratio
+
+    words = ["photosynthesis", "photosynthesiss", "fotosynthesis", "synthesis", "a" * 300, "a" * 299 + "b", "élan", "elan", "x", ""]
+    spelling = Spelling()
+    n = spelling.number(words)
+    possible = spelling.possible(n, n)
+    assert all(possible[i, j] for i, a in enumerate(words) for j, b in enumerate(words) if a and b and ratio(a, b) >= FUZZY_RATIO)
+    assert spelling.held.any() and not possible[words.index("élan"), words.index("synthesis")]
