@@ -54,6 +54,16 @@ class Spelling:
         out[i, j] = long | (2.0 * common >= FUZZY_RATIO * total[i, j] - 1e-9)
         return out
 
+    def near(self, words: list[str], others: list[str]) -> dict[str, set[str]]:
+        """The near-equal ones among the others, of each word that has any."""
+        a, b, found = self.number(words), self.number(others), {}
+        step = max(1, (1 << 20) // max(1, len(b)))
+        for at in range(0, len(a), step):
+            for i, j in zip(*(x.tolist() for x in np.nonzero(self.possible(a[at : at + step], b)))):
+                if ratio(words[at + i], others[j]) >= FUZZY_RATIO:
+                    found.setdefault(words[at + i], set()).add(others[j])
+        return found
+
 
 @lru_cache(1 << 14)
 def ratio(a: str, b: str) -> float:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import types as T
 
 from marklake.functions import lexicon as X
 from marklake.functions import text as TX
-from marklake.functions.matching import FUZZY_RATIO, Snippets, Spelling, ratio
+from marklake.functions.matching import Snippets, Spelling
 from marklake.functions.numeric import clamp, round_even, rounded
 from marklake.schemas import EVIDENCE_ITEM, require
 
@@ -20,14 +19,17 @@ AUTO_PREFIX = "Coverage of expected concept: "
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def fuzzy_present(concepts: pa.Array, tokens: pa.Array) -> pa.Array:
     """Concepts with a token of near-equal spelling (the only leg that needs Python)."""
-    out, spelling = [], Spelling()
-    for wanted, have in zip(concepts.to_pylist(), tokens.to_pylist()):
-        near: list[str] = []
-        if wanted and have:
-            numbers = spelling.number([*wanted, *have])
-            possible = spelling.possible(numbers[: len(wanted)], numbers[len(wanted) :])
-            near = [c for c, row in zip(wanted, possible) if any(ratio(c, have[j]) >= FUZZY_RATIO for j in np.flatnonzero(row))]
-        out.append(near)
+    rows = [(w or [], t or []) for w, t in zip(concepts.to_pylist(), tokens.to_pylist())]
+    asked, said = {c for w, t in rows if t for c in w}, {x for w, t in rows if w for x in t}
+    spelling = Spelling()
+    if len(asked) * len(said) <= 2 * sum(len(w) * len(t) for w, t in rows):  # rows share words: each pair once for the batch
+        near = spelling.near(sorted(asked), sorted(said))
+        out = [[c for c in wanted if c in near and not near[c].isdisjoint(have)] if have else [] for wanted, have in rows]
+    else:
+        out = []
+        for wanted, have in rows:
+            of = spelling.near(wanted, have) if wanted and have else {}
+            out.append([c for c in wanted if c in of])
     return pa.array(out, pa.list_(pa.string()))
 
 

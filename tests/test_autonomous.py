@@ -163,3 +163,15 @@ def test_spelling_leaves_every_near_pair(spark):
     possible = spelling.possible(n, n)
     assert all(possible[i, j] for i, a in enumerate(words) for j, b in enumerate(words) if a and b and ratio(a, b) >= FUZZY_RATIO)
     assert spelling.held.any() and not possible[words.index("élan"), words.index("synthesis")]
+
+
+def test_near_words_of_a_batch_and_row_by_row(spark):
+    from marklake.functions.matching import Spelling
+
+    assert Spelling().near(["energy", "cell"], ["enery", "energy", "cells", "x"]) == {"energy": {"enery", "energy"}, "cell": {"cells"}}
+    rows = [(["energy", "cell"], ["enery", "tissue"]), (["cell", "energy"], ["cells", "energies"]), (None, ["cell"]), (["cell"], None), ([], [])]
+    alone = [([f"w{i}abcdefgh"], [f"w{i}abcdefgh", "zz"]) for i in range(40)]
+    for some in (rows * 8, alone):
+        df = spark.createDataFrame(some, "c array<string>, t array<string>").coalesce(1)
+        want = [[c for c in w or [] if any(SequenceMatcher(None, c, x).ratio() >= 0.88 for x in t or [])] for w, t in some]
+        assert [r[0] for r in df.select(AU.fuzzy_present("c", "t")).collect()] == want
