@@ -174,3 +174,17 @@ def test_a_row_like_its_centre_keeps_its_links_to_rows_that_are_not(spark):
     ring = [[*draw.sample(base, 86), f"k{i}"] for i in range(0, 120, 4)]
     rows = [(i, " ".join(draw.sample(t, len(t)))) for i, t in enumerate(copies + ring)]
     exact(spark, rows, 1, 86, small=8, group_sets=32)
+
+
+def test_one_of_each_keeps_no_row_that_is_linked_with_its_centre_s_copies(spark, monkeypatch):
+    from marklake.llm import near_duplicates as N
+
+    grouped = N._grouped
+    monkeypatch.setattr(N, "_grouped", lambda docs, width, percent: grouped(docs, width, percent, 8, 32))
+    draw = random.Random(23)
+    base = [f"c{i}" for i in range(100)]
+    texts = [[*base, f"k{i}"] for i in range(60)] + [[*draw.sample(base, 86), f"k{i}"] for i in range(0, 60, 4)]
+    rows = [(i, " ".join(draw.sample(t, len(t)))) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], SCHEMA)
+    want = sorted(k for k, _, least in brute(rows, 1, 86) if k == least)
+    assert sorted(r.doc_id for r in N.one_of_each(df, 1, 86).collect()) == want
