@@ -15,10 +15,10 @@ task: likest pairs first, pairs that are connected already not at all. A group t
 and around each centre in parts, and what is linked there is joined by components.
 
 Branching gives a row that is like its centre one child a level and leaves large nodes at the last level, so it may part
-two sets for good. An exact check follows for those: in the large nodes of as many first trees as lose at most a
-thousandth of the pairs at the threshold (`exact_trees`), each set is compared with all sets that are not in its
-component yet, block by block, and what the sketch leaves is confirmed on full sets. Sets of the largest component of a
-node are not compared with each other, so a node of copies costs its size; one of unlike sets is quadratic.
+two sets for good. An exact check follows for those: in the large first nodes of all trees, each set is compared with all
+sets that are not in its component yet, block by block, a pair in the first of the nodes it shares, and what the sketch
+leaves is confirmed on full sets. So two sets that share a first node of any tree are always compared. Sets of the largest
+component of a node are not compared with each other, so a node of copies costs its size; one of unlike sets is quadratic.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ CENTRES = 4
 BLOCK = 16  # parts of a group's size that meet in a task as sketches
 GROUP_SETS, GROUP_SHINGLES = 4096, 1 << 22
 SPLIT = 50_000
+BROADCAST_ROWS = 1_000_000  # rows of about 64 bytes that may go to every executor
 _RNG = np.random.default_rng(20240917)
 _FLIP = _RNG.integers(0, 2**64, MINS, dtype=np.uint64)
 _TIMES = _RNG.integers(0, 2**64, MINS, dtype=np.uint64) | np.uint64(1)
@@ -74,11 +75,6 @@ def trees_for(percent: int) -> int:
     return next((t for t in range(8, MOST_TREES) if loss(percent, t) <= LOSS), MOST_TREES)
 
 
-def exact_trees(percent: int) -> int:
-    """The fewest trees of whose first nodes a pair at the threshold shares none with a chance of at most LOSS."""
-    return next((t for t in range(1, MOST_TREES) if (1 - percent / 100) ** t <= LOSS), MOST_TREES)
-
-
 def apart(percent: int) -> int:
     """How many min-hashes may differ in their two bits: a pair at the threshold differs in more with a chance of at most MISS.
 
@@ -387,12 +383,15 @@ _MET = pa.schema([("node", pa.int64()), ("low", pa.int64()), ("high", pa.int64()
 
 
 def _met(percent: int, most: int):
-    """Rows sorted by pair of blocks to those that are like a row of another label, once for each pair of parts where one is."""
+    """Rows sorted by pair of blocks to those that are like a row of another label, once for each pair of parts where one is.
+    A pair that shares the node of an earlier tree is left to that one."""
 
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.sort_by("n")
         rows, label = _Rows(table), _numbers(table.column("label"))
         part, side = table.column("part").to_numpy(), table.column("side").to_numpy()
+        tree = int(table.column("tree")[0].as_py())
+        firsts = table.column("firsts").combine_chunks().flatten().to_numpy().reshape(len(side), tree)
         one = side[0] == 0  # a block with itself
         left = np.arange(len(side)) if one else np.flatnonzero(side == 1)
         right = left if one else np.flatnonzero(side == 2)
@@ -410,6 +409,9 @@ def _met(percent: int, most: int):
                 x, y = a[x], b[y]
                 keep = x < y if one else slice(None)
                 x, y = x[keep], y[keep]
+                for t in range(tree):
+                    keep = firsts[x, t] != firsts[y, t]
+                    x, y = x[keep], y[keep]
                 if len(x):
                     pair = np.minimum(part[x], part[y]) * wide + np.maximum(part[x], part[y])
                     seen.append(np.unique(np.stack([np.r_[pair, pair], np.r_[x, y]]), axis=1))
@@ -460,6 +462,7 @@ class _Join:
         self.sets = stored(signed.where("n > 0").groupBy("s").agg(*firsts, F.min(id_key()).alias("k")), "near-sets")
         self.labels: DataFrame | None = None
         self.crowds: DataFrame | None = None
+        self.crowded: DataFrame | None = None
         self.tables = [signed, self.sets]
 
     def compared(self, rows: DataFrame, last: bool) -> DataFrame:
@@ -490,25 +493,37 @@ class _Join:
         many = rate(self.percent, tokens)
         more = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(10_000)) < round((many - int(many)) * 10_000)
         last = F.when(F.col("near"), 0).otherwise(F.lit(int(many)) - 1 + more.cast("int"))
-        rows = rest.select("node", F.col("a").alias("s"), "near").join(self.sets, "s")
+        rows = rest.select("node", F.col("a").alias("s"), "near").join(self.crowded, "s")
         return rows.select(F.explode(F.transform(F.sequence(F.lit(0), last), child)).alias("node"), "s", "n", *_SKETCH)
 
-    def firsts(self, trees: int) -> Column:
+    def of_names(self, names: DataFrame) -> DataFrame:
+        """The sets of these names (s); where the names are few, they go to the sets, which stay where they are."""
+        names = stored(names.distinct(), "near-names")
+        few = names.count() <= BROADCAST_ROWS
+        out = stored(self.sets.join(F.broadcast(names) if few else names, "s", "left_semi"), "near-crowded")
+        forget(names)
+        return out
+
+    def firsts(self) -> Column:
         """The nodes of the first level, one of each of the trees."""
-        return F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.get("tokens", F.pmod(t, F.lit(TOKENS)))))
+        return F.transform(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: F.xxhash64(t, F.get("tokens", F.pmod(t, F.lit(TOKENS)))))
 
     def edges(self) -> list[DataFrame]:
         """(node, a, b) of all levels: the sets that likeness connects in each small node, and, without node, with a large one's centre."""
-        rows, found = self.sets.select(F.explode(self.firsts(self.trees)).alias("node"), "s", "n", *_SKETCH), []
+        rows, found = self.sets.select(F.explode(self.firsts()).alias("node"), "s", "n", *_SKETCH), []
         for level, _ in enumerate(LEVELS):
             out = self.compared(rows, level == len(LEVELS) - 1)
+            if level:
+                forget(rows)
             found.append(out.where("b IS NOT NULL"))
             rest = out.where("b IS NULL")
-            if level == 0:
-                self.crowds = rest.select("node", F.col("a").alias("s"))
             if level == len(LEVELS) - 1 or rest.isEmpty():
                 break
-            rows = self.branched(rest, LEVELS[level + 1])
+            if level == 0:  # all levels below, and the exact check, read the sets of the large nodes alone
+                self.crowds = rest.select("node", F.col("a").alias("s"))
+                self.crowded = self.of_names(self.crowds.select("s"))
+                self.tables.append(self.crowded)
+            rows = stored(self.branched(rest, LEVELS[level + 1]), "near-branched")
         self.tables += found
         return found
 
@@ -550,8 +565,9 @@ class _Join:
 
     def parted(self) -> None:
         """The exact check of what branching may have parted: in large nodes of the first level, sets of different components."""
-        sets = self.sets.select("s", "n", "k", *_SKETCH, self.firsts(exact_trees(self.percent)).alias("firsts"))
-        rows = self.crowds.join(sets, "s").where(F.array_contains("firsts", F.col("node"))).drop("firsts")
+        sets = self.crowded.select("s", "n", *_SKETCH, self.firsts().alias("firsts"))
+        rows = self.crowds.join(sets, "s").withColumn("tree", F.array_position("firsts", F.col("node")).cast("int") - 1)
+        rows = rows.withColumn("firsts", F.slice("firsts", F.lit(1), F.col("tree")))  # the nodes of the trees before
         if self.labels is not None:
             rows = rows.join(self.labels.select(F.col("a").alias("s"), F.col("b").alias("label")), "s", "left")
         else:
@@ -574,15 +590,15 @@ class _Join:
             before = F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.col("block"), F.col("blocks") - 1)), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
             after = F.transform(F.sequence(F.col("block"), last), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
             of = F.when(is_first, before).otherwise(F.array_union(before, after))
-            pairs = rest.select("node", F.explode(of).alias("of"), "block", "part", "s", "label", "n", *_SKETCH)
+            pairs = rest.select("node", F.explode(of).alias("of"), "block", "part", "s", "label", "n", *_SKETCH, "tree", "firsts")
             pairs = pairs.withColumn("pair", F.xxhash64("node", "of.i", "of.j"))
             pairs = pairs.withColumn("side", F.when(F.col("of.i") == F.col("of.j"), 0).when(F.col("block") == F.col("of.i"), 1).otherwise(2))
-            placed = pairs.repartition("pair").sortWithinPartitions("pair", "s").select("pair", "node", "side", "part", "s", "label", "n", *_SKETCH)
+            placed = pairs.repartition("pair").sortWithinPartitions("pair", "s").select("pair", "node", "side", "part", "s", "label", "n", *_SKETCH, "tree", "firsts")
             met = placed.mapInArrow(_met(self.percent, self.apart), "node long, low long, high long, side int, s binary, label binary")
             met = stored(met, "near-met")
             if not met.isEmpty():
                 groups = met.select(F.xxhash64("node", "low", "high").alias("g"), "side", "s", "label")
-                links = self.confirmed(groups, met.select("s").distinct().join(self.sets.select("s", "k"), "s"))
+                links = self.confirmed(groups, met.select("s").distinct().join(self.crowded.select("s", "k"), "s"))
                 if not links.isEmpty():
                     self.labels = components(links if self.labels is None else self.labels.unionByName(links))
                 forget(links)
@@ -592,7 +608,7 @@ class _Join:
     def run(self) -> None:
         found = self.edges()
         self.linked(found)
-        if self.crowds is not None and not self.crowds.isEmpty():
+        if self.crowds is not None:
             self.parted()
         forget(*self.tables[2:])
 
@@ -633,9 +649,6 @@ def _grouped(docs: DataFrame, width: int, percent: int, small: int = SMALL, grou
     return filled.join(of_set, "s").drop("s").unionByName(single.drop("s"))
 
 
-DROPPED = 1_000_000  # rows of about 64 bytes that may go to every executor
-
-
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs`, with their own columns, of one document of each group: the one of the smallest id.
 
@@ -652,7 +665,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     keyed = docs.withColumn(k, F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST))).withColumn(h, _text_hash())
     dropped = grouped.where("root IS NOT NULL").withColumn("k", id_key()).join(chosen, ["k", "text_hash"], "left_anti").select(F.col("k").alias(k), F.col("text_hash").alias(h)).distinct()
     dropped = stored(dropped, "near-dropped")
-    if dropped.count() <= DROPPED:  # a bounded table: the texts stay where they are
+    if dropped.count() <= BROADCAST_ROWS:  # a bounded table: the texts stay where they are
         dropped = F.broadcast(dropped)
     left = keyed.join(dropped, [k, h], "left_anti")
     if chosen.where("rows > 1").isEmpty():

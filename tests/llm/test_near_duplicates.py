@@ -188,3 +188,31 @@ def test_one_of_each_keeps_no_row_that_is_linked_with_its_centre_s_copies(spark,
     df = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], SCHEMA)
     want = sorted(k for k, _, least in brute(rows, 1, 86) if k == least)
     assert sorted(r.doc_id for r in N.one_of_each(df, 1, 86).collect()) == want
+
+
+def apart_in_first_trees(draw, trees):
+    """Copies that are linked with each other, and rows linked with one of them that share no node of the first trees with it."""
+    import numpy as np
+    from marklake.llm import near_duplicates as N
+
+    base = [f"c{i}" for i in range(100)]
+    h = np.concatenate([N._sets(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), 1)[0] for w in base])
+    least = {base[int((((h ^ N._FLIP[t]) * N._TIMES[t]) >> np.uint64(32)).argmin())] for t in range(trees)}
+    copies = [[*base, f"k{i}"] for i in range(120)]
+    others = [w for w in base if w not in least]
+    ring = [[*draw.sample(others, 86), f"k{i}"] for i in range(0, 120, 4)]
+    return [(i, " ".join(draw.sample(t, len(t)))) for i, t in enumerate(copies + ring)]
+
+
+def test_a_link_is_found_in_the_large_nodes_of_any_tree(spark):
+    exact(spark, apart_in_first_trees(random.Random(24), 4), 1, 86, small=8, group_sets=32)
+
+
+def test_levels_below_the_first_read_the_sets_of_large_nodes_alone(spark):
+    from marklake.llm.near_duplicates import _Join
+
+    draw = random.Random(25)
+    rows = family(draw, 60, 0, 71, 10) + [(1000 + i, " ".join(f"s{i}_{j}" for j in range(20))) for i in range(300)]
+    join = _Join(spark.createDataFrame([(k, t, "x", 1) for k, t in rows], SCHEMA), 1, 80, 16, 64, 1 << 22)
+    join.edges()
+    assert join.sets.count() == 360 and 0 < join.crowded.count() <= 60
