@@ -237,10 +237,10 @@ def cluster_bootstrap(
 ) -> DataFrame:
     """Interval of every statistic, resampling whole scripts with a fixed seed.
 
-    A script is reduced to its sums, numbered 0..N-1, and joined to the draws by
+    A script is reduced to its sums, numbered 0..N-1, and meets the draws by
     number. Draws are generated in place (resample b, draw i -> md5 of seed, b, i),
-    carry eight bytes each, and are summed per resample before they are shuffled
-    again: a resample never exists as a list of observations.
+    carry two bytes each, and meet a block of scripts at a time: neither a draw nor
+    an observation of a resample ever is a row.
     """
     spark = obs.sparkSession
     scripts = obs.groupBy("script_id").agg(*[x.alias(k) for k, x in _arm(obs, engine).items()], F.count(F.lit(1)).alias("_rows"))
@@ -258,7 +258,7 @@ def cluster_bootstrap(
             F.lit(n_clusters).cast("bigint").alias("n_clusters"), "n_observations",
         )
     # Draws fall evenly on the numbers, so neither way is skewed: small statistics go to every task, which adds up whole
-    # resamples; larger ones are joined to draws of a row each, hashed, not sorted.
+    # resamples; larger ones are cut into blocks, each of which gets its draws of all resamples.
     if n_clusters * _STATISTIC_ROW_BYTES <= BROADCAST_LIMIT_BYTES:
         held = numbered.select("row_index", *[F.col(k).cast("double").alias(k) for k in merged]).toArrow()
         order = np.argsort(held.column("row_index").to_numpy())
@@ -267,7 +267,7 @@ def cluster_bootstrap(
         drawn = spark.range(0, resamples, 1, min(resamples, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(_drawn(matrix, seed, list(merged)), types)
         per_resample = drawn.select(*[x.alias(k) for k, x in statistics().items()])
     else:
-        per_resample = _joined_draws(numbered, n_clusters, resamples, seed)
+        per_resample = _blocked_draws(numbered, n_clusters, resamples, seed)
     values = per_resample.select(stack).select("_s.*").filter("value is not null")
     return points.join(_bounds(values, [], resamples, confidence), "statistic", "left").select(
         "statistic",
@@ -303,26 +303,114 @@ def _drawn(matrix, seed: int, names: list[str]):
             ids = batch.column(0).to_pylist()
             out = np.empty((len(ids), sums.shape[1]))
             for i, b in enumerate(ids):
-                head = f"{seed}-{b}-"
-                drawn = np.fromiter((int.from_bytes(hashlib.md5(f"{head}{k}".encode()).digest()[:4]) for k in range(n)), np.int64, n) % n
-                out[i] = _times(np.bincount(drawn, minlength=n)[None, :], sums)[0]
+                weights = np.bincount(first_words(f"{seed}-{b}-", 0, n) % np.uint32(n), minlength=n)
+                out[i] = _times(weights[None, :], sums)[0]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(out[:, c])) for c in range(len(names)))], names=["resample", *names])
 
     return run
 
 
-def _joined_draws(numbered: DataFrame, n_clusters: int, resamples: int, seed: int) -> DataFrame:
+_MD5_SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_MD5_ADDED = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+_AT_ONCE = 1 << 14  # numbers whose work arrays stay in a core's cache
+
+
+def first_words(head: str, low: int, high: int) -> np.ndarray:
+    """The first four bytes of md5(head + decimal k), most significant first, for k from low to below high."""
+    out = np.empty(high - low, np.uint32)
+    while low < high:
+        end = min(high, low + _AT_ONCE, 10 ** len(str(low)))  # numbers of as many digits
+        text = head.encode() + str(low).encode()
+        if len(text) <= 55:
+            words = _one_block(head.encode(), np.arange(low, end), len(str(low)))
+        else:  # more than one block of the digest
+            words = [int.from_bytes(hashlib.md5(f"{head}{k}".encode()).digest()[:4]) for k in range(low, end)]
+        out[len(out) - (high - low) :][: end - low] = words
+        low = end
+    return out
+
+
+def _one_block(head: bytes, numbers: np.ndarray, digits: int) -> np.ndarray:
+    """`first_words` of numbers of so many digits whose texts fill one block, one round after the other on all numbers."""
+    size = len(head) + digits
+    fixed = np.frombuffer(head + bytes(digits) + b"\x80" + bytes(55 - size) + (8 * size).to_bytes(8, "little"), "<u4")
+    block: list = [int(w) for w in fixed]
+    for i in range(digits):
+        word, byte = divmod(size - 1 - i, 4)
+        block[word] = block[word] + ((numbers // 10**i % 10 + 48).astype(np.uint32) << np.uint32(8 * byte))
+    a, b, c, d = (np.full(len(numbers), x, np.uint32) for x in _MD5_START)
+    for i in range(64):
+        turn = i // 16
+        if turn == 0:
+            mixed, at = ((c ^ d) & b) ^ d, i
+        elif turn == 1:
+            mixed, at = ((b ^ c) & d) ^ c, (5 * i + 1) % 16
+        elif turn == 2:
+            mixed, at = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            mixed, at = (b | ~d) ^ c, 7 * i % 16
+        mixed += a
+        if isinstance(block[at], int):
+            mixed += np.uint32((block[at] + _MD5_ADDED[i]) % 2**32)
+        else:
+            mixed += block[at]
+            mixed += np.uint32(_MD5_ADDED[i])
+        left = _MD5_SHIFTS[turn][i % 4]
+        turned = mixed << np.uint32(left)
+        mixed >>= np.uint32(32 - left)
+        turned |= mixed
+        turned += b
+        a, d, c, b = d, c, b, turned
+    return (a + np.uint32(_MD5_START[0])).byteswap()
+
+
+_BLOCK = 1 << 16  # scripts that meet their draws in one task
+_DRAWS = 1 << 22  # draws of one resample that a task makes at once
+
+
+def packed_draws(spark, n_clusters: int, resamples: int, seed: int) -> DataFrame:
+    """(block, resample, offsets): the numbers that were drawn, as two bytes each within a block of scripts."""
+    parts = -(-n_clusters // _DRAWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                b, part = divmod(at, parts)
+                drawn = first_words(f"{seed}-{b}-", part * _DRAWS, min((part + 1) * _DRAWS, n_clusters))
+                drawn = drawn % np.uint32(n_clusters) if n_clusters < 2**32 else drawn
+                block = (drawn >> np.uint32(16)).astype(np.uint16)
+                offsets = drawn.astype(np.uint16)[np.argsort(block, kind="stable")]
+                sizes = np.bincount(block)
+                ends = np.append(0, np.cumsum(2 * sizes)).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(offsets.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sizes))), pa.array(np.full(len(sizes), b)), packed], names=["block", "resample", "offsets"])
+
+    slices = min(resamples * parts, max(4 * spark.sparkContext.defaultParallelism, resamples * n_clusters // 50_000_000))
+    return spark.range(0, resamples * parts, 1, slices).mapInArrow(run, "block bigint, resample bigint, offsets binary")
+
+
+def _blocked_draws(numbered: DataFrame, n_clusters: int, resamples: int, seed: int) -> DataFrame:
+    """Statistics of each resample; a block's sums and its draws of all resamples, two bytes each, meet in one task."""
     spark, merged = numbered.sparkSession, merge_sums()
-    slices = max(spark.sparkContext.defaultParallelism, resamples * n_clusters // 2_000_000)
-    number = F.col("id")
-    resample = F.floor(number / F.lit(n_clusters)).cast("bigint")
-    draw = number - resample * n_clusters
-    digest = F.substring(F.md5(F.concat(F.lit(f"{seed}-"), resample.cast("string"), F.lit("-"), draw.cast("string")).cast("binary")), 1, 8)
-    drawn = spark.range(0, resamples * n_clusters, 1, slices).select(
-        resample.alias("resample"), (F.conv(digest, 16, 10).cast("bigint") % n_clusters).alias("row_index")
-    )
-    picked = drawn.join(numbered.hint("shuffle_hash"), "row_index")
-    return picked.groupBy("resample").agg(*[x.alias(k) for k, x in merged.items()]).select(*[x.alias(k) for k, x in statistics().items()])
+    names = list(merged)
+
+    def met(scripts: pa.Table, draws: pa.Table) -> pa.Table:
+        sums = np.zeros((_BLOCK, len(names)))
+        sums[:, -2], sums[:, -1] = np.inf, -np.inf
+        sums[scripts.column("row_index").to_numpy() % _BLOCK] = _matrix(scripts, names)
+        weights: dict[int, np.ndarray] = {}
+        for b, offsets in zip(draws.column("resample").to_pylist(), draws.column("offsets")):
+            more = np.bincount(np.frombuffer(offsets.as_buffer(), np.uint16), minlength=_BLOCK)
+            weights[b] = weights[b] + more if b in weights else more
+        out = np.array([_times(w[None, :], sums)[0] for w in weights.values()]).reshape(-1, len(names))
+        return pa.table([pa.array(list(weights), pa.int64()), *(pa.array(np.ascontiguousarray(out[:, c])) for c in range(len(names)))], names=["resample", *names])
+
+    scripts = numbered.select(F.shiftright("row_index", 16).alias("block"), "row_index", *[F.col(k).cast("double").alias(k) for k in names])
+    draws = packed_draws(spark, n_clusters, resamples, seed)
+    types = "resample bigint, " + ", ".join(f"`{k}` double" for k in names)
+    sums = scripts.groupBy("block").cogroup(draws.groupBy("block")).applyInArrow(met, types)
+    return sums.groupBy("resample").agg(*[x.alias(k) for k, x in merged.items()]).select(*[x.alias(k) for k, x in statistics().items()])
 
 
 def _bounds(values: DataFrame, keys: list[str], resamples: int, confidence: float) -> DataFrame:

@@ -70,6 +70,28 @@ def test_bootstrap_is_reproducible(spark):
     assert one == sorted(map(tuple, A.cluster_bootstrap(df.repartition(7), "engine_mark_a", resamples=40).collect()))
 
 
+def test_digests_of_numbers_at_once_are_those_of_each():
+    import hashlib
+
+    for head in ("20260815-7-", "x" * 47 + "-", "x" * 60):  # one block, one that the longest numbers overrun, more than one
+        for low, high in ((0, 12), (9_990, 10_020), (99_999_990, 100_000_020)):
+            want = [int(hashlib.md5(f"{head}{k}".encode()).hexdigest()[:8], 16) for k in range(low, high)]
+            assert A.first_words(head, low, high).tolist() == want
+
+
+def test_draws_that_meet_blocks_of_scripts_give_the_same_and_are_no_rows(spark, monkeypatch):
+    df = spark.createDataFrame(observations(random.Random(26), 90), OBS)
+    whole = sorted(map(tuple, A.cluster_bootstrap(df, "engine_mark_a", resamples=30).collect()))
+    monkeypatch.setattr(A, "BROADCAST_LIMIT_BYTES", 0)
+    monkeypatch.setattr(A, "_DRAWS", 16)  # several parts of each resample
+    parted = sorted(map(tuple, A.cluster_bootstrap(df, "engine_mark_a", resamples=30).collect()))
+    for a, b in zip(whole, parted, strict=True):
+        assert all(x == y or abs(x - y) < 1e-12 for x, y in zip(a, b, strict=True))
+    monkeypatch.undo()
+    drawn = A.packed_draws(spark, 70_000, 3, 1).collect()
+    assert len(drawn) == 3 * 2 and sum(len(r.offsets) for r in drawn) == 2 * 3 * 70_000
+
+
 def test_exact_median_equals_statistics(spark):
     rng = random.Random(9)
     rows = [(k, rng.choice([rng.uniform(0, 100), float(rng.randint(0, 5)), 3.0])) for k in range(12) for _ in range(rng.randint(1, 400))]
