@@ -175,3 +175,13 @@ def test_lifecycle_rewrites_only_touched_buckets(spark, tmp_path):
     assert state[3] == ("COMPLETED", "COMPLETED", "COMPLETED") and state[4] == ("PROCESSING", "PROCESSING", None)
     one, two = (commits.manifest(spark, sink, n)["buckets"] for n in (0, 1))
     assert sum(one.get(b) != two[b] for b in two) <= 4 < len(two)
+
+
+def test_labels_are_told_apart_without_a_table_of_them_all(spark):
+    from marklake.plans import evidence_queries as EQ
+
+    labels = EQ._labels(spark, "/root/testdata/sf0.001")
+    assert "Aggregate" not in labels._jdf.queryExecution().sparkPlan().toString()
+    li, orders = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("lineitem", "orders"))
+    numbers = li.join(orders, li.l_orderkey == orders.o_orderkey).select("l_orderkey", "l_linenumber")
+    assert numbers.count() > labels.count() == labels.distinct().count() == numbers.distinct().count()
