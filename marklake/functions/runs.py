@@ -27,6 +27,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_KEPT = 1 << 16  # numbers; longer texts make their own
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+_UP, _DOWN = _powers(_KEPT)
+
+
 def word_hashes(text: str) -> np.ndarray:
     """Hashes of the words of a text, which single spaces part."""
     data = np.frombuffer(text.encode(), np.uint8)
@@ -34,23 +46,20 @@ def word_hashes(text: str) -> np.ndarray:
         return np.zeros(0, np.uint64)
     gap = np.flatnonzero(data == 32)
     starts, ends = np.append(0, gap + 1), np.append(gap, len(data))
-    up = np.full(len(data), _BASE, np.uint64)
-    down = np.full(len(data), _INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    up, down = (_UP[: len(data)], _DOWN) if len(data) <= _KEPT else _powers(len(data))
     total = np.append(np.uint64(0), np.cumsum((data + np.uint64(1)) * up))
     starts, ends = starts[ends > starts], ends[ends > starts]
     return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the distinct runs of n words."""
+def run_hashes(words: np.ndarray, n: int, bits: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the distinct runs of n words; with the bytes of a filter, of those it may hold: only they are sorted."""
     if len(words) < n:
         return np.zeros(0, np.uint64)
     total = np.full(len(words) - n + 1, n, np.uint64)
     for k in range(n):
         total = _mix(total + words[k : len(words) - n + 1 + k])
-    return np.unique(total)
+    return np.unique(total if bits is None else _passed(total, bits))
 
 
 def _probed(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -59,6 +68,17 @@ def _probed(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(hashes + np.uint64(k) * step) % np.uint64(bits) for k in range(_PROBES)])
 
 
+def _passed(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The hashes whose places are all set, probe by probe: each tests what the one before has left."""
+    step = None
+    for k in range(_PROBES):
+        if k:
+            step = _mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
+        at = (hashes if step is None else hashes + np.uint64(k) * step) % np.uint64(8 * len(bits))
+        hashes = hashes[(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).view(bool)]
+    return hashes
+
+
 def hashed_runs(df: DataFrame, words: str, lengths: list[int] | str, out: str = "run", wanted=None) -> DataFrame:
     """Each row once per distinct run of its text `words`, of the given lengths or of that in a column; the text goes. With
     `wanted`, a filter from `run_filter`, only for runs that it may hold."""
@@ -73,10 +93,7 @@ def hashed_runs(df: DataFrame, words: str, lengths: list[int] | str, out: str =
             sizes = batch.column(lengths).to_pylist() if isinstance(lengths, str) else [lengths] * batch.num_rows
             for text, size in zip(batch.column(words).to_pylist(), sizes):
                 w = word_hashes(text or "")
-                h = np.concatenate([run_hashes(w, n) for n in ([size] if isinstance(size, int) else size)])
-                if bits is not None:
-                    at = _probed(h, 8 * len(bits))
-                    h = h[(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(0)]
+                h = np.concatenate([run_hashes(w, n, bits) for n in ([size] if isinstance(size, int) else size)])
                 found.append(h)
                 counts.append(len(h))
             rows = pa.array(np.repeat(np.arange(len(counts)), counts))
