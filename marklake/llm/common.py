@@ -106,7 +106,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18  # bytes of text whose work arrays (about 100 times as much) a worker holds at once
 
 
 def _powers(base: int, n: int) -> np.ndarray:
