@@ -6,19 +6,32 @@ Nothing here knows Spark; each helper works on the text of one row.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 FUZZY_RATIO = 0.88
+_AT_ONCE = 1 << 22
+
+
+def some_rows(*columns: pa.Array, most: int = _AT_ONCE) -> Iterator[tuple[pa.Array, ...]]:
+    """Columns of a batch in runs of rows of at most `most` bytes, or of one row: as Python values they take many times that."""
+    n = len(columns[0])
+    if n > 1 and sum(c.nbytes for c in columns) > most:
+        yield from some_rows(*(c[: n // 2] for c in columns), most=most)
+        yield from some_rows(*(c[n // 2 :] for c in columns), most=most)
+    else:
+        yield columns
 
 
 class Spelling:
     """Words as vectors of how often they hold each letter, to tell for many pairs at once which can be near-equal.
 
     The ratio of matching blocks is at most twice the letters in common over all letters; letters share bins, which only
-    raises that bound. One for each batch of rows: it keeps every word it has met.
+    raises that bound. One for some rows: it keeps every word it has met.
     """
 
     BINS = 64

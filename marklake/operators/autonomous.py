@@ -9,20 +9,18 @@ from pyspark.sql import types as T
 
 from marklake.functions import lexicon as X
 from marklake.functions import text as TX
-from marklake.functions.matching import Snippets, Spelling
+from marklake.functions.matching import Snippets, Spelling, some_rows
 from marklake.functions.numeric import clamp, round_even, rounded
 from marklake.schemas import EVIDENCE_ITEM, require
 
 AUTO_PREFIX = "Coverage of expected concept: "
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def fuzzy_present(concepts: pa.Array, tokens: pa.Array) -> pa.Array:
-    """Concepts with a token of near-equal spelling (the only leg that needs Python)."""
+def _near_concepts(concepts: pa.Array, tokens: pa.Array) -> pa.Array:
     rows = [(w or [], t or []) for w, t in zip(concepts.to_pylist(), tokens.to_pylist())]
     asked, said = {c for w, t in rows if t for c in w}, {x for w, t in rows if w for x in t}
     spelling = Spelling()
-    if len(asked) * len(said) <= 2 * sum(len(w) * len(t) for w, t in rows):  # rows share words: each pair once for the batch
+    if len(asked) * len(said) <= 2 * sum(len(w) * len(t) for w, t in rows):  # rows share words: each pair once for all
         near = spelling.near(sorted(asked), sorted(said))
         out = [[c for c in wanted if c in near and not near[c].isdisjoint(have)] if have else [] for wanted, have in rows]
     else:
@@ -33,6 +31,12 @@ def fuzzy_present(concepts: pa.Array, tokens: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.string()))
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def fuzzy_present(concepts: pa.Array, tokens: pa.Array) -> pa.Array:
+    """Concepts with a token of near-equal spelling (the only leg that needs Python)."""
+    return pa.concat_arrays([_near_concepts(*some) for some in some_rows(concepts, tokens)])
+
+
 def prepare_answers(answers: DataFrame) -> DataFrame:
     """Expected concepts of the question and terms of the sanitised answer.
 
@@ -293,9 +297,7 @@ def parse_questions(papers: DataFrame) -> DataFrame:
 _ITEM = pa.list_(pa.struct([("concept", pa.string()), ("matched_text", pa.string()), ("confidence", pa.float64())]))
 
 
-@F.arrow_udf(T.ArrayType(EVIDENCE_ITEM))
-def evidence_snippets(answer: pa.Array, concepts: pa.Array, criteria: pa.Array, confidence: pa.Array) -> pa.Array:
-    """One snippet per matched concept, one per met criterion (its first term found), keep-first."""
+def _snippets(answer: pa.Array, concepts: pa.Array, criteria: pa.Array, confidence: pa.Array) -> pa.Array:
     out, spelling = [], Spelling()
     for text, wanted, terms, base in zip(*(a.to_pylist() for a in (answer, concepts, criteria, confidence))):
         found: dict[str, dict] = {}
@@ -316,6 +318,12 @@ def evidence_snippets(answer: pa.Array, concepts: pa.Array, criteria: pa.Array,
     return pa.array(out, _ITEM)
 
 
+@F.arrow_udf(T.ArrayType(EVIDENCE_ITEM))
+def evidence_snippets(answer: pa.Array, concepts: pa.Array, criteria: pa.Array, confidence: pa.Array) -> pa.Array:
+    """One snippet per matched concept, one per met criterion (its first term found), keep-first."""
+    return pa.concat_arrays([_snippets(*some) for some in some_rows(answer, concepts, criteria, confidence)])
+
+
 def explain(evaluations: DataFrame) -> DataFrame:
     """Add the explainability struct.
 

@@ -175,3 +175,27 @@ def test_near_words_of_a_batch_and_row_by_row(spark):
         df = spark.createDataFrame(some, "c array<string>, t array<string>").coalesce(1)
         want = [[c for c in w or [] if any(SequenceMatcher(None, c, x).ratio() >= 0.88 for x in t or [])] for w, t in some]
         assert [r[0] for r in df.select(AU.fuzzy_present("c", "t")).collect()] == want
+
+
+def test_a_batch_becomes_python_values_some_rows_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from marklake.functions.matching import some_rows
+
+    column = pa.array(["x" * 10] * 8 + ["y" * 900, None])
+    assert [c for (some,) in some_rows(column, most=100) for c in some.to_pylist()] == column.to_pylist()
+    assert [len(some) for (some,) in some_rows(column[:0])] == [0]
+    words = [f"word{i}" for i in range(60)]
+    n = 6000
+    batch = [pa.array([" ".join(words)] * n), pa.array([words[:40]] * n), pa.array([[words[:8]] * 40] * n), pa.array([0.5] * n)]
+    tracemalloc.start()
+    try:
+        assert len(AU.evidence_snippets.func(*(c[:300] for c in batch))) == 300
+        few = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        kept = AU.evidence_snippets.func(*batch)
+        assert len(kept) == n and kept[0] == kept[n - 1] and tracemalloc.get_traced_memory()[1] < 6 * few
+    finally:
+        tracemalloc.stop()
