@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marklake.functions import lexicon as X
+from marklake.functions.matching import some_rows
 from marklake.functions.scan import before, following, previous
 from marklake.functions.text import collapse, is_section_header, question_header, strip
 from marklake.session import checkpointed
@@ -58,9 +59,9 @@ def _continues(tail: str, piece: str) -> bool:
     return stem not in _COMPLETE and (len(first.group()) <= 3 or stem in _PREFIXES)
 
 
-@F.pandas_udf(T.StringType())
-def rejoin_lines(lines: pd.Series) -> pd.Series:
-    return lines.map(rejoin)
+@F.arrow_udf(T.StringType())
+def rejoin_lines(lines: pa.Array) -> pa.Array:
+    return pa.concat_arrays([pa.array(map(rejoin, some.to_pylist()), pa.string()) for (some,) in some_rows(lines)])
 
 
 # --- regions ---------------------------------------------------------------------------

@@ -243,3 +243,27 @@ def test_concepts_of_a_question_meet_its_answers_in_parts_without_pairs(spark, m
     got = E.semantic_evaluation_by_question(a, c)
     assert sorted(got.collect()) == sorted(want.collect())
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_matching_holds_the_values_of_some_rows():
+    import json
+    import tracemalloc
+
+    import pyarrow as pa
+
+    points = json.dumps([{"id": f"v{k}", "text": f"word{k} other{k}", "acceptable_variants": [], "match_mode": "EXACT"} for k in range(30)])
+    text = " ".join(f"word{k} other{k}" for k in range(0, 60, 2)) + " filling" * 60
+    none = pa.array([[]], pa.list_(pa.struct([("id", pa.string()), ("unit", pa.string()), ("spans", pa.list_(pa.string()))])))
+
+    def batch(n):
+        columns = [pa.array(range(n)), pa.array(["q"] * n), pa.array([text] * n), pa.array([points] * n), none.take(pa.array([0] * n))]
+        return pa.RecordBatch.from_arrays(columns, names=["answer_id", "question_id", "answer_text", "points", "numbers"])
+
+    run = E._matched(False)
+    assert sum(out.num_rows for out in run(iter([batch(3)]))) == 90
+    tracemalloc.start()
+    try:
+        assert sum(out.num_rows for out in run(iter([batch(3000)]))) == 90_000
+        assert tracemalloc.get_traced_memory()[1] < 45e6
+    finally:
+        tracemalloc.stop()
