@@ -477,9 +477,10 @@ class _Join:
             rows = rows.join(crowds, "node", "left").withColumn("part", part).drop("rows")
         else:
             rows = rows.withColumn("part", F.lit(0).cast("long"))
-        forget(crowds)
         placed = rows.repartition("node", "part").sortWithinPartitions("node", "s").select("node", "s", "n", *_SKETCH)
-        return stored(placed.mapInArrow(_compared(self.percent, self.apart, self.small, last), "node long, a binary, b binary, near boolean"), "near-edges")
+        out = stored(placed.mapInArrow(_compared(self.percent, self.apart, self.small, last), "node long, a binary, b binary, near boolean"), "near-edges")
+        forget(crowds)
+        return out
 
     def branched(self, rest: DataFrame, tokens: int) -> DataFrame:
         """The children of each row, each by as many distinct tokens, which the path chooses."""

@@ -216,3 +216,10 @@ def test_levels_below_the_first_read_the_sets_of_large_nodes_alone(spark):
     join = _Join(spark.createDataFrame([(k, t, "x", 1) for k, t in rows], SCHEMA), 1, 80, 16, 64, 1 << 22)
     join.edges()
     assert join.sets.count() == 360 and 0 < join.crowded.count() <= 60
+
+
+def test_a_node_of_very_many_rows_is_dealt_over_tasks(spark, monkeypatch):
+    from marklake.llm import near_duplicates as N
+
+    monkeypatch.setattr(N, "SPLIT", 50)
+    exact(spark, family(random.Random(26), 200, 60, 71, 10), 1, 80, small=16, group_sets=64)
