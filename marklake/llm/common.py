@@ -104,6 +104,7 @@ BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_LETTER = LOWER.astype(np.uint64) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _CHUNK = 1 << 18  # bytes of text whose work arrays (about 100 times as much) a worker holds at once
@@ -161,8 +162,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, prefix: int = 0, gaps: np.
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(starts) - 1, np.int64)
-    data = LOWER[data]
-    gap = gaps[data]
+    gap = gaps[LOWER][data]
     first = ~gap
     first[1:] &= gap[:-1]
     edges = starts[:-1][np.diff(starts) > 0]
@@ -171,7 +171,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, prefix: int = 0, gaps: np.
     last[:-1] &= gap[1:] | first[1:]
     a, b = np.flatnonzero(first), np.flatnonzero(last)
     up, down = _Powers.upto(n)
-    total = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up)
+    total = _LETTER[data]
+    total *= up
+    total = np.cumsum(total, out=total)
     if prefix:
         cut = np.minimum(b, a + prefix - 1)
         longer = b > cut

@@ -11,7 +11,7 @@ The sketch holds two bits of each of 128 min-hashes; how many may differ follows
 differs in more with a chance of at most 1e-7 (`apart`). A node of few sets gives one row for each set that is like
 another one in it, never its pairs (of up to eight sets each pair); a larger one a row for each set that is like one of
 its four first ones. The groups so connected then get their full sets, each set once, and are compared exactly in their
-task: likest pairs first, pairs that are connected already not at all. A group too large for a task is compared node by node,
+task: a set with all its candidates at once, likest ones first, pairs that are connected already not at all. A group too large for a task is compared node by node,
 and around each centre in parts, and what is linked there is joined by components.
 
 Branching gives a row that is like its centre one child a level and leaves large nodes at the last level, so it may part
@@ -90,9 +90,9 @@ def apart(percent: int) -> int:
 def _sets(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending, and how many."""
     h, counts = shingle_hashes(*word_hashes(data, starts), width)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
+    doc, ends = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts)
+    for i, j in zip(ends - counts, ends):
+        h[i:j].sort()
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     return h[new], np.bincount(doc[new], minlength=len(counts)).astype(np.int64)
@@ -119,8 +119,10 @@ def _signed(width: int):
                 if len(full):
                     at = (np.cumsum(counts) - counts)[full]
                     ids[full] = _set_ids(h, at)
+                    values = np.empty_like(h)
                     for k in range(MINS):
-                        least = np.minimum.reduceat(((h ^ _FLIP[k]) * _TIMES[k]) >> np.uint64(32), at)
+                        np.multiply(np.bitwise_xor(h, _FLIP[k], out=values), _TIMES[k], out=values)
+                        least = np.minimum.reduceat(values, at) >> np.uint64(32)
                         bits[full, k, 0], bits[full, k, 1] = least & np.uint64(1), least & np.uint64(2)
                         if k < TOKENS:
                             tokens[full, k] = least
@@ -311,44 +313,36 @@ def _joined(table: pa.Table, percent: int, most: int) -> tuple[np.ndarray, np.nd
     are connected from the start; a group of two sides is compared across them."""
     rows, k = _Rows(table), table.num_rows
     shingles = table.column("shingles").combine_chunks()
-    flat, cuts = shingles.values.to_numpy().view(np.uint64), shingles.offsets.to_numpy()
+    flat = shingles.flatten().dictionary_encode().indices.to_numpy()
+    starts = np.cumsum(rows.n) - rows.n
     label, side = _numbers(table.column("label")), table.column("side").to_numpy()
     root = np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]]
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    def linked(i: int, j: int) -> bool:
-        x, y = flat[cuts[i] : cuts[i + 1]], flat[cuts[j] : cuts[j + 1]]
-        if len(x) > len(y):
-            x, y = y, x
-        at = np.searchsorted(y, x)
-        both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-        return 100 * both >= percent * (len(x) + len(y) - both)
-
-    near: list[list[np.ndarray]] = [[], [], []]
-    for i in range(0, k, 256):
-        a, b = np.arange(i, min(i + 256, k))[:, None], np.arange(k)[None, :]
-        gap = rows.differ(a, b)
-        x, y = np.nonzero((gap <= most) & rows.sized(a, b, percent) & (a < b) & (label[a] != label[b]) & ((side[a] == 0) | (side[a] != side[b])))
-        for column, value in zip(near, (x + i, y, gap[x, y])):
-            column.append(value)
-    first, second, gap = (np.concatenate(c) for c in near)
-    order = np.argsort(gap, kind="stable")
-    first, second = first[order], second[order]
-    for i in range(0, len(order), 4096):
-        while (root[root] != root).any():
-            root = root[root]
-        a, b = first[i : i + 4096], second[i : i + 4096]
-        apart_yet = root[a] != root[b]
-        for x, y in zip(a[apart_yet].tolist(), b[apart_yet].tolist()):
-            p, q = find(x), find(y)
-            if p != q and linked(x, y):
-                root[max(p, q)] = min(p, q)
-    while (root[root] != root).any():
-        root = root[root]
+    held = np.zeros(flat.max() + 1, bool)  # which shingles the set has that others are compared with
+
+    def linked(x: int, y: np.ndarray) -> np.ndarray:
+        """Those of the sets y that are linked with the set x."""
+        own = flat[starts[x] : starts[x] + rows.n[x]]
+        held[own] = True
+        cuts, both = np.append(0, np.cumsum(rows.n[y])), np.empty(len(y), np.int64)
+        for i, j in pieces(cuts):
+            at = np.arange(cuts[j] - cuts[i]) + np.repeat(starts[y[i:j]] - cuts[i:j] + cuts[i], rows.n[y[i:j]])
+            both[i:j] = np.add.reduceat(held[flat[at]], cuts[i:j] - cuts[i], dtype=np.int64)
+        held[own] = False
+        return y[100 * both >= percent * (rows.n[x] + rows.n[y] - both)]
+
+    likely = round((1 - percent / 100) * 3 / 4 * MINS)  # in what a pair at the threshold differs
+    for known, upto in ((-1, likely), (likely, most)):  # likest pairs first: what they connect is not compared any more
+        for i in range(0, k, 256):
+            a, b = np.arange(i, min(i + 256, k))[:, None], np.arange(i, k)[None, :]
+            gap = rows.differ(a, b)
+            like = (gap > known) & (gap <= upto) & rows.sized(a, b, percent) & (a < b) & (root[a] != root[b]) & ((side[a] == 0) | (side[a] != side[b]))
+            for x in i + np.flatnonzero(like.any(1)):
+                y = i + np.flatnonzero(like[x - i])
+                y = y[root[y] != root[x]]
+                if len(y) and len(y := linked(x, y)):
+                    of = np.arange(k)
+                    of[root[y]] = of[root[x]] = min(root[x], root[y].min())
+                    root = of[root]
     other = np.flatnonzero(root != np.arange(k))
     return other, root[other]
 
@@ -446,6 +440,11 @@ def _text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def _hinted(keys: DataFrame) -> DataFrame:
+    """A stored table of keys, to be broadcast where it has few rows: what it is joined with stays where it is."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 class _Join:
     """One run of the join: the documents, their sets, and which sets are connected."""
 
@@ -456,30 +455,35 @@ class _Join:
         self.group_sets, self.group_shingles = group_sets, group_shingles
         self.trees, self.apart = trees_for(percent), apart(percent)
         kinds = "doc_id long, text_hash long, n long, s binary, tokens array<int>, " + ", ".join(f"{q} long" for q in _SKETCH)
-        signed = stored(hashed.mapInArrow(_signed(width), kinds), "near-signed")
-        self.rows = signed.select("doc_id", "text_hash", "n", "s")
-        firsts = [F.first(c).alias(c) for c in ("n", "tokens", *_SKETCH)]
-        self.sets = stored(signed.where("n > 0").groupBy("s").agg(*firsts, F.min(id_key()).alias("k")), "near-sets")
+        self.signed = stored(hashed.mapInArrow(_signed(width), kinds), "near-signed")
+        self.rows = self.signed.select("doc_id", "text_hash", "n", "s")
+        first_level = F.slice("tokens", 1, min(self.trees, TOKENS)).alias("tokens")
+        self.sets = stored(self.distinct(self.signed.where("n > 0").select("doc_id", "s", "n", first_level, *_SKETCH)), "near-sets")
         self.labels: DataFrame | None = None
         self.crowds: DataFrame | None = None
         self.crowded: DataFrame | None = None
-        self.tables = [signed, self.sets]
-
-    def compared(self, rows: DataFrame, last: bool) -> DataFrame:
-        """Edges and rest of one level's rows (node, s, n, sketch). Of a node of very many rows several tasks take a part
-        each: it is branched anyhow."""
-        rows = rows.select("node", "s", "n", *_SKETCH)
-        crowds = rows.groupBy("node").agg(F.count("*").alias("rows")).where(F.col("rows") > SPLIT)
-        crowds = stored(crowds, "near-crowds")
-        if not crowds.isEmpty():
-            share = F.ceil(F.col("rows") / SPLIT)
-            part = F.when(F.col("rows").isNotNull(), F.pmod(F.xxhash64("s"), share)).otherwise(0)
-            rows = rows.join(crowds, "node", "left").withColumn("part", part).drop("rows")
-        else:
-            rows = rows.withColumn("part", F.lit(0).cast("long"))
+        self.tables = [self.signed, self.sets]
+
+    @staticmethod
+    def distinct(signed: DataFrame) -> DataFrame:
+        """Each set once, with the least id (k) of its documents."""
+        return signed.groupBy("s").agg(*(F.first(c).alias(c) for c in ("n", "tokens", *_SKETCH)), F.min(id_key()).alias("k"))
+
+    def compared(self, rows: DataFrame, most: int, last: bool) -> DataFrame:
+        """Edges and rest of one level's rows (node, s, n, sketch), of which a node has at most `most`. Of a node of very
+        many rows several tasks take a part each: it is branched anyhow."""
+        rows, crowds = rows.select("node", "s", "n", *_SKETCH).withColumn("part", F.lit(0).cast("long")), None
+        if most > SPLIT:
+            crowds = rows.groupBy("node").agg(F.count("*").alias("rows")).where(F.col("rows") > SPLIT)
+            crowds = stored(crowds, "near-crowds")
+            if not crowds.isEmpty():
+                share = F.ceil(F.col("rows") / SPLIT)
+                part = F.when(F.col("rows").isNotNull(), F.pmod(F.xxhash64("s"), share)).otherwise(F.col("part"))
+                rows = rows.join(_hinted(crowds), "node", "left").withColumn("part", part).drop("rows")
         placed = rows.repartition("node", "part").sortWithinPartitions("node", "s").select("node", "s", "n", *_SKETCH)
         out = stored(placed.mapInArrow(_compared(self.percent, self.apart, self.small, last), "node long, a binary, b binary, near boolean"), "near-edges")
-        forget(crowds)
+        if crowds is not None:
+            forget(crowds)
         return out
 
     def branched(self, rest: DataFrame, tokens: int) -> DataFrame:
@@ -498,10 +502,9 @@ class _Join:
         return rows.select(F.explode(F.transform(F.sequence(F.lit(0), last), child)).alias("node"), "s", "n", *_SKETCH)
 
     def of_names(self, names: DataFrame) -> DataFrame:
-        """The sets of these names (s); where the names are few, they go to the sets, which stay where they are."""
+        """The sets of these names (s), with all their tokens."""
         names = stored(names.distinct(), "near-names")
-        few = names.count() <= BROADCAST_ROWS
-        out = stored(self.sets.join(F.broadcast(names) if few else names, "s", "left_semi"), "near-crowded")
+        out = stored(self.distinct(self.signed.where("n > 0").join(_hinted(names), "s", "left_semi")), "near-crowded")
         forget(names)
         return out
 
@@ -513,7 +516,8 @@ class _Join:
         """(node, a, b) of all levels: the sets that likeness connects in each small node, and, without node, with a large one's centre."""
         rows, found = self.sets.select(F.explode(self.firsts()).alias("node"), "s", "n", *_SKETCH), []
         for level, _ in enumerate(LEVELS):
-            out = self.compared(rows, level == len(LEVELS) - 1)
+            most = rows.count() if level else self.sets.count()
+            out = self.compared(rows, most, level == len(LEVELS) - 1)
             if level:
                 forget(rows)
             found.append(out.where("b IS NOT NULL"))
@@ -530,11 +534,14 @@ class _Join:
 
     def confirmed(self, groups: DataFrame, members: DataFrame) -> DataFrame:
         """(a, b): what is linked in groups (g, side, s, label), by full sets. `members` (k) are documents that hold all their sets."""
-        texts = self.docs.withColumn("k", id_key()).join(members.select("k").distinct(), "k", "left_semi").select("text")
+        keys = stored(members.select("k").distinct(), "near-keys")
+        texts = self.docs.withColumn("k", id_key()).join(_hinted(keys), "k", "left_semi").select("text")
         full = texts.mapInArrow(_shingled(self.width), "s binary, shingles array<long>").groupBy("s").agg(F.first("shingles").alias("shingles"))
         whole = groups.join(self.sets.select("s", "n", *_SKETCH), "s").join(full, "s")
         sorted_groups = whole.repartition("g").sortWithinPartitions("g", "s").select("g", "side", "s", "label", "n", *_SKETCH, "shingles")
-        return stored(sorted_groups.mapInArrow(_confirmed(self.percent, self.apart), "a binary, b binary"), "near-links")
+        links = stored(sorted_groups.mapInArrow(_confirmed(self.percent, self.apart), "a binary, b binary"), "near-links")
+        forget(keys)
+        return links
 
     def linked(self, found: list[DataFrame]) -> None:
         """Labels of the sets that the edges connect, as far as full sets confirm it."""
@@ -665,10 +672,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     k, h = f"k{tag}", f"h{tag}"  # longer than, so unlike, any column
     keyed = docs.withColumn(k, F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST))).withColumn(h, _text_hash())
     dropped = grouped.where("root IS NOT NULL").withColumn("k", id_key()).join(chosen, ["k", "text_hash"], "left_anti").select(F.col("k").alias(k), F.col("text_hash").alias(h)).distinct()
-    dropped = stored(dropped, "near-dropped")
-    if dropped.count() <= BROADCAST_ROWS:  # a bounded table: the texts stay where they are
-        dropped = F.broadcast(dropped)
-    left = keyed.join(dropped, [k, h], "left_anti")
+    left = keyed.join(_hinted(stored(dropped, "near-dropped")), [k, h], "left_anti")
     if chosen.where("rows > 1").isEmpty():
         return left.select(docs.columns)
     again = chosen.where("rows > 1").select(F.col("k").alias(k), F.col("text_hash").alias(h)).distinct()

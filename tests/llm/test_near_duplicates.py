@@ -223,3 +223,23 @@ def test_a_node_of_very_many_rows_is_dealt_over_tasks(spark, monkeypatch):
 
     monkeypatch.setattr(N, "SPLIT", 50)
     exact(spark, family(random.Random(26), 200, 60, 71, 10), 1, 80, small=16, group_sets=64)
+
+
+def test_texts_are_not_shuffled_to_meet_few_keys(spark, monkeypatch):
+    from marklake.llm import near_duplicates as N
+
+    plans, stored = [], N.stored
+
+    def kept(df, name):
+        if name == "near-links":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(N, "stored", kept)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        exact(spark, family(random.Random(27), 40, 10, 71, 10), 1, 80)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plans and all("BroadcastHashJoin [k#" in p and "SortMergeJoin [k#" not in p for p in plans)
