@@ -11,8 +11,8 @@ The sketch holds two bits of each of 128 min-hashes; how many may differ follows
 differs in more with a chance of at most 1e-7 (`apart`). A node of few sets gives one row for each set that is like
 another one in it, never its pairs (of up to eight sets each pair); a larger one a row for each set that is like one of
 its four first ones. The groups so connected then get their full sets, each set once, and are compared exactly in their
-task: a set with all its candidates at once, likest ones first, pairs that are connected already not at all. A group too large for a task is compared node by node,
-and around each centre in parts, and what is linked there is joined by components.
+task: a set with all its candidates at once, likest ones first, pairs that are connected already not at all. A group too
+large for a task is compared node by node, and around each centre in parts, and what is linked there is joined by components.
 
 Branching gives a row that is like its centre one child a level and leaves large nodes at the last level, so it may part
 two sets for good. An exact check follows for those: in the large first nodes of all trees, each set is compared with all
